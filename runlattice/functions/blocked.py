@@ -26,21 +26,33 @@ def positions(
 ) -> DataFrame:
     """0-based rank of each row in ``order`` (then ``then``), per ``by`` or over the whole table.
 
-    The last column of ``order`` must be an integer; it is cut into blocks. Only block counts
-    meet in one place, the rows are ranked within (by, leading order columns, block).
+    Order columns that are cut must be integers: the last one always, and with two of them the
+    first one too. Only block counts meet in one place; rows are ranked inside a block.
     """
     by, order, then = list(by), list(order), list(then)
+    if len(order) > 2:
+        raise ValueError("order by at most two columns; further ones go into `then`")
     lead, last = order[:-1], order[-1]
     keyed = df.withColumn("_blk", _block(last, block))
-    keys = by + lead + ["_blk"]
+    if lead:
+        keyed = keyed.withColumn("_top", _block(lead[0], block))
+    else:
+        keyed = keyed.withColumn("_top", F.lit(0).cast("long"))
+    keys = by + ["_top"] + lead + ["_blk"]
+    past = (Window.unboundedPreceding, -1)
     counts = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy(*lead, "_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*by, "_top").orderBy(*lead, "_blk").rowsBetween(*past)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(inner), F.lit(0)).alias("_off"))
+    if lead:
+        tops = keyed.groupBy(*by, "_top").agg(F.count(F.lit(1)).alias("_n"))
+        outer = Window.partitionBy(*by).orderBy("_top").rowsBetween(*past)
+        starts = tops.select(*by, "_top", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_start"))
+        offsets = offsets.join(starts, by + ["_top"]).withColumn("_off", F.col("_off") + F.col("_start")).drop("_start")
     inside = Window.partitionBy(*keys).orderBy(last, *then)
     return (
         keyed.join(offsets, keys)
         .withColumn(name, F.col("_off") + F.row_number().over(inside) - 1)
-        .drop("_blk", "_off")
+        .drop("_blk", "_top", "_off")
     )
 
 

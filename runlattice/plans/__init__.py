@@ -1,6 +1,6 @@
 """Queries over the shared test tables, one per operator."""
 
-from runlattice.plans import grids  # noqa: F401
+from runlattice.plans import catalog, grids  # noqa: F401
 from runlattice.plans.base import ORACLES, QUERIES
 
 
