@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlattice.operators.grid import KEY
+from runlattice.operators.scoring import small_if_declared
 
 # Fixed values of the importance curve and of the flat-target rule.
 FLOOR = 0.1
@@ -42,7 +43,7 @@ def informed_r2(
     err = F.col(truth) - F.col(pred)
     off = F.col(truth) - F.col("_m")
     n = F.count(F.lit(1))
-    out = rows.join(means, list(by)).groupBy(*by).agg(
+    out = rows.join(small_if_declared(means, list(by)), list(by)).groupBy(*by).agg(
         r_squared(F.sum(err * err), F.var_pop(truth) * n).alias("r2"),
         r_squared(F.sum(w * err * err), F.sum(w * off * off)).alias("r2_inf"),
         n.alias("n_samples"),
@@ -60,7 +61,7 @@ def importance(scores: DataFrame, by: str = "perf_code", score: str = "score", n
     )
     k = F.when(F.col("_s") > 1e-10, STEEPNESS / F.col("_s")).otherwise(F.lit(0.0))
     curve = FLOOR + (1 - FLOOR) / (1 + F.exp(-k * (F.col(score) - F.col("_m"))))
-    return scores.join(anchor, by).withColumn(name, curve).drop("_m", "_s")
+    return scores.join(small_if_declared(anchor, [by]), by).withColumn(name, curve).drop("_m", "_s")
 
 
 def feature_importance(

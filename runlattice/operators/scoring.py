@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from runlattice.operators.grid import KEY
 
+# Columns whose values the schema declares: a table grouped by them alone is known to be small.
+DECLARED = ("perf_code", "feature", "model")
+
+
+def small_if_declared(df: DataFrame, by: list[str]) -> DataFrame:
+    """Broadcast a per-group table only where the schema bounds the number of groups."""
+    return F.broadcast(df) if set(by) <= set(DECLARED) else df
+
 
 def clipped(expr: Column) -> Column:
     """A score cut to [0, 1]; NULL and NaN stay missing."""
@@ -105,7 +113,7 @@ def normalized_scores(scores: DataFrame, by: str = "perf_code", value: str = "sc
     ends = scores.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     return (
-        scores.join(ends, by)
+        scores.join(small_if_declared(ends, [by]), by)
         .withColumn(name, F.when(span > 1e-10, (F.col(value) - F.col("_lo")) / span).otherwise(F.lit(0.5)))
         .drop("_lo", "_hi")
     )

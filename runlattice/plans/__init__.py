@@ -1,11 +1,7 @@
 """Queries over the shared test tables, one per operator."""
 
-from runlattice.plans import catalog, grids  # noqa: F401
+from runlattice.plans import catalog, grids, modelling  # noqa: F401
 from runlattice.plans.base import ORACLES, QUERIES
-
-
-def training_rows(spark, folder):
-    return QUERIES["c11_effective_context"](spark, folder)
-
+from runlattice.plans.modelling import training_rows
 
 __all__ = ["ORACLES", "QUERIES", "training_rows"]
