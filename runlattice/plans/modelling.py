@@ -411,11 +411,11 @@ def score_rows(spark, folder):
     return out.select("exp_code", "layer", F.round("score", 9).alias("score"))
 
 
-@query("g02_score_mean", sql("SELECT exp_code, round(avg(s_price), 9) AS score FROM scores GROUP BY 1", "scores"))
+@query("g02_score_mean", sql("SELECT exp_code, round(avg(s_price), 10) AS score FROM scores GROUP BY 1", "scores"))
 def score_mean(spark, folder):
     ins, expr = scorers()["s_price"]
     out = scoring.score_experiments(scoring.score_rows(tb.cells(spark, folder), ins, expr))
-    return out.select("exp_code", F.round("score", 9).alias("score"))
+    return out.select("exp_code", F.round("score", 10).alias("score"))
 
 
 @query(
@@ -446,7 +446,7 @@ def score_candidates(spark, folder):
 @query(
     "g05_evaluate",
     sql(
-        """SELECT exp_code, perf_code, round(score, 9) AS score FROM (
+        """SELECT exp_code, perf_code, round(score, 10) AS score FROM (
         SELECT * FROM ls WHERE NOT (perf_code = 's_price' AND exp_code IN (SELECT exp_code FROM experiments WHERE total >= 200000))
         UNION ALL SELECT exp_code, 's_price', 0.5 FROM experiments WHERE total >= 200000)""",
         "experiments", "scores", extra=LONG_SCORES,
@@ -455,20 +455,20 @@ def score_candidates(spark, folder):
 def evaluate(spark, folder):
     held = tb.experiments(spark, folder).where("total >= 200000").select("exp_code", F.lit("s_price").alias("perf_code"), F.lit(0.5).alias("score"))
     out = scoring.evaluate(tb.cells(spark, folder), scorers(), stored=held)
-    return out.withColumn("score", F.round("score", 9))
+    return out.withColumn("score", F.round("score", 10))
 
 
 @query(
     "g06_combined_score",
     sql(
-        """SELECT exp_code, round(sum(w * score) / sum(w), 9) AS combined FROM ls JOIN (VALUES ('s_quantity', 2.0), ('s_price', 1.3)) t(perf_code, w)
+        """SELECT exp_code, round(sum(w * score) / sum(w), 10) AS combined FROM ls JOIN (VALUES ('s_quantity', 2.0), ('s_price', 1.3)) t(perf_code, w)
         USING (perf_code) GROUP BY 1""",
         "scores", extra=LONG_SCORES,
     ),
 )
 def combined(spark, folder):
     out = scoring.combined_score(long_scores(spark, folder), {"s_quantity": 2.0, "s_price": 1.3})
-    return out.withColumn("combined", F.round("combined", 9))
+    return out.withColumn("combined", F.round("combined", 10))
 
 
 @query(
