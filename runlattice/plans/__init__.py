@@ -1,6 +1,6 @@
 """Queries over the shared test tables, one per operator."""
 
-from runlattice.plans import catalog, coverage, grids, learning, modelling  # noqa: F401
+from runlattice.plans import catalog, coverage, grids, learning, modelling, storage  # noqa: F401
 from runlattice.plans.base import ORACLES, QUERIES
 from runlattice.plans.modelling import training_rows
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.mkdtemp(prefix="runlattice-"), "checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, next to the checkpoints all executors can reach."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        base = tempfile.mkdtemp(prefix="runlattice-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

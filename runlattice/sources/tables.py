@@ -92,11 +92,15 @@ def user_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def updates(spark: SparkSession, folder: str) -> DataFrame:
+    return as_updates(table(spark, folder, "events"))
+
+
+def as_updates(events: DataFrame) -> DataFrame:
     """Mid-run parameter changes. The number in ``props`` says which axis an event is on."""
     k = F.get_json_object("props", "$.k").cast("int")
     axis = F.when(k < 45, "n_days").when(k < 90, "hour")
     step = F.when(k < 45, F.dayofmonth("ts") - 1).when(k < 90, F.hour("ts"))
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").alias("exp_code"),
         F.col("event_id").alias("seq"),
         axis.alias("iterator_code"),
