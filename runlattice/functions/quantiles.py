@@ -80,8 +80,12 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], lower
     if not ranks:
         return out
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ranks]))
-    long = clean.select(pairs.alias("p")).select("p.name", "p.value").where("value IS NOT NULL")
-    stats = order_statistics(long, ranks, ends)
+    # Every round scans the values again; they are kept (with their lineage) in between.
+    long = clean.select(pairs.alias("p")).select("p.name", "p.value").where("value IS NOT NULL").persist()
+    try:
+        stats = order_statistics(long, ranks, ends)
+    finally:
+        long.unpersist()
     for c in ranks:
         n = out[c]["n"]
         for p in probs:

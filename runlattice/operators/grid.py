@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from runlattice.functions.blocked import BLOCK
 from runlattice.schema import Axis, Feature, find_axis
+from runlattice.session import spread
 
 KEY = "exp_code"
+# Cells per experiment from which on an expansion is spread over all tasks first.
+WIDE = 64
 
 
 def num_rows(axes: list[Axis]) -> Column:
@@ -51,8 +54,9 @@ def expand_domain(
 ) -> DataFrame:
     """One row per cell, in row-major order, optionally a flat slice of it.
 
-    Cells come from the flat index, so a big experiment is first cut into blocks that go to
-    different tasks; the plan only does so where the declared axis bounds allow such sizes.
+    Experiments are spread over all tasks before they grow. Cells come from the flat index, so
+    a big experiment is first cut into blocks that go to different tasks; the plan only does so
+    where the declared axis bounds allow such sizes.
     """
     used = axes if depth is None else axes[:depth]
     total = num_rows(used)
@@ -64,9 +68,11 @@ def expand_domain(
         cut = F.when(hi > lo, F.sequence(F.floor(lo / BLOCK), F.floor((hi - 1) / BLOCK))).otherwise(
             F.array().cast("array<bigint>")
         )
-        df = df.withColumn("_blk", F.explode(cut)).repartition(KEY, "_blk")
+        df = spread(df.withColumn("_blk", F.explode(cut)), KEY, "_blk")
         lo = F.greatest(lo, F.col("_blk") * BLOCK)
         hi = F.least(hi, (F.col("_blk") + 1) * BLOCK)
+    elif bound > WIDE:
+        df = spread(df, KEY)
     flat = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("cell_idx", F.explode(flat))
     index = [

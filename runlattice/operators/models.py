@@ -93,14 +93,25 @@ def fit(
     ``train`` holds physical values, categories as labels. Rows that miss a target are left out
     for that target alone.
     """
-    if train.isEmpty():
-        raise ValueError("no training rows")
     ordered = in_order(specs)
     vocab = vocab or {}
     out = Fitted(ordered, {}, x_stats, y_stats, vocab)
     rows = encode(train, vocab)
     plain = [c for c in out.inputs if c not in vocab]
-    rows = fill_inputs(rows, plain)
+    used = list(dict.fromkeys([*out.inputs, *out.outputs]))
+    # Every model and output reads the rows again; they are kept (with their lineage) in between.
+    rows = fill_inputs(rows, plain).select(*[c for c in used if c in {*rows.columns, *plain}]).persist()
+    try:
+        if rows.isEmpty():
+            raise ValueError("no training rows")
+        _fit_all(out, rows)
+    finally:
+        rows.unpersist()
+    return out
+
+
+def _fit_all(out: Fitted, rows: DataFrame) -> None:
+    ordered, x_stats, y_stats = out.specs, out.x_stats, out.y_stats
     for spec in ordered:
         if spec.formula is not None:
             continue
@@ -115,7 +126,6 @@ def fit(
                 KINDS[spec.kind](featuresCol=f"_x_{target}", labelCol="_label", predictionCol=f"_p_{target}", **spec.options),
             ]
             out.models[target] = Pipeline(stages=stages).fit(known)
-    return out
 
 
 def predict(rows: DataFrame, fitted: Fitted, prefix: str = "pred_", unknown: str = "zero") -> DataFrame:

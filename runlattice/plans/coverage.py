@@ -72,7 +72,7 @@ def active(spark, folder):
     ).replace("-1e6, 1e6", "CAST(-1e6 AS DOUBLE), CAST(1e6 AS DOUBLE)"),
 )
 def latent(spark, folder):
-    stats = fitted(spark, folder)
+    stats = fitted(spark, folder, "total", "quantity")
     bounds = ev.latent_bounds(stats, {"total": (1000.0, 400000.0), "quantity": None, "other": (5.0, 6.0)})
     return spark.createDataFrame([(c, round(a, 6), round(b, 6)) for c, (a, b) in bounds.items()], "column string, lo double, hi double")
 
@@ -394,7 +394,7 @@ def derived(spark, folder):
     ),
 )
 def defaults(spark, folder):
-    mean = fitted(spark, folder)["total"].mean
+    mean = fitted(spark, folder, "total")["total"].mean
     rows = tb.experiments(spark, folder).select("exp_code", F.when(F.col("total") <= 300000, F.col("total")).alias("total"))
     spec = [Param("total", lo=1000.0, hi=400000.0), Param("status", "category", vocab=tb.STATUSES), Param("count", "int", 1, 9), Param("flow")]
     out = design.fill_defaults(rows, spec, {"status": "F"}, {"flow": mean})

@@ -72,8 +72,9 @@ NORMED = {
 }
 
 
-def fitted(spark, folder):
-    return prep.fit_norm(train_rows(spark, folder), {"total": "standard", "quantity": "min_max", "price": "robust"})
+def fitted(spark, folder, *columns):
+    methods = {"total": "standard", "quantity": "min_max", "price": "robust"}
+    return prep.fit_norm(train_rows(spark, folder), {c: m for c, m in methods.items() if c in (columns or methods)})
 
 
 @query(
@@ -108,7 +109,7 @@ def reversed_(spark, folder):
     ),
 )
 def bounds(spark, folder):
-    stats = fitted(spark, folder)
+    stats = fitted(spark, folder, "total")
     other = F.lit(2 * stats["total"].mean) - F.col("total")
     lo, hi = prep.normalize_bounds(stats, "total", F.col("total"), other)
     return tb.experiments(spark, folder).select("exp_code", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
@@ -138,7 +139,7 @@ def category(spark, folder):
 def decode(spark, folder):
     from runlattice.schema import Param
 
-    stats = fitted(spark, folder)
+    stats = fitted(spark, folder, "total")
     scaled = prep.apply_norm(
         tb.experiments(spark, folder).select("exp_code", "total", (F.col("cust") % 7).cast("double").alias("status"), F.lit(1.0).alias("humidity")),
         {"total": stats["total"]},
@@ -249,7 +250,7 @@ def calibration(spark, folder):
     ),
 )
 def flat(spark, folder):
-    stats = {"total": fitted(spark, folder)["total"]}
+    stats = fitted(spark, folder, "total")
     out = prep.flat_batch(tb.sized_experiments(spark, folder), LAYERS, stats)
     return out.select("exp_code", "cell_idx", F.round("total", 6).alias("total"), F.round("layer_pos", 9).alias("layer_pos"))
 
@@ -596,7 +597,7 @@ def expanded(spark, folder):
 )
 def validate(spark, folder):
     test = splits(spark, folder).where("split = 'test'").select("exp_code")
-    stats = {"price": fitted(spark, folder)["price"]}
+    stats = fitted(spark, folder, "price")
     held = rows(spark, folder).join(test, "exp_code", "left_semi").where("price IS NOT NULL")
     scaled = held.withColumns({"pred_price": stats["price"].forward(1500.0 * F.col("quantity")), "price": stats["price"].forward(F.col("price"))})
     return metrics.validate(scaled, ["price"], stats).withColumns({"mae": F.round("mae", 4), "r2": F.round("r2", 6)})

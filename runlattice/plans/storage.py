@@ -112,7 +112,7 @@ def pull(spark, folder):
 )
 def norm_state(spark, folder):
     path = shared_folder(spark, "norm-stats")
-    prep.stats_table(spark, fitted(spark, folder)).write.parquet(path)
+    prep.stats_table(spark, fitted(spark, folder, "total", "price")).write.parquet(path)
     again = prep.stats_from_table(spark.read.parquet(path))
     return prep.apply_norm(rows(spark, folder), {"total": again["total"]}).select("exp_code", "cell_idx", F.round("total", 6).alias("total"))
 

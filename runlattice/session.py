@@ -47,6 +47,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, for steps that do much more work than they read.
+
+    The count is explicit: sized by bytes, a small table would end up in one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, next to the checkpoints all executors can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)
