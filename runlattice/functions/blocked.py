@@ -102,7 +102,7 @@ def lag_sparse(
     """Value of the row before, for an integer order with gaps; ties are not allowed."""
     keys = list(by) + ["_blk"]
     keyed = df.withColumn("_blk", _block(order, block))
-    last = keyed.groupBy(*keys).agg(F.max(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("_last"))
+    last = keyed.groupBy(*keys).agg(F.max_by(value, order).alias("_last"))
     prior = last.select(
         *keys, F.lag("_last").over(Window.partitionBy(*by).orderBy("_blk")).alias("_carry")
     )
@@ -110,23 +110,6 @@ def lag_sparse(
     return (
         keyed.join(prior, keys)
         .withColumn("_first", F.row_number().over(w) == 1)
-        .withColumn(name, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.lag(value).over(w)))
+        .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.lag(value).over(w)))
         .drop("_blk", "_carry", "_first")
     )
-
-
-def running_latest(
-    df: DataFrame, by: list[str], order: str, winner: str, name: str, block: int = BLOCK
-) -> DataFrame:
-    """Largest ``winner`` struct among rows of the key up to this row's ``order``."""
-    keys = list(by) + ["_blk"]
-    keyed = df.withColumn("_blk", _block(order, block))
-    best = keyed.groupBy(*keys).agg(F.max(winner).alias("_best"))
-    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = best.select(*keys, F.max("_best").over(before).alias("_carry"))
-    w = Window.partitionBy(*keys).orderBy(order)
-    return (
-        keyed.join(carry, keys)
-        .withColumn(name, F.greatest(F.max(winner).over(w), F.col("_carry")))
-        .drop("_blk", "_carry")
-    )

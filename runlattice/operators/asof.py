@@ -32,7 +32,7 @@ def with_axis_position(updates: DataFrame, axes: list[Axis]) -> DataFrame:
 
 
 def attach_steps(df: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str) -> DataFrame:
-    """Give each row its experiment's step functions, one array per parameter and axis.
+    """Give each row its experiment's step functions in ``_steps``: one array per parameter and axis.
 
     Only the last entry per (parameter, axis, step) can win anywhere, so the log is first
     reduced to that by a map-side aggregate. What is left per experiment is bounded by the
@@ -48,7 +48,11 @@ def attach_steps(df: DataFrame, updates: DataFrame, axes: list[Axis], params: li
             F.when(F.col("axis_pos") == ALWAYS, 1),
         )
         log = log.where(F.col("step") < limit)
-    last = log.groupBy(KEY, "param", "axis_pos", "step").agg(F.max(F.struct("seq", "value")).alias("win"))
+    last = (
+        log.groupBy(KEY, "param", "axis_pos", "step")
+        .agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
+        .withColumn("win", F.struct("seq", "value"))
+    )
     along = Window.partitionBy(KEY, "param", "axis_pos").orderBy("step")
     runs = last.select(
         KEY,
@@ -59,7 +63,7 @@ def attach_steps(df: DataFrame, updates: DataFrame, axes: list[Axis], params: li
         F.coalesce(F.lead("step").over(along) - F.col("step"), F.lit(1)).alias("len"),
     )
     packed = runs.groupBy(KEY, "param", "axis_pos").agg(
-        F.array_sort(F.collect_list(F.struct("step", "len", "win"))).alias("runs")
+        F.sort_array(F.collect_list(F.struct("step", "len", "win"))).alias("runs")
     )
     nothing = F.array_repeat(F.lit(None).cast(packed.schema["runs"].dataType.elementType["win"].dataType), F.get("runs.step", F.lit(0)))
     dense = packed.select(
@@ -68,36 +72,40 @@ def attach_steps(df: DataFrame, updates: DataFrame, axes: list[Axis], params: li
         "axis_pos",
         F.concat(nothing, F.flatten(F.transform("runs", lambda r: F.array_repeat(r.win, r.len)))).alias("dense"),
     )
-    wide = dense.groupBy(KEY).agg(
-        *[
-            F.first(F.when((F.col("param") == p) & (F.col("axis_pos") == k), F.col("dense")), ignorenulls=True).alias(
-                f"_{p}_{k}"
-            )
-            for p in params
-            for k in [ALWAYS, *range(len(axes))]
-        ]
+    known = F.lit(_slots(axes, params))
+    slot = F.array_position(known, F.concat_ws("/", "param", F.col("axis_pos").cast("string")))
+    packed_steps = dense.groupBy(KEY).agg(
+        F.map_from_entries(F.collect_list(F.struct(slot.alias("slot"), "dense"))).alias("m")
     )
-    return df.join(wide, KEY, "left")
+    every = F.sequence(F.lit(1), F.lit(len(_slots(axes, params)))).cast("array<bigint>")
+    ordered = packed_steps.select(KEY, F.transform(every, lambda s: F.try_element_at("m", s)).alias("_steps"))
+    return df.join(ordered, KEY, "left")
+
+
+def _slots(axes: list[Axis], params: list[str]) -> list[str]:
+    """Order of the step functions in a row's ``_steps`` array."""
+    return [f"{p}/{k}" for p in params for k in [ALWAYS, *range(len(axes))]]
 
 
 def read_steps(df: DataFrame, axes: list[Axis], params: list[str], mode: str) -> DataFrame:
-    """Replace each parameter by the value in force at the row's cell; drop the arrays."""
+    """Replace each parameter by the value in force at the row's cell; drop the step functions."""
+    slots = _slots(axes, params)
 
-    def at(name: str, idx: Column) -> Column:
-        return F.get(name, F.least(idx, F.size(name) - 1).cast("int"))
+    def win(p: str, k: int, idx: Column) -> Column:
+        own = F.get("_steps", F.lit(slots.index(f"{p}/{k}")))
+        return F.get(own, F.least(idx, F.size(own) - 1).cast("int"))
 
     new = {}
     for p in params:
-        wins = [F.get(f"_{p}_{ALWAYS}", F.lit(0))]
+        wins = [win(p, ALWAYS, F.lit(0))]
         for k, axis in enumerate(axes):
             if mode == "row":
-                wins.append(at(f"_{p}_{k}", F.floor(F.col("cell_idx") / stride(axes, axis.index))))
+                wins.append(win(p, k, F.floor(F.col("cell_idx") / stride(axes, axis.index))))
             else:
-                wins.append(at(f"_{p}_{k}", F.col(axis.index).cast("long")))
+                wins.append(win(p, k, F.col(axis.index).cast("long")))
         best = F.greatest(*wins) if len(wins) > 1 else wins[0]
         new[p] = F.coalesce(best.getField("value").cast(df.schema[p].dataType), F.col(p))
-    arrays = [f"_{p}_{k}" for p in params for k in [ALWAYS, *range(len(axes))]]
-    return df.withColumns(new).drop(*arrays)
+    return df.withColumns(new).drop("_steps")
 
 
 def effective_params(

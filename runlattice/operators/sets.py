@@ -57,8 +57,9 @@ def fit_at(sets: DataFrame, index: Column | int) -> DataFrame:
 def fit_codes(parts: list[DataFrame]) -> DataFrame:
     """Ordered union of (windowed) sets; a repeated experiment keeps its first place."""
     tagged = [p.select(KEY, F.lit(i).alias("part"), F.col("pos").alias("_p")) for i, p in enumerate(parts)]
-    first = reduce(lambda a, b: a.unionByName(b), tagged).groupBy(KEY).agg(F.min(F.struct("part", "_p")).alias("f"))
-    return positions(first.select(KEY, "f.part", "f._p"), ["part", "_p"], then=[KEY]).select(KEY, "pos")
+    every = reduce(lambda a, b: a.unionByName(b), tagged)
+    first = every.groupBy(KEY).agg(F.min_by("_p", "part").alias("_p"), F.min("part").alias("part"))
+    return positions(first, ["part", "_p"], then=[KEY]).select(KEY, "pos")
 
 
 def dataset_codes(experiments: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ VIEWS = {
         CAST(d.i * n_hours + h.i AS BIGINT) AS cell_idx
         FROM users, unnest(range(n_days)) AS d(i), unnest(range(24)) AS h(i)""",
     "ups": """SELECT user_id AS exp_code, event_id AS seq, event_type AS param, value,
-        CASE WHEN k < 45 THEN 'n_days' WHEN k < 90 THEN 'hour' END AS iterator_code,
-        CAST(CASE WHEN k < 45 THEN day(ts) - 1 WHEN k < 90 THEN hour(ts) END AS INTEGER) AS step_index
-        FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)""",
+        CASE WHEN k < 27 THEN 'n_days' WHEN k < 54 THEN 'hour' END AS iterator_code,
+        CAST(CASE WHEN k < 27 THEN day(ts) - 1 WHEN k < 54 THEN hour(ts) END AS INTEGER) AS step_index
+        FROM (SELECT *, second(ts) AS k FROM events)""",
     "scores": """SELECT exp_code, layer, greatest(0, least(1, 1 - abs(quantity - 25) / 25)) AS s_quantity,
         greatest(0, least(1, 1 - abs(price - 40000) / 40000)) AS s_price,
         greatest(0, least(1, 1 - abs(discount - 0.05) / 0.05)) AS s_discount FROM cells""",

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "runlattice", master: str | None = None) -> SparkSession:
@@ -29,6 +30,8 @@ def build_session(app: str = "runlattice", master: str | None = None) -> SparkSe
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Methods above this size are not compiled by HotSpot; plans that wide run better without.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
 
@@ -50,10 +53,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all shuffle partitions, for steps that do much more work than they read.
 
-    The count is explicit: sized by bytes, a small table would end up in one task.
+    The count is explicit and the key is hashed once more: sized by bytes, a small table would
+    end up in one task, and a plain key could be taken as distributed already.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(n, F.xxhash64(*keys)) if keys else df.repartition(n)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

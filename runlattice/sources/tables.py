@@ -96,10 +96,10 @@ def updates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def as_updates(events: DataFrame) -> DataFrame:
-    """Mid-run parameter changes. The number in ``props`` says which axis an event is on."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    axis = F.when(k < 45, "n_days").when(k < 90, "hour")
-    step = F.when(k < 45, F.dayofmonth("ts") - 1).when(k < 90, F.hour("ts"))
+    """Mid-run parameter changes. The second of its time says which axis an event is on."""
+    k = F.second("ts")
+    axis = F.when(k < 27, "n_days").when(k < 54, "hour")
+    step = F.when(k < 27, F.dayofmonth("ts") - 1).when(k < 54, F.hour("ts"))
     return events.select(
         F.col("user_id").alias("exp_code"),
         F.col("event_id").alias("seq"),
