@@ -59,6 +59,17 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], lower
     values maps to None. NULL and NaN are ignored.
     """
     clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    if df.is_cached:
+        return _quantiles(clean, columns, probs, lower)
+    # Every round scans the values again; they are kept (with their lineage) in between.
+    clean = clean.persist()
+    try:
+        return _quantiles(clean, columns, probs, lower)
+    finally:
+        clean.unpersist()
+
+
+def _quantiles(clean: DataFrame, columns: list[str], probs: list[float], lower: list[float]) -> dict:
     head = clean.agg(
         *[f(c).alias(f"{c}\u0001{k}") for c in columns for k, f in (("n", F.count), ("min", F.min), ("max", F.max))]
     ).first()
@@ -80,12 +91,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], lower
     if not ranks:
         return out
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ranks]))
-    # Every round scans the values again; they are kept (with their lineage) in between.
-    long = clean.select(pairs.alias("p")).select("p.name", "p.value").where("value IS NOT NULL").persist()
-    try:
-        stats = order_statistics(long, ranks, ends)
-    finally:
-        long.unpersist()
+    long = clean.select(pairs.alias("p")).select("p.name", "p.value").where("value IS NOT NULL")
+    stats = order_statistics(long, ranks, ends)
     for c in ranks:
         n = out[c]["n"]
         for p in probs:

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlattice.functions.blocked import lag_sparse
+from runlattice.functions.blocked import lag_sparse, positions
 from runlattice.operators.grid import KEY, expand_domain, num_rows, stride
 from runlattice.schema import Axis, find_axis
 
@@ -175,12 +175,11 @@ def trajectory_to_events(trajectories: DataFrame, axes: list[Axis]) -> DataFrame
 
 
 def events_to_trajectory(events: DataFrame, axes: list[Axis], dimension: str) -> DataFrame:
-    """Steps of one dimension in order; events without a step are left out.
+    """Entries of one dimension with their place by step; events without a step are left out.
 
-    One row per experiment is the result's shape; its length is the declared axis size.
+    A log may hold any number of entries per step, so they stay rows: (key, pos, step, …).
     """
     axis = axes[find_axis(axes, dimension)]
     own = events.where(F.col("iterator_code").isin(axis.size, axis.index) & F.col("step_index").isNotNull())
-    return own.groupBy(KEY).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("step_index").alias("step"), "seq", "param", "value"))).alias("steps")
-    )
+    placed = positions(own, ["step_index", "seq"], by=[KEY], then=["param"])
+    return placed.select(KEY, "pos", F.col("step_index").alias("step"), "seq", "param", "value")

@@ -78,6 +78,17 @@ def fit_norm(train: DataFrame, methods: dict[str, str], side: str = "x", lagged:
         if m not in METHODS:
             raise ValueError(f"unknown method {m!r}")
     cols = [c for c, m in methods.items() if m != "none"]
+    if "robust" not in methods.values() or train.is_cached:
+        return _fit(train, methods, cols, side, dict(lagged))
+    # Quartiles take a few passes; the columns are kept (with their lineage) in between.
+    train = train.select(*cols).persist()
+    try:
+        return _fit(train, methods, cols, side, dict(lagged))
+    finally:
+        train.unpersist()
+
+
+def _fit(train: DataFrame, methods: dict[str, str], cols: list[str], side: str, lagged: dict[str, str]) -> dict[str, Stats]:
     out: dict[str, Stats] = {}
     if cols:
         robust = [c for c in cols if methods[c] == "robust"]
@@ -102,7 +113,7 @@ def fit_norm(train: DataFrame, methods: dict[str, str], side: str = "x", lagged:
                     out[c] = Stats(
                         c, "robust", side, min=q["min"], max=q["max"], median=q[("low", 0.5)], q1=q[("q", 0.25)], q3=q[("q", 0.75)]
                     )
-    for c, base in dict(lagged).items():
+    for c, base in lagged.items():
         if base in out:
             out[c] = Stats(**{**asdict(out[base]), "column": c})
     return out

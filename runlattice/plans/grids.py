@@ -232,16 +232,13 @@ def recorded(spark, folder):
 @query(
     "c15_events_to_trajectory",
     sql(
-        """SELECT exp_code, CAST(row_number() OVER (PARTITION BY exp_code ORDER BY step_index, seq) AS INTEGER) AS pos,
+        """SELECT exp_code, row_number() OVER (PARTITION BY exp_code ORDER BY step_index, seq) - 1 AS pos,
         step_index AS step, param, value FROM ups WHERE iterator_code = 'n_days'""",
         "ups",
     ),
 )
 def trajectory(spark, folder):
-    steps = asof.events_to_trajectory(tb.updates(spark, folder), DAYS, "day")
-    return steps.select("exp_code", F.posexplode("steps").alias("pos", "s")).select(
-        "exp_code", (F.col("pos") + 1).alias("pos"), "s.step", "s.param", "s.value"
-    )
+    return asof.events_to_trajectory(tb.updates(spark, folder), DAYS, "day").drop("seq")
 
 
 @query(

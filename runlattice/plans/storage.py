@@ -17,6 +17,42 @@ from runlattice.sources import tables as tb
 from runlattice.streaming import updates as su
 
 
+def supplier_runs(spark, folder):
+    """Suppliers as a small study kept as one folder per experiment."""
+    return tb.table(spark, folder, "supplier").select(
+        F.concat(F.lit("run/"), F.col("s_suppkey").cast("string")).alias("exp_code"), F.col("s_acctbal").alias("balance"), "s_nationkey"
+    )
+
+
+@query("a01_list_experiments", "SELECT 'run/' || s_suppkey AS exp_code FROM supplier")
+def list_experiments(spark, folder):
+    root = shared_folder(spark, "study")
+    layout.write_documents(supplier_runs(spark, folder), root, "parameters")
+    return layout.list_experiments(spark, f"{root}/parameters")
+
+
+@query("a02_documents", "SELECT 'run/' || s_suppkey AS exp_code, s_acctbal AS balance, s_nationkey FROM supplier")
+def documents(spark, folder):
+    root = shared_folder(spark, "study")
+    layout.write_documents(supplier_runs(spark, folder), root, "parameters")
+    return layout.read_documents(spark, root, "parameters", "balance double, s_nationkey int")
+
+
+@query(
+    "a03_feature_files",
+    "SELECT 'run/' || l_suppkey AS exp_code, CAST(l_linenumber - 1 AS INTEGER) AS layer, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1, 2",
+)
+def feature_files(spark, folder):
+    root = shared_folder(spark, "study")
+    cells = (
+        tb.table(spark, folder, "lineitem")
+        .groupBy(F.concat(F.lit("run/"), F.col("l_suppkey").cast("string")).alias("exp_code"), (F.col("l_linenumber") - 1).alias("layer"))
+        .agg(F.sum("l_quantity").alias("quantity"))
+    )
+    layout.write_feature_files(cells, root, "quantity", ["layer"])
+    return layout.read_feature_files(spark, root, "quantity", ["layer"])
+
+
 @query(
     "a04_new_rows",
     sql("SELECT exp_code, layer, price FROM cells WHERE exp_code NOT IN (SELECT exp_code FROM experiments WHERE dataset_code = 'F')", "experiments", "cells"),

@@ -28,6 +28,8 @@ def build_session(app: str = "runlattice", master: str | None = None) -> SparkSe
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Split a hot key even where that costs the step after the join a shuffle of its own.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         # Methods above this size are not compiled by HotSpot; plans that wide run better without.

@@ -16,7 +16,8 @@ from runlattice.operators.grid import KEY
 from runlattice.session import checkpointed
 
 UPDATE_LOG = "array<struct<updates: map<string,string>, iterator_code: string, step_index: int, source_step: string>>"
-SET_LIST = "array<struct<code: string, members: array<string>, ordered: boolean>>"
+SET_LIST = "array<struct<code: string, members: array<string>, ordered: boolean, offset: bigint>>"
+CHUNK = 1 << 16
 
 
 def experiment_code(schema: str, number: Column) -> Column:
@@ -31,7 +32,8 @@ def experiment_code(schema: str, number: Column) -> Column:
 def _code_of(path: Column, root: str) -> Column:
     """Folder of a file, relative to the root."""
     clean = root.rstrip("/").split("://")[-1].split(":")[-1]
-    return F.url_decode(F.regexp_extract(path, f"{clean}/(.+)/[^/]+$", 1))
+    folder = F.regexp_extract(path, f"{clean}/(.+)/[^/]+$", 1)
+    return F.url_decode(F.regexp_replace(folder, f"(^|/){KEY}=", "$1"))
 
 
 def list_experiments(spark: SparkSession, root: str) -> DataFrame:
@@ -86,13 +88,18 @@ def read_features(spark: SparkSession, root: str, feature: str, iterators: list[
     return rows.select(KEY, *[F.bround(i).cast("int").alias(i) for i in iterators], value.alias(feature))
 
 
-def sets_to_json(sets: DataFrame) -> DataFrame:
-    """One JSON text per set; members in order."""
-    packed = sets.groupBy(F.col("set_code").alias("code")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", KEY))), lambda m: m[KEY].cast("string")).alias("members"),
+def sets_to_json(sets: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """JSON texts of sets, members in order.
+
+    A set longer than a chunk becomes several objects; all but the first carry their offset.
+    """
+    part = F.floor(F.col("pos") / chunk)
+    packed = sets.groupBy(F.col("set_code").alias("code"), part.alias("_part")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", KEY))), lambda m: m[KEY].cast("string")).alias("members"),
         F.first("ordered").alias("ordered"),
     )
-    return packed.select(F.to_json(F.struct("code", "members", "ordered")).alias("value"))
+    offset = F.when(F.col("_part") > 0, F.col("_part") * chunk).alias("offset")
+    return packed.select(F.to_json(F.struct("code", "members", "ordered", offset)).alias("value"))
 
 
 def sets_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
@@ -100,8 +107,12 @@ def sets_from_json(texts: DataFrame, column: str = "value") -> DataFrame:
     whole = F.when(F.col(column).startswith("["), F.col(column)).otherwise(F.concat(F.lit("["), F.col(column), F.lit("]")))
     return (
         texts.select(F.explode(F.from_json(whole, SET_LIST)).alias("s"))
-        .select(F.col("s.code").alias("set_code"), F.col("s.ordered").alias("ordered"), F.posexplode("s.members").alias("pos", KEY))
-        .withColumn("pos", F.col("pos").cast("long"))
+        .select(
+            F.col("s.code").alias("set_code"), F.col("s.ordered").alias("ordered"),
+            F.coalesce("s.offset", F.lit(0)).alias("_o"), F.posexplode("s.members").alias("pos", KEY),
+        )
+        .withColumn("pos", F.col("pos") + F.col("_o"))
+        .drop("_o")
     )
 
 
@@ -167,6 +178,17 @@ def write_documents(df: DataFrame, root: str, block: str, recompute: bool = Fals
     return True
 
 
+def read_documents(spark: SparkSession, root: str, block: str, schema: str) -> DataFrame:
+    """Documents written by ``write_documents``; ``schema`` is that of the other columns."""
+    return spark.read.schema(f"{schema}, {KEY} string").json(f"{root.rstrip('/')}/{block}")
+
+
+def read_feature_files(spark: SparkSession, root: str, feature: str, iterators: list[str]) -> DataFrame:
+    """Cells written by ``write_feature_files``."""
+    schema = ", ".join([*[f"{i} int" for i in iterators], f"{feature} double", f"{KEY} string"])
+    return spark.read.schema(schema).option("header", True).csv(f"{root.rstrip('/')}/{feature}")
+
+
 def write_feature_files(cells: DataFrame, root: str, feature: str, iterators: list[str], recompute: bool = False) -> bool:
     """CSV cells of a feature, one folder per experiment; a big one is split over files."""
     path = f"{root.rstrip('/')}/{feature}"

@@ -33,6 +33,9 @@ def test_reading_folders(spark, tree):
     cells = layout.read_features(spark, tree, "temp", ["i"])
     assert rows(cells.where("exp_code = 'exp_001'"), "i") == [("exp_001", 0, 1.0), ("exp_001", 1, None)]
     assert rows(layout.load_sets(spark, tree), "pos") == [("E1", True, 0, "e1"), ("E1", True, 1, "e2")]
+    run = spark.createDataFrame([("S", True, i, f"m{i}") for i in range(10)], "set_code string, ordered boolean, pos long, exp_code string")
+    again = layout.sets_from_json(layout.sets_to_json(run, chunk=4))
+    assert rows(again, "pos") == rows(run, "pos")
     assert layout.read_snapshots(spark, tree).count() == 2
 
 
