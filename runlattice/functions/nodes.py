@@ -3,17 +3,19 @@
 A sum of many smooth kernels does not need the kernels one by one. The unit domain is cut into
 cells no wider than the kernel; inside a cell a point's weight is spread over a few Chebyshev
 nodes so that sums of smooth functions keep their value to about ten digits. The spread is a plain
-sum per cell, so Spark aggregates it map-side in one pass however the points are clumped, and
-what comes out is bounded by the domain and the kernel width, never by the number of points.
+sum per cell, so each task adds up its own part however the points are clumped, and what comes
+out is bounded by the domain and the kernel width, never by the number of points.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_NODES = 40_000_000
@@ -51,18 +53,32 @@ class Line:
         t = np.cos(k[None, :] * np.arccos(self.unit_nodes)[:, None])
         return t * np.where(k == 0, 1.0, 2.0)[None, :] / self.m
 
-    def place(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell and Chebyshev polynomials (n, m) of points on the line."""
-        cell = np.clip(np.floor((z - self.lo) / self.h), 0, self.cells - 1).astype(np.int64)
+    def cell_of(self, z: np.ndarray) -> np.ndarray:
+        return np.clip(((z - self.lo) / self.h).astype(np.int64), 0, self.cells - 1)
+
+    def polynomials(self, z: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Chebyshev polynomials (m, n) of points in their cells."""
         u = np.clip(2 * ((z - self.lo) / self.h - cell) - 1, -1.0, 1.0)
-        return cell, np.cos(np.arange(self.m)[None, :] * np.arccos(u)[:, None])
+        t = np.empty((self.m, len(u)))
+        t[0] = 1.0
+        if self.m > 1:
+            t[1] = u
+        for k in range(2, self.m):
+            np.multiply(2 * u, t[k - 1], out=t[k])
+            t[k] -= t[k - 2]
+        return t
+
+    def place(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell and polynomials (n, m) of points on the line."""
+        cell = self.cell_of(z)
+        return cell, self.polynomials(z, cell).T
 
 
 def _apply(tensor: np.ndarray, dim: int, matrix: np.ndarray) -> np.ndarray:
     return np.moveaxis(np.tensordot(matrix, tensor, axes=(1, dim)), 0, dim)
 
 
-def check_size(lines: list[Line]) -> None:
+def check_size(lines: tuple[Line, ...]) -> None:
     size = 1
     for line in lines:
         size *= line.cells * line.m
@@ -72,40 +88,98 @@ def check_size(lines: list[Line]) -> None:
         )
 
 
-def node_weights(points: DataFrame, dims: list[str], weight: str, lines: list[Line], by: list[str] = ()) -> dict:
-    """{group: node weight tensor} of a weighted point set, by one aggregate over it.
+@dataclass(frozen=True)
+class Measure:
+    """A weighted point set made from kernels: some of their coordinates, moved by offsets.
 
-    ``by`` columns must be declared names (models, dimensions), as each group has a tensor.
+    Points outside ``bounds`` are left out; ``lines`` are the cells they are summed into.
     """
-    check_size(lines)
-    cells, orders = [], []
-    df = points
-    for d, (name, line) in enumerate(zip(dims, lines)):
-        at = (F.col(name) - line.lo) / line.h
-        cell = F.greatest(F.lit(0), F.least(F.floor(at), F.lit(line.cells - 1))).cast("int")
-        u = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * (at - cell) - 1))
-        df = df.withColumn(f"_c{d}", cell).withColumn(f"_t{d}", F.acos(u))
-        cells.append(f"_c{d}")
-    term: Column = F.col(weight)
-    for d, line in enumerate(lines[:-1]):
-        df = df.withColumn(f"_k{d}", F.explode(F.sequence(F.lit(0), F.lit(line.m - 1))))
-        term = term * F.cos(F.col(f"_k{d}") * F.col(f"_t{d}"))
-        orders.append(f"_k{d}")
-    last = len(lines) - 1
-    sums = [F.sum(term * F.cos(k * F.col(f"_t{last}"))).alias(f"s{k}") for k in range(lines[-1].m)]
-    out: dict = {}
-    for row in df.groupBy(*by, *cells, *orders).agg(*sums).collect():
-        key = tuple(row[b] for b in by)
-        if key not in out:
-            out[key] = np.zeros([n for line in lines for n in (line.cells, line.m)])
-        where = []
-        for d in range(last):
-            where += [row[cells[d]], row[orders[d]]]
-        out[key][(*where, row[cells[last]])] = [row[f"s{k}"] for k in range(lines[-1].m)]
-    for key, tensor in out.items():
-        for d, line in enumerate(lines):
-            tensor = _apply(tensor, 2 * d + 1, line.transform())
-        out[key] = tensor.reshape([line.cells * line.m for line in lines])
+
+    dims: tuple[int, ...]
+    lines: tuple[Line, ...]
+    offsets: np.ndarray
+    weights: np.ndarray
+    bounds: tuple[tuple[float, float], ...] | None = None
+
+    @classmethod
+    def of_centers(cls, dims: tuple[int, ...], lines: tuple[Line, ...]) -> Measure:
+        return cls(dims, lines, np.zeros((1, len(dims))), np.ones(1))
+
+    def moments(self, z: np.ndarray, w: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(cell, Chebyshev moments) of a batch of kernels; the last order is the last axis."""
+        y = (z[:, None, self.dims] + self.offsets[None]).reshape(-1, len(self.dims))
+        v = np.outer(w, self.weights).ravel()
+        if self.bounds is not None:
+            lo, hi = np.array(self.bounds).T
+            inside = ((y >= lo) & (y <= hi)).all(axis=1)
+            y, v = y[inside], v[inside]
+        if len(y) == 0:
+            return
+        flat = np.zeros(len(y), dtype=np.int64)
+        for d, line in enumerate(self.lines):
+            flat = flat * line.cells + line.cell_of(y[:, d])
+        # Few cells fit 16 bits, which sort in linear time.
+        order = np.argsort(flat.astype(np.uint16) if flat.max() < 1 << 16 else flat, kind="stable")
+        flat, y, v = flat[order], y[order], v[order]
+        polys = [line.polynomials(y[:, d], line.cell_of(y[:, d])) for d, line in enumerate(self.lines)]
+        right = polys[-1] * v
+        starts = np.flatnonzero(np.diff(flat, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(flat)]):
+            left = np.ones((1, b - a))
+            for t in polys[:-1]:
+                left = (left[:, None, :] * t[None, :, a:b]).reshape(-1, b - a)
+            yield int(flat[a]), left @ right[:, a:b].T
+
+
+def node_weights(kernels: DataFrame, dims: list[str], weight: str, measures: list[Measure], by: str) -> list[dict]:
+    """Node weight tensors {group: tensor} of each measure, all from one pass over the kernels.
+
+    A task adds up its own part and emits one row per occupied cell and order, so the shuffle does
+    not grow with the kernels. ``by`` must hold declared names (models): each has its tensors.
+    """
+    for m in measures:
+        check_size(m.lines)
+    width = max(m.lines[-1].m for m in measures)
+    names = [f"s{k}" for k in range(width)]
+    kind = kernels.schema[by].dataType.simpleString()
+
+    def add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for part in parts:
+            for group, rows in part.groupby(by, dropna=False, sort=False):
+                z, w = rows[dims].to_numpy(dtype=float), rows[weight].to_numpy(dtype=float)
+                for i, measure in enumerate(measures):
+                    for cell, moment in measure.moments(z, w):
+                        key = (group, i, cell)
+                        sums[key] = sums[key] + moment if key in sums else moment
+        for (group, i, cell), moment in sums.items():
+            full = np.zeros((len(moment), width))
+            full[:, : moment.shape[1]] = moment
+            out = pd.DataFrame(full, columns=names)
+            out.insert(0, "r", np.arange(len(moment), dtype=np.int32))
+            out.insert(0, "cell", np.int64(cell))
+            out.insert(0, "i", np.int32(i))
+            out.insert(0, by, group)
+            yield out
+
+    schema = f"{by} {kind}, i int, cell bigint, r int, " + ", ".join(f"{n} double" for n in names)
+    partial = kernels.select(by, *dims, weight).mapInPandas(add_up, schema)
+    total = partial.groupBy(by, "i", "cell", "r").agg(*[F.sum(n).alias(n) for n in names]).collect()
+    out: list[dict] = [{} for _ in measures]
+    for row in total:
+        lines = measures[row["i"]].lines
+        table = out[row["i"]]
+        if row[by] not in table:
+            table[row[by]] = np.zeros([n for line in lines for n in (line.cells, line.m)])
+        cells = np.unravel_index(row["cell"], [line.cells for line in lines])
+        orders = np.unravel_index(row["r"], [line.m for line in lines[:-1]]) if len(lines) > 1 else ()
+        where = [x for d in range(len(lines) - 1) for x in (cells[d], orders[d])]
+        table[row[by]][(*where, cells[-1])] = row[4 : 4 + lines[-1].m]
+    for measure, table in zip(measures, out):
+        for group, tensor in table.items():
+            for d, line in enumerate(measure.lines):
+                tensor = _apply(tensor, 2 * d + 1, line.transform())
+            table[group] = tensor.reshape([line.cells * line.m for line in measure.lines])
     return out
 
 
