@@ -152,14 +152,19 @@ def node_weights(kernels: DataFrame, dims: list[str], weight: str, measures: lis
                     for cell, moment in measure.moments(z, w):
                         key = (group, i, cell)
                         sums[key] = sums[key] + moment if key in sums else moment
-        for (group, i, cell), moment in sums.items():
-            full = np.zeros((len(moment), width))
-            full[:, : moment.shape[1]] = moment
+        entries = list(sums.items())
+        for at in range(0, len(entries), 1000):
+            some = entries[at : at + 1000]
+            full = np.zeros((sum(len(m) for _, m in some), width))
+            ends = np.cumsum([len(m) for _, m in some])
+            for (_, moment), end in zip(some, ends):
+                full[end - len(moment) : end, : moment.shape[1]] = moment
+            sizes = [len(m) for _, m in some]
             out = pd.DataFrame(full, columns=names)
-            out.insert(0, "r", np.arange(len(moment), dtype=np.int32))
-            out.insert(0, "cell", np.int64(cell))
-            out.insert(0, "i", np.int32(i))
-            out.insert(0, by, group)
+            out.insert(0, "r", np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))
+            out.insert(0, "cell", np.repeat(np.array([k[2] for k, _ in some], dtype=np.int64), sizes))
+            out.insert(0, "i", np.repeat(np.array([k[1] for k, _ in some], dtype=np.int32), sizes))
+            out.insert(0, by, np.repeat(np.array([k[0] for k, _ in some]), sizes))
             yield out
 
     schema = f"{by} {kind}, i int, cell bigint, r int, " + ", ".join(f"{n} double" for n in names)

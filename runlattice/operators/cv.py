@@ -63,13 +63,25 @@ def _solve(part: pd.DataFrame, n: int, targets: int, total: dict | None) -> np.n
     return out
 
 
-def fold_models(rows: DataFrame, fold: str, inputs: list[str], targets: list[str], centers: dict) -> DataFrame:
-    """(fold, coef: array per target) of the models trained without each fold."""
+def fold_models(
+    rows: DataFrame, fold: str, inputs: list[str], targets: list[str], centers: dict, k: int | None = None
+) -> DataFrame:
+    """(fold, coef: array per target) of the models trained without each fold.
+
+    The sums of k folds are k rows and are solved at once; without k they stay distributed.
+    """
     sums = _sums(inputs, targets, centers)
-    per_fold = rows.groupBy(fold).agg(*[c.alias(k) for k, c in sums.items()])
-    total = rows.agg(*[c.alias(k) for k, c in sums.items()]).first().asDict()
+    per_fold = rows.groupBy(fold).agg(*[c.alias(name) for name, c in sums.items()])
     n, m = len(inputs) + 1, len(targets)
     kind = rows.schema[fold].dataType.simpleString()
+    if k is not None:
+        few = per_fold.toPandas()
+        if len(few) < 2:
+            raise ValueError("cross-validation needs at least two folds with rows")
+        coef = _solve(few, n, m, {c: few[c].sum() for c in sums})
+        table = [(f, c.tolist()) for f, c in zip(few[fold].tolist(), coef)]
+        return rows.sparkSession.createDataFrame(table, f"{fold} {kind}, coef array<array<double>>")
+    total = rows.agg(*[c.alias(name) for name, c in sums.items()]).first().asDict()
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -94,11 +106,11 @@ def cross_validate(
     """
     if k is not None and k < 2:
         raise ValueError("cross-validation needs at least two folds")
-    if folds.limit(2).count() < 2:
+    if k is None and folds.limit(2).count() < 2:
         raise ValueError("cross-validation needs at least two experiments")
     held = rows.join(folds, KEY)
     centers = _centers(rows, inputs)
-    models = fold_models(held, "fold", inputs, targets, centers)
+    models = fold_models(held, "fold", inputs, targets, centers, k)
     scored = held.join(F.broadcast(models) if k is not None else models, "fold")
     pairs = F.explode(
         F.array(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -251,8 +253,8 @@ def train(spark, folder):
 
 def fitted(spark, folder, kind: str = "linear"):
     data = train(spark, folder)
-    x = prep.fit_norm(data, {"quantity": "standard", "discount": "min_max"})
-    y = prep.fit_norm(data, {"price": "standard"}, side="y")
+    x = prep.fit_norm(data, {"quantity": "standard", "discount": "min_max", "price": "standard"})
+    y = {"price": replace(x.pop("price"), side="y")}
     spec = models.ModelSpec("price_model", ("quantity", "discount"), ("price",), kind)
     return models.fit([spec], data, x, y)
 

@@ -611,11 +611,10 @@ def gap(spark, folder):
 
 def training_rows(spark, folder):
     """Flagship: grid, positions, lags, train-only scaling and filled inputs in one plan."""
-    base = prep.add_lags(rows(spark, folder), ["quantity"], k=1)
     stats = prep.fit_norm(
-        base.join(splits(spark, folder).where("split = 'train'").select("exp_code"), "exp_code", "left_semi"),
-        {"total": "standard", "quantity": "min_max"}, lagged={"prev_quantity": "quantity"},
+        train_rows(spark, folder), {"total": "standard", "quantity": "min_max"}, lagged={"prev_quantity": "quantity"}
     )
+    base = prep.add_lags(rows(spark, folder), ["quantity"], k=1)
     ready = prep.apply_norm(prep.fill_inputs(base, ["total", "layer_pos", "prev_quantity"]), {k: stats[k] for k in ("total", "prev_quantity")})
     kept, _ = prep.drop_missing_targets(ready, ["price"])
     return kept.select("exp_code", "cell_idx", *[F.round(c, 6).alias(c) for c in ("total", "layer_pos", "prev_quantity")], "price")
