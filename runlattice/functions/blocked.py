@@ -56,8 +56,8 @@ def positions(
     )
 
 
-def shuffled_positions(df: DataFrame, key: str, seed: int, name: str = "pos") -> DataFrame:
-    """0-based rank under a reproducible shuffle: order by md5(seed, key).
+def shuffled_positions(df: DataFrame, key: str, seed: int, name: str = "pos", total: str = "n_rows") -> DataFrame:
+    """0-based rank under a reproducible shuffle: order by md5(seed, key); ``total`` is the row count.
 
     Digests spread evenly, so their first four hex digits are a fair block.
     """
@@ -65,7 +65,10 @@ def shuffled_positions(df: DataFrame, key: str, seed: int, name: str = "pos") ->
     hashed = df.withColumn("_h", digest).withColumn("_p", F.substring("_h", 1, 4))
     counts = hashed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    whole = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = counts.select(
+        "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), F.sum("_n").over(whole).alias(total)
+    )
     inside = Window.partitionBy("_p").orderBy("_h", key)
     return (
         hashed.join(offsets, "_p")

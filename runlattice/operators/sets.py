@@ -81,7 +81,7 @@ def split(
         free = free.join(preset.select(KEY), KEY, "left_anti")
         if val == 0 and test == 0:
             return preset.select(KEY, "split")
-    n = free.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n = F.col("n_rows")
     n_test = F.bround(n * F.lit(float(test))).cast("long")
     share = val / (1.0 - test) if test < 1 else 0.0
     n_val = F.bround((n - n_test) * F.lit(float(share))).cast("long")
@@ -127,8 +127,7 @@ def folds(codes: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
     ranked = shuffled_positions(codes.select(KEY), KEY, seed)
     if k is None:
         return ranked.select(KEY, F.col("pos").alias("fold"))
-    n = codes.agg(F.count(F.lit(1)).alias("n")).scalar()
-    return ranked.select(KEY, F.when(F.lit(k) >= n, F.col("pos")).otherwise(F.col("pos") % max(2, k)).alias("fold"))
+    return ranked.select(KEY, F.when(F.lit(k) >= F.col("n_rows"), F.col("pos")).otherwise(F.col("pos") % max(2, k)).alias("fold"))
 
 
 def parse_provenance(df: DataFrame, snapshot: str = "config_snapshot") -> DataFrame:

@@ -214,7 +214,19 @@ def evidence_grid(spark, folder):
     return out.select("ix", "iy", F.round(ev.evidence(F.col("density")), 6).alias("evidence"))
 
 
-@query("j01_sobol_points")
+def sobol_sql(index: str, dim: int, seed: int) -> str:
+    """One coordinate of the sequence at an index, from its direction numbers."""
+    gray = f"xor({index}, {index} >> 1)"
+    expr = f"CAST({design.digital_shift(dim, seed)} AS BIGINT)"
+    for bit, v in enumerate(design.direction_numbers(dim)):
+        expr = f"xor({expr}, (({gray} >> {bit}) & 1) * {v})"
+    return f"({expr} + 0.5::DOUBLE) / 1073741824.0"
+
+
+@query(
+    "j01_sobol_points",
+    "SELECT o_orderkey AS exp_code, " + ", ".join(f"{sobol_sql('o_orderkey', d, 3)} AS u{d}" for d in range(3)) + " FROM orders",
+)
 def sobol_points(spark, folder):
     return design.unit_points(tb.experiments(spark, folder).select("exp_code"), "exp_code", ["u0", "u1", "u2"], seed=3)
 
@@ -250,7 +262,15 @@ def strata(spark, folder):
     return design.assign_strata(rows, "cand_id", n, LABELS).select("cand_id", "stratum", "status")
 
 
-@query("j04_sobol_design")
+@query(
+    "j04_sobol_design",
+    f"""SELECT cand_id, CAST(round_even(u0 * 200 + 5, 3) AS DOUBLE) AS speed, CAST(greatest(1, least(9, round_even(u1 * 8, 0) + 1)) AS BIGINT) AS count,
+       list_extract(['F', 'O', 'P'], 1 + CASE WHEN cand_id < edge THEN cand_id // (each + 1) ELSE extra + (cand_id - edge) // each END) AS status,
+       '2-HIGH' AS priority, CAST(ceil((u0 * 200 + 5) / 50) AS INTEGER) AS n_layers,
+       '{{"source":"sobol_step","seed":0,"design":"sobol"}}' AS config_snapshot
+       FROM (SELECT c_custkey AS cand_id, n // 3 AS each, n % 3 AS extra, (n % 3) * (n // 3 + 1) AS edge, {sobol_sql('c_custkey', 0, 0)} AS u0,
+       {sobol_sql('c_custkey', 1, 0)} AS u1 FROM customer, (SELECT count(*) AS n FROM customer))""",
+)
 def sobol_design(spark, folder):
     rows = tb.table(spark, folder, "customer").select(F.col("c_custkey").alias("cand_id"))
     n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -339,9 +359,18 @@ def discover(spark, folder):
     return acquire.discover(tb.candidates(spark, folder), fit(spark, folder), 3)
 
 
-@query("j13_propose")
+@query(
+    "j13_propose",
+    sql(
+        """SELECT cand_id, round(0.5 * (1 - abs(z0 - 0.5) * z1) + 0.5 * gain, 6) AS score, 'exploration_step' AS source,
+        '{"source":"exploration_step","kappa":0.5,"seed":7}' AS config_snapshot FROM cand JOIN gain USING (cand_id)
+        ORDER BY 0.5 * (1 - abs(z0 - 0.5) * z1) + 0.5 * gain DESC, cand_id LIMIT 1""",
+        "kernels", "cand", extra=GAIN,
+    ),
+)
 def propose(spark, folder):
-    return acquire.propose(tb.candidates(spark, folder), None, perf(), fit(spark, folder), seed=7)
+    out = acquire.propose(tb.candidates(spark, folder), None, perf(), fit(spark, folder), seed=7)
+    return out.select("cand_id", F.round("score", 6).alias("score"), "source", "config_snapshot")
 
 
 @query(

@@ -8,6 +8,7 @@ from runlattice.operators import asof, models, prep
 from runlattice.plans.base import query, sql
 from runlattice.plans.catalog import MEMBERS, members, snapshots
 from runlattice.plans.grids import CONTEXT, DAYS, EVENTS, _asof_sql
+from runlattice.plans.learning import LEARN
 from runlattice.plans.learning import fitted as fitted_model
 from runlattice.plans.learning import measured
 from runlattice.plans.modelling import NORMED, VIEWS, fitted, rows
@@ -153,12 +154,13 @@ def norm_state(spark, folder):
     return prep.apply_norm(rows(spark, folder), {"total": again["total"]}).select("exp_code", "cell_idx", F.round("total", 6).alias("total"))
 
 
-@query("a13_bundle")
+@query("a13_bundle", sql("SELECT exp_code, layer, round(pred_price, 3) AS price FROM prd", "experiments", "cells", extra=LEARN))
 def bundle(spark, folder):
     path = shared_folder(spark, "bundle")
     sample = measured(spark, folder)
     models.save_bundle(fitted_model(spark, folder), path, spark, sample)
-    return models.bundle_predict(sample.drop("price"), models.load_bundle(path, spark), ["exp_code", "layer"])
+    out = models.bundle_predict(sample.drop("price"), models.load_bundle(path, spark), ["exp_code", "layer"])
+    return out.withColumn("price", F.round("price", 3))
 
 
 @query(
