@@ -21,6 +21,8 @@ from runlattice.operators.grid import KEY, expand_domain, num_rows, stride
 from runlattice.schema import Axis, find_axis
 
 ALWAYS = -1
+# Index values up to which an axis is resolved in one array per experiment.
+LONG_AXIS = 1 << 16
 
 
 def with_axis_position(updates: DataFrame, axes: list[Axis]) -> DataFrame:
@@ -31,28 +33,81 @@ def with_axis_position(updates: DataFrame, axes: list[Axis]) -> DataFrame:
     return updates.withColumn("axis_pos", place).where("axis_pos IS NOT NULL")
 
 
-def attach_steps(df: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str) -> DataFrame:
-    """Give each row its experiment's step functions in ``_steps``: one array per parameter and axis.
+def _span(axes: list[Axis], k: int, mode: str) -> int:
+    """Greatest number of index values a step on an axis is compared with, by the declared sizes."""
+    sizes = [a.max_size for a in axes]
+    return sizes[k] if mode == "context" else reduce(lambda a, b: a * b, sizes[: k + 1], 1)
+
 
-    Only the last entry per (parameter, axis, step) can win anywhere, so the log is first
-    reduced to that by a map-side aggregate. What is left per experiment is bounded by the
-    declared axis sizes, however long the log is. Array element i is the winner at index i.
+def last_entries(updates: DataFrame, axes: list[Axis], params: list[str], mode: str) -> DataFrame:
+    """The log reduced to what can win: the last entry per (parameter, axis, step).
+
+    A map-side aggregate, however many entries one experiment has; steps no cell can reach are
+    left out, so the declared axis sizes bound what is left.
     """
     log = with_axis_position(updates, axes).where(F.col("param").isin(*params))
     step = F.when(F.col("axis_pos") == ALWAYS, 0).otherwise(F.greatest(F.col("step_index"), F.lit(0)))
-    log = log.withColumn("step", step)
-    if mode == "context":
-        limit = reduce(
-            lambda acc, pa: acc.when(F.col("axis_pos") == pa[0], pa[1].max_size),
-            enumerate(axes),
-            F.when(F.col("axis_pos") == ALWAYS, 1),
-        )
-        log = log.where(F.col("step") < limit)
-    last = (
-        log.groupBy(KEY, "param", "axis_pos", "step")
+    limit = reduce(
+        lambda acc, k: acc.when(F.col("axis_pos") == k, F.lit(_span(axes, k, mode)).cast("long")),
+        range(len(axes)),
+        F.when(F.col("axis_pos") == ALWAYS, F.lit(1).cast("long")),
+    )
+    return (
+        log.withColumn("step", step)
+        .where(F.col("step") < limit)
+        .groupBy(KEY, "param", "axis_pos", "step")
         .agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
         .withColumn("win", F.struct("seq", "value"))
     )
+
+
+def _is_long(axes: list[Axis], k: int, mode: str, long_axis: int) -> bool:
+    return _span(axes, k, mode) > long_axis
+
+
+def join_long_axes(
+    cells: DataFrame, experiments: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str,
+    long_axis: int = LONG_AXIS,
+) -> DataFrame:
+    """Add the winners on axes too long for one array: ``_long_<k>`` with a field per parameter.
+
+    They are resolved on the axis alone, in blocks that hand the winner so far to the next one,
+    and join the cells by (experiment, index).
+    """
+    for k, axis in enumerate(axes):
+        if not _is_long(axes, k, mode, long_axis):
+            continue
+        own = [axis] if mode == "context" else axes[: k + 1]
+        line = expand_domain(experiments.select(KEY, *[a.size for a in own]), own).select(KEY, F.col("cell_idx").alias("_q"))
+        here = last_entries(updates, axes, params, mode).where(F.col("axis_pos") == k)
+        wide = here.groupBy(KEY, F.col("step").cast("long").alias("_q")).agg(
+            *[F.max(F.when(F.col("param") == p, F.col("win"))).alias(f"_w_{p}") for p in params]
+        )
+        filled = line.join(wide, [KEY, "_q"], "left").withColumn("_blk", F.floor(F.col("_q") / long_axis))
+        best = filled.groupBy(KEY, "_blk").agg(*[F.max(f"_w_{p}").alias(f"_w_{p}") for p in params])
+        before = Window.partitionBy(KEY).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+        carry = best.select(KEY, "_blk", *[F.max(f"_w_{p}").over(before).alias(f"_c_{p}") for p in params])
+        inside = Window.partitionBy(KEY, "_blk").orderBy("_q")
+        found = filled.join(carry, [KEY, "_blk"]).select(
+            KEY,
+            "_q",
+            F.struct(*[F.greatest(F.max(f"_w_{p}").over(inside), F.col(f"_c_{p}")).alias(p) for p in params]).alias(f"_long_{k}"),
+        )
+        at = F.col(axis.index).cast("long") if mode == "context" else F.floor(F.col("cell_idx") / stride(axes, axis.index))
+        cells = cells.withColumn("_q", at).join(found, [KEY, "_q"], "left").drop("_q")
+    return cells
+
+
+def attach_steps(
+    df: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str, long_axis: int = LONG_AXIS
+) -> DataFrame:
+    """Give each row its experiment's step functions in ``_steps``: one array per parameter and axis.
+
+    Array element i is the winner at index i. Axes longer than ``long_axis`` are left to
+    ``join_long_axes``.
+    """
+    short = [k for k in range(len(axes)) if not _is_long(axes, k, mode, long_axis)]
+    last = last_entries(updates, axes, params, mode).where(F.col("axis_pos").isin(ALWAYS, *short))
     along = Window.partitionBy(KEY, "param", "axis_pos").orderBy("step")
     runs = last.select(
         KEY,
@@ -99,26 +154,56 @@ def read_steps(df: DataFrame, axes: list[Axis], params: list[str], mode: str) ->
     for p in params:
         wins = [win(p, ALWAYS, F.lit(0))]
         for k, axis in enumerate(axes):
-            if mode == "row":
+            if f"_long_{k}" in df.columns:
+                wins.append(F.col(f"_long_{k}").getField(p))
+            elif mode == "row":
                 wins.append(win(p, k, F.floor(F.col("cell_idx") / stride(axes, axis.index))))
             else:
                 wins.append(win(p, k, F.col(axis.index).cast("long")))
         best = F.greatest(*wins) if len(wins) > 1 else wins[0]
         new[p] = F.coalesce(best.getField("value").cast(df.schema[p].dataType), F.col(p))
-    return df.withColumns(new).drop("_steps")
+    return df.withColumns(new).drop("_steps", *[f"_long_{k}" for k in range(len(axes))])
 
 
 def effective_params(
-    experiments: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str = "context"
+    experiments: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str = "context",
+    long_axis: int = LONG_AXIS,
 ) -> DataFrame:
     """The full grid with the parameters in force at each cell.
 
-    Step functions join the experiments before these expand, so cells are never shuffled.
+    Step functions join the experiments before these expand, so cells are not shuffled, except
+    to meet an axis that is too long for an array.
     """
     if mode not in ("context", "row"):
         raise ValueError(f"unknown as-of rule {mode!r}")
-    stepped = attach_steps(experiments, updates, axes, params, mode)
-    return read_steps(expand_domain(stepped, axes), axes, params, mode)
+    stepped = attach_steps(experiments, updates, axes, params, mode, long_axis)
+    cells = join_long_axes(expand_domain(stepped, axes), experiments, updates, axes, params, mode, long_axis)
+    return read_steps(cells, axes, params, mode)
+
+
+def _event_start(axes: list[Axis]) -> Column:
+    """First flat cell an update applies to under the row rule."""
+    start = F.when(F.col("axis_pos") == ALWAYS, F.lit(0).cast("long"))
+    for k, axis in enumerate(axes):
+        start = start.when(F.col("axis_pos") == k, F.col("step") * stride(axes, axis.index))
+    return start
+
+
+def _params_at_cell(
+    experiments: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], cell: Column
+) -> DataFrame:
+    """Parameters in force at one flat cell per experiment (row rule): an aggregate over the log."""
+    place = experiments.select(KEY, *[a.size for a in axes], cell.cast("long").alias("_cell"))
+    on = last_entries(updates, axes, params, "row").join(place, KEY).where(_event_start(axes) <= F.col("_cell"))
+    won = on.groupBy(KEY).agg(
+        *[
+            F.max_by(F.when(F.col("param") == p, F.col("value")), F.when(F.col("param") == p, F.col("seq"))).alias(f"_w_{p}")
+            for p in params
+        ]
+    )
+    df = experiments.join(won, KEY, "left").withColumn("cell_idx", cell.cast("long"))
+    held = {p: F.coalesce(F.col(f"_w_{p}").cast(experiments.schema[p].dataType), F.col(p)) for p in params}
+    return df.withColumns(held).drop(*[f"_w_{p}" for p in params])
 
 
 def params_at_step(
@@ -128,17 +213,15 @@ def params_at_step(
     """Parameters in force where a step of an axis starts; without axis, at the first cell."""
     if (axis is None) != (step is None):
         raise ValueError("axis and step go together")
-    at = F.lit(0).cast("long") if axis is None else F.lit(step) * stride(axes, axis)
-    df = attach_steps(experiments, updates, axes, params, "row").withColumn("cell_idx", at)
-    return read_steps(df, axes, params, "row")
+    at = F.lit(0) if axis is None else F.lit(step) * stride(axes, axis)
+    return _params_at_cell(experiments, updates, axes, params, at)
 
 
 def params_at_last_row(
     experiments: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str]
 ) -> DataFrame:
     """Parameters in force at the last cell of each experiment."""
-    df = attach_steps(experiments, updates, axes, params, "row")
-    return read_steps(df.withColumn("cell_idx", F.greatest(num_rows(axes) - 1, F.lit(0))), axes, params, "row")
+    return _params_at_cell(experiments, updates, axes, params, F.greatest(num_rows(axes) - 1, F.lit(0)))
 
 
 def record_updates(
@@ -154,17 +237,27 @@ def record_updates(
     guard = F.when(
         F.col("param").isin(*names), F.raise_error(F.lit("the size of an axis cannot be updated")).cast("boolean")
     ).otherwise(F.lit(True))
-    known = proposals.where(guard)
-    chained = lag_sparse(known, [KEY, "param"], "seq", "value", "_prior")
-    placed = with_axis_position(chained, axes)
-    start = F.when(F.col("axis_pos") == ALWAYS, 0)
-    for k, axis in enumerate(axes):
-        start = start.when(F.col("axis_pos") == k, F.col("step_index") * stride(axes, axis.index))
-    base = attach_steps(experiments.select(KEY, *[a.size for a in axes], *params), log, axes, params, "row")
-    joined = placed.join(base, KEY).withColumn("cell_idx", start.cast("long"))
-    before = read_steps(joined, axes, params, "row")
-    held = reduce(lambda acc, p: acc.when(F.col("param") == p, F.col(p)), params[1:], F.when(F.col("param") == params[0], F.col(params[0])))
-    return before.where(~F.col("value").eqNullSafe(F.coalesce(F.col("_prior"), held))).select(*proposals.columns)
+    chained = lag_sparse(proposals.where(guard), [KEY, "param"], "seq", "value", "_prior")
+    # Only the first proposal of a parameter looks into the log.
+    sizes = experiments.select(KEY, *[a.size for a in axes])
+    first = proposals.groupBy(KEY, "param").agg(F.min("seq").alias("seq"))
+    opening = (
+        with_axis_position(proposals, axes).join(first, [KEY, "param", "seq"], "left_semi").join(sizes, KEY)
+        .withColumn("step", F.coalesce("step_index", F.lit(0)))
+        .select(KEY, "param", F.col("seq").alias("_first"), _event_start(axes).alias("_from"))
+    )
+    known = last_entries(log, axes, params, "row").join(sizes, KEY).withColumn("_start", _event_start(axes))
+    logged = (
+        known.join(opening, [KEY, "param"]).where("_start <= _from").groupBy(KEY, "param").agg(F.max_by("value", "seq").alias("_logged"))
+    )
+    base = experiments.select(KEY, F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast(proposals.schema["value"].dataType).alias("_base")) for p in params])).alias("b"))
+    start = base.select(KEY, "b.param", "b._base").join(logged, [KEY, "param"], "left")
+    held = first.select(KEY, "param", F.col("seq").alias("_first")).join(start, [KEY, "param"], "left").select(
+        KEY, "param", "_first", F.coalesce("_logged", "_base").alias("_held")
+    )
+    before = chained.join(held, [KEY, "param"], "left")
+    prior = F.when(F.col("seq") == F.col("_first"), F.col("_held")).otherwise(F.col("_prior"))
+    return before.where(~F.col("value").eqNullSafe(prior)).select(*proposals.columns)
 
 
 def trajectory_to_events(trajectories: DataFrame, axes: list[Axis]) -> DataFrame:

@@ -66,8 +66,9 @@ def test_log_order_beats_step_order_and_unconditional_applies(spark, exp):
     assert [v for _, v in got] == [3.0, 3.0, 3.0, 4.0, 4.0, 4.0]
 
 
+@pytest.mark.parametrize("long_axis", [1 << 16, 3])
 @pytest.mark.parametrize("mode", ["context", "row"])
-def test_random_logs_against_a_loop(spark, mode):
+def test_random_logs_against_a_loop(spark, mode, long_axis):
     rng = random.Random(5)
     axes = [Axis("n0", "i0", 4), Axis("n1", "i1", 5)]
     exps, events = [], []
@@ -77,7 +78,7 @@ def test_random_logs_against_a_loop(spark, mode):
             axis = rng.choice(["n0", "i0", "i1", "n1", None])
             events.append((f"e{e}", s, axis, rng.randint(0, 7) if axis else None, rng.choice(["p", "q"]), rng.random()))
     base = spark.createDataFrame(exps, "exp_code string, p double, q double, n0 int, n1 int")
-    got = asof.effective_params(base, spark.createDataFrame(events, LOG), axes, ["p", "q"], mode).collect()
+    got = asof.effective_params(base, spark.createDataFrame(events, LOG), axes, ["p", "q"], mode, long_axis).collect()
     assert len(got) == sum(x[3] * x[4] for x in exps)
     for r in got:
         want = {"p": 0.5, "q": -0.5}
