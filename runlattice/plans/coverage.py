@@ -6,7 +6,7 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from runlattice.operators import acquire, design
+from runlattice.operators import acquire, design, evidence_wide
 from runlattice.operators import evidence as ev
 from runlattice.plans.base import query, sql
 from runlattice.plans.grids import DAYS, EVENTS
@@ -124,6 +124,49 @@ def joint(spark, folder):
     return one(spark, "integral", fit(spark, folder, marginal_weight=0.0).joint_integral())
 
 
+WIDE = ["z0", "z1", "z2", "z3"]
+WIDE_KERNELS = {
+    "raw": "SELECT vec_id AS kernel_id, " + ", ".join(f"CAST(embedding[{d + 1}] AS DOUBLE) AS v{d}" for d in range(4)) + " FROM embeddings",
+    "wk": "SELECT kernel_id, 1.0::DOUBLE AS w, " + ", ".join(f"(v{d} - min(v{d}) OVER ()) / (max(v{d}) OVER () - min(v{d}) OVER ()) AS z{d}" for d in range(4)) + " FROM raw",
+}
+
+
+def far(a: str, b: str) -> str:
+    return "exp(-(" + " + ".join(f"({a}.z{d} - {b}.z{d}) ** 2" for d in range(4)) + f") / {S2})"
+
+
+@query(
+    "i04_density_wide",
+    sql(f"SELECT p.kernel_id, round(sum(k.w * {far('p', 'k')}), 6) AS density FROM wk p, wk k GROUP BY 1", extra=WIDE_KERNELS),
+)
+def density_wide(spark, folder):
+    four = tb.kernels(spark, folder, 4)
+    out = evidence_wide.density(four.select("kernel_id", *WIDE), four, WIDE, SIGMA)
+    return out.select("kernel_id", F.round("density", 6).alias("density"))
+
+
+@lru_cache(maxsize=1)
+def wide_sql() -> str:
+    offsets, weights = ev.shell_probes(4, SIGMA)
+    rows = ", ".join("(" + ", ".join(f"{float(v)!r}::DOUBLE" for v in [*o, w]) + ")" for o, w in zip(offsets, weights))
+    moved = ", ".join(f"z{d} + o{d} AS z{d}" for d in range(4))
+    inside = " AND ".join(f"z{d} BETWEEN 0 AND 1" for d in range(4))
+    return sql(
+        f"""SELECT round(sum(v / (1 + rho)), 6) AS integral FROM (SELECT y.id, any_value(y.v) AS v, sum(k.w * {far('y', 'k')}) AS rho FROM wy y, wk k GROUP BY 1)""",
+        extra={
+            **WIDE_KERNELS,
+            "wo": f"SELECT * FROM (VALUES {rows}) t(o0, o1, o2, o3, ow)",
+            "wy": f"SELECT row_number() OVER () AS id, * FROM (SELECT {moved}, w * ow AS v FROM wk, wo) WHERE {inside}",
+        },
+    )
+
+
+@query("i07_joint_integral_wide", wide_sql())
+def joint_wide(spark, folder):
+    out = evidence_wide.joint_integral(tb.kernels(spark, folder, 4), WIDE, SIGMA)
+    return out.select(F.round("integral", 6).alias("integral"))
+
+
 @query("i08_blended_integral", sql(f"SELECT round(2 * {MARGINAL} / 3 + {JOINT} / 3, 6) AS integral", "kernels", extra={**PROBES, **SHELL}))
 def blended(spark, folder):
     return one(spark, "integral", fit(spark, folder).integral())

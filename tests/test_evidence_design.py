@@ -203,3 +203,38 @@ def test_trajectory_gain_uses_all_points(spark):
     df = spark.createDataFrame([(0, [[0.8, 0.8], [0.2, 0.8]])], "cand_id int, pts array<array<double>>")
     got = ev.with_gain(df, fitted, points="pts").first()["gain"]
     assert math.isclose(got, fitted.gain(np.array([[0.8, 0.8], [0.2, 0.8]]), np.array([0.5, 0.5])))
+
+
+def test_four_dimensions_against_all_pairs(spark):
+    from runlattice.operators import evidence_wide as wide
+
+    rng = np.random.default_rng(8)
+    z = np.concatenate([np.tile([[0.2, 0.7, 0.4, 0.5]], (20, 1)), rng.random((40, 4))])
+    w = rng.random(60) * 5
+    names = [f"z{i}" for i in range(4)]
+    df = kernel_df(spark, z.tolist(), w.tolist())
+    x = rng.random((15, 4))
+    pts = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "cand_id int, " + ", ".join(f"{n} double" for n in names))
+    got = [r["density"] for r in wide.density(pts, df, names, 0.1).orderBy("cand_id").collect()]
+    want = (w * np.exp(-((x[:, None] - z[None]) ** 2).sum(-1) / (2 * 0.1**2))).sum(1)
+    assert np.allclose(got, want, atol=1e-8)
+    base = brute_integral(z, w, 0.1, 0.8)
+    assert math.isclose(wide.integral(df, names, 0.1).first()["integral"], base, rel_tol=1e-6)
+    few = pts.where("cand_id < 4")
+    got = [r["gain"] for r in wide.gain(few, df, names, 0.1).orderBy("cand_id").collect()]
+    for i, g in enumerate(got):
+        more = brute_integral(np.vstack([z, x[i : i + 1]]), np.append(w, 1.0), 0.1, 0.8)
+        assert math.isclose(g, more - base, abs_tol=1e-6)
+
+
+def test_crowded_cells_are_cut_into_blocks(spark):
+    from runlattice.functions import blocks
+
+    def count(p, s):
+        assert len(p) < 2 * blocks.BLOCK and len(s) < 2 * blocks.BLOCK
+        return np.full(len(p), float(len(s)))
+
+    pts = spark.range(1500).select((F.col("id") / 1e6).alias("z0"))
+    src = spark.range(2000).select((F.col("id") / 1e6).alias("z0"))
+    out = blocks.sums_in_reach(pts, src, ["z0"], [], [], 1.0, count, "n")
+    assert out.agg(F.min("n"), F.max("n"), F.count("*")).first() == (2000.0, 2000.0, 1500)
