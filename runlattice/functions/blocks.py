@@ -49,6 +49,7 @@ def sums_in_reach(
     for key, cell in zip(keys, _cells(dims, reach)):
         near = near.withColumn(key, F.explode(F.sequence(cell - 1, cell + 1)))
     own = sources.select(*scols, *[c.alias(k) for k, c in zip(keys, _cells(dims, reach))])
+    near = near.join(own.select(*keys).distinct(), keys, "left_semi")
     met = _blocks(near, keys, pcols, "_p", True).join(_blocks(own, keys, scols, "_s", False), [*keys, "_salt"])
     wp, ws = len(pcols), len(scols)
 
