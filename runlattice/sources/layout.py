@@ -32,7 +32,7 @@ def experiment_code(schema: str, number: Column) -> Column:
 def _code_of(path: Column, root: str) -> Column:
     """Folder of a file, relative to the root."""
     clean = root.rstrip("/").split("://")[-1].split(":")[-1]
-    folder = F.regexp_extract(path, f"{clean}/(.+)/[^/]+$", 1)
+    folder = F.regexp_extract(path, rf"\Q{clean}\E/(.+)/[^/]+$", 1)
     return F.url_decode(F.regexp_replace(folder, f"(^|/){KEY}=", "$1"))
 
 
