@@ -279,10 +279,30 @@ def _keys() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.hash(text).alias("text_hash"), text.alias("text")]
 
 
-def _with_repeats(keyed: DataFrame) -> DataFrame:
-    """The keyed rows with the list of all runs of their document: as long as the document at most."""
-    runs = repeats(keyed.select("doc", "text_hash", "text")).groupBy("doc", "text_hash").agg(F.collect_list("data").alias("runs"))
-    return keyed.join(runs, ["doc", "text_hash"], "left")
+def _copies(docs: DataFrame) -> DataFrame:
+    """Keys of the rows whose whole text stands in an earlier row too; a text with many copies gathers nothing."""
+    small = docs.select(*_keys()[:2], F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("digest"))
+    first = small.groupBy("digest").agg(F.min(F.struct("doc", "text_hash")).alias("first"), F.max(F.struct("doc", "text_hash")).alias("last"))
+    later = small.join(first.filter("first != last").select("digest", "first"), "digest").filter(F.struct("doc", "text_hash") != F.col("first"))
+    return later.select("doc", "text_hash", F.lit(True).alias("copy")).distinct()
+
+
+def _with_repeats(docs: DataFrame, *more: Column) -> DataFrame:
+    """Rows (text, copy, runs, more): whether the whole text stands earlier, else all runs of repeated windows of its
+    document, which are as long as the document at most.
+
+    Copies are known first, so only one of each text seeds. The texts are dealt out once, for both joins.
+    """
+    keyed = docs.select(*_keys(), *more)
+    known = keyed.join(_copies(docs), ["doc", "text_hash"], "left")
+    runs = repeats(known.filter("copy IS NULL").select("doc", "text_hash", "text")).groupBy("doc", "text_hash").agg(F.collect_list("data").alias("runs"))
+    return known.join(runs, ["doc", "text_hash"], "left")
+
+
+def _gone(data: bytes, copy: bool | None, runs: list[bytes] | None) -> np.ndarray | None:
+    """Which words of a text go; None if none does."""
+    n = len(data.split())
+    return np.ones(n, bool) if copy and n >= LENGTH else _removed(runs, n) if runs else None
 
 
 def _kept_words(text: bytes, gone: np.ndarray | None) -> bytes:
@@ -313,16 +333,16 @@ def dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 1):
                 n, removed, sha = [], [], []
-                for text, runs in zip(part.column(1), part.column(2).to_pylist()):
-                    data = text.as_py().encode()
+                for whole, copy, runs in zip(part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                    data = whole.as_py().encode()
                     n.append(len(data.split()))
-                    gone = _removed(runs, n[-1]) if runs else None
+                    gone = _gone(data, copy, runs)
                     removed.append(0 if gone is None else int(gone.sum()))
                     sha.append(hashlib.sha256(_kept_words(data, gone)).hexdigest())
                 ids = part.column(0).to_pylist()
                 yield arrow_batch(schema, [[None if i == _NO_ID else i for i in ids], n, removed, sha])
 
-    rows = _with_repeats(docs.select(*_keys())).select("doc", "text", "runs")
+    rows = _with_repeats(docs).select("doc", "text", "copy", "runs")
     return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -331,22 +351,22 @@ def without_repeats(docs: DataFrame, text: Callable[[bytes, np.ndarray | None],
 
     A text that loses no word stays as it is, a null one null; a row whose words all go keeps an empty text.
     """
-    keyed = docs.select(*_keys(), F.struct("*").alias("row"))
     schema = docs.schema
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
                 kept = []
-                for whole, runs in zip(part.column(0), part.column(1).to_pylist()):
+                for whole, copy, runs in zip(part.column(0), part.column(1).to_pylist(), part.column(2).to_pylist()):
                     data = whole.as_py().encode()
-                    kept.append(text(data, _removed(runs, len(data.split())) if runs else None).decode())
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), part.column(2)], names=["kept", "row"])
+                    kept.append(text(data, _gone(data, copy, runs)).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), part.column(3), part.column(4)], names=["kept", "row", "no_text"])
 
-    rows = _with_repeats(keyed).select("text", "runs", "row")
-    done = rows.mapInArrow(finish, f"kept string, row struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in schema.fields)}>")
-    new = {"text": F.when(F.col("row.text").isNull(), None).otherwise(F.col("kept")).alias("text")}
+    others = [F.lit(None).cast("string").alias("text") if c == "text" else F.col(c) for c in docs.columns]
+    rows = _with_repeats(docs, F.struct(*others).alias("row"), F.col("text").isNull().alias("no_text")).select("text", "copy", "runs", "row", "no_text")
+    done = rows.mapInArrow(finish, f"kept string, row struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in schema.fields)}>, no_text boolean")
+    new = {"text": F.when(~F.col("no_text"), F.col("kept")).alias("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("row.text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept")).cast(schema["n_chars"].dataType).alias("n_chars")
+        new["n_chars"] = F.when(F.col("no_text"), F.col("row.n_chars")).otherwise(F.length("kept")).cast(schema["n_chars"].dataType).alias("n_chars")
     return done.select(*[new.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
