@@ -27,8 +27,8 @@ WORDS, LIKENESS = 5, 0.8
 #: A pair of the given likeness of 0.8 meets in one of 24 bands of 5 registers with probability 0.9999.
 BANDS, BAND = 24, 5
 REGISTERS = BANDS * BAND
-#: Rounds in which each bucket has one pivot, before all pairs left over between components are compared.
-ROUNDS = 3
+#: Texts of a block.
+BLOCK = 256
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _ONE, _NEVER = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -114,23 +114,24 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(common / either) if either else 0.0
 
 
-def _bands(rows: DataFrame) -> DataFrame:
-    """Of (digest, text) the rows (digest, bands) with band keys of all texts that have words."""
-    schema = pa.schema([("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _signed(rows: DataFrame) -> DataFrame:
+    """Of (digest, text) the rows (digest, bands, registers) of all texts that have words: a key per band, a byte per register."""
+    schema = pa.schema([("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("registers", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, 2 << 20, 4096):
                 owner, element, weight = shingles([t.as_py().encode() for t in part.column(1)])
                 has = np.unique(owner)
-                least = signatures(np.searchsorted(has, owner), element, weight, len(has)).reshape(len(has), BANDS, BAND)
+                least = signatures(np.searchsorted(has, owner), element, weight, len(has))
                 key = np.tile(np.arange(BANDS, dtype=np.uint64), (len(has), 1))
                 for j in range(BAND):
-                    key = _mixed(key * _P + least[:, :, j])
+                    key = _mixed(key * _P + least.reshape(-1, BANDS, BAND)[:, :, j])
                 lists = pa.ListArray.from_arrays(np.arange(0, BANDS * len(has) + 1, BANDS, dtype=np.int32), pa.array(key.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(has)), lists], schema=schema)
+                short = [x.tobytes() for x in (_mixed(least) & np.uint64(255)).astype(np.uint8)]
+                yield arrow_batch(schema, [part.column(0).take(pa.array(has)), lists, short])
 
-    return rows.mapInArrow(run, "digest binary, bands array<long>")
+    return rows.mapInArrow(run, "digest binary, bands array<long>, registers binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -166,39 +167,89 @@ def digests(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
     """Rows (digest, component) of the different texts that are alike to another one: component is the least digest of theirs.
 
-    Texts meet in buckets of equal bands. In each bucket the others are compared with one pivot, the least digest; those alike
-    to it need no further comparison, being of its component. While a bucket holds texts of different components, texts
-    outside its largest component are next to be pivots, one a round, and at last all that are left: so no two texts of a
-    bucket stay apart uncompared, and a bucket of many copies costs one comparison each.
+    Texts meet in buckets of equal bands. First each is compared with one pivot in each of its buckets, the text that shares
+    most buckets with others, which joins most of a large group at one comparison a text and bucket. Buckets that still hold
+    texts of different components are then compared in full, in blocks (`_across`), so no two texts of a bucket stay
+    apart uncompared.
     """
-    spark = docs.sparkSession
     rows = digests(docs)
-    keyed = _bands(rows).groupBy("digest").agg(F.first("bands").alias("bands"))
-    bands = keyed.select("digest", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.min("digest").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = stored(bands.join(shared.select("bucket", "pivot"), "bucket"), "near-members")
-    texts = stored(rows.join(members.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"]), "near-texts")
-    pairs = members.filter("digest != pivot").select(F.col("pivot").alias("a"), F.col("digest").alias("b")).distinct()
+    signed = stored(_signed(rows).groupBy("digest").agg(F.first(F.struct("bands", "registers")).alias("s")).select("digest", "s.bands", "s.registers"), "near-signed")
+    bands = signed.select("digest", F.explode("bands").alias("bucket"))
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(bands.join(shared, "bucket"), "near-members")
+    met = members.groupBy("digest").agg(F.sum(F.col("n") - 1).alias("met"))
+    texts = stored(rows.join(met.select("digest"), "digest", "left_semi").dropDuplicates(["digest"]), "near-texts")
+    pivots = members.join(met, "digest").groupBy("bucket").agg(F.max(F.struct("met", "digest")).alias("x")).select("bucket", F.col("x.digest").alias("a"))
+    pairs = members.join(pivots, "bucket").filter("a != digest").select("a", F.col("digest").alias("b")).distinct()
     links = stored(_verified(pairs, texts, likeness), "near-links")
-    tested = members.select("bucket", F.col("pivot").alias("digest")).distinct()  # compared with all of their bucket
-    rounds = 0
-    while True:
-        found = components(links)
-        labelled = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", F.coalesce("component", "digest").alias("component"))
-        counts = labelled.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-        by_size = F.struct("n", "component")
-        mixed = counts.groupBy("bucket").agg(F.max(by_size).alias("most"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        open_ = labelled.join(mixed.select("bucket", F.col("most.component").alias("largest")), "bucket")
-        asks = open_.filter("component != largest").join(tested, ["bucket", "digest"], "left_anti")
-        if rounds < ROUNDS:
-            asks = asks.groupBy("bucket").agg(F.min(F.struct("digest", "component")).alias("x")).select("bucket", "x.digest", "x.component")
-        asks = stored(asks.select("bucket", F.col("digest").alias("a"), F.col("component").alias("of_a")), "near-asks")
-        if asks.isEmpty():
-            return found.select(F.col("node").alias("digest"), "component")
-        pairs = open_.join(asks, "bucket").filter("component != of_a").select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
-        links = stored(links.unionByName(_verified(pairs, texts, likeness)), "near-links")
-        tested = tested.unionByName(asks.select("bucket", F.col("a").alias("digest")))
-        rounds += 1
+    found = components(links)
+    labelled = members.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+    apart = labelled.join(mixed.select("bucket"), "bucket").select("bucket", "n", "digest", "component")
+    more = stored(_across(apart, signed, texts, likeness), "near-more")
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    return found.select(F.col("node").alias("digest"), "component")
+
+
+def _across(apart: DataFrame, signed: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
+    """Links between texts of different components in the buckets (bucket, n, digest, component).
+
+    A bucket is cut into blocks, each two blocks meet in one place, and texts are compared there, not as rows. Two texts that
+    share several buckets are compared in that of their first common band. Texts whose registers agree so rarely that a
+    likeness as asked for would be five standard deviations off aren't opened.
+    """
+    rarely = REGISTERS * (likeness - 5 * (likeness * (1 - likeness) / REGISTERS) ** 0.5)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    cut = apart.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "digest", "component")
+    whole = dealt.join(signed, "digest").join(texts, "digest").select("bucket", "p", "q", "own", "digest", "component", "bands", "registers", "text")
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def compared(key: tuple, rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        own = np.array([r[0] for r in rows])
+        bands = np.array([r[3] for r in rows])
+        registers = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), -1)
+        band = int(np.flatnonzero((bands == key[0]).all(0))[0])
+        group = {r[2]: r[2] for r in rows}
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def root(x: bytes) -> bytes:
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        def bag(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in bags:
+                bags[i] = shingles([rows[i][5].encode()])[1:]
+            return bags[i]
+
+        for i in range(len(rows)):
+            meet = (registers[i + 1 :] == registers[i]).sum(1) >= rarely
+            meet &= ~(bands[i + 1 :, :band] == bands[i, :band]).any(1)
+            if key[1] != key[2]:
+                meet &= own[i + 1 :] != own[i]
+            for j in (np.flatnonzero(meet) + i + 1).tolist():
+                x, y = root(rows[i][2]), root(rows[j][2])
+                if x != y and overlap(bag(i), bag(j)) >= likeness:
+                    group[max(x, y)] = min(x, y)
+                    yield rows[i][1], rows[j][1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    if held and (links := list(compared(key, held))):
+                        yield arrow_batch(schema, list(zip(*links)))
+                    key, held = row[:3], []
+                held.append(row[3:])
+        if held and (links := list(compared(key, held))):
+            yield arrow_batch(schema, list(zip(*links)))
+
+    n = partitions(apart.sparkSession)
+    return whole.repartition(n, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q", "digest").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, likeness: float = LIKENESS) -> DataFrame:
