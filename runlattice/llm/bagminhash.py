@@ -120,7 +120,7 @@ def _signed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20, 4096):
+            for part in slices(batch, 1, 1 << 20, 4096):
                 owner, element, weight = shingles([t.as_py().encode() for t in part.column(1)])
                 has = np.unique(owner)
                 least = signatures(np.searchsorted(has, owner), element, weight, len(has))

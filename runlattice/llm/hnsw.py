@@ -360,7 +360,7 @@ def near_duplicates(vectors: DataFrame, likeness: float = LIKENESS) -> DataFrame
     """Per row: vec_id, n_links, component_id, kept.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing and stay. Equal vectors are
-    linked; rows with one vec_id are vectors of their own, and a null vec_id names nothing less than another. Other columns are
+    linked. A vec_id names one vector: different vectors under one id are linked as one. A null id names nothing if there is another. Other columns are
     not read. An empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
