@@ -30,7 +30,8 @@ def order_statistics(values: DataFrame, ranks: dict[str, list[int]], ends: dict[
             break
         spans = sorted({(n, lo, hi) for (n, _), (lo, hi, _) in pending.items()})
         table = spark.createDataFrame(spans, "name string, lo double, hi double")
-        spot = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)
+        # Halves: the difference of the ends of a column may be too large for a double.
+        spot = F.floor((F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS)
         counted = (
             values.join(F.broadcast(table), "name")
             .where(F.col("value").between(F.col("lo"), F.col("hi")))
@@ -56,9 +57,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float], lower
     """Linear-interpolated quantiles ``probs`` and lower (actual value) quantiles ``lower``.
 
     Returns {column: {"n", "min", "max", ("q", p): value, ("low", p): value}}; a column without
-    values maps to None. NULL and NaN are ignored.
+    values maps to None. NULL, NaN and infinities are ignored.
     """
-    clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    finite = {c: F.abs(F.col(c).cast("double")) < float("inf") for c in columns}
+    clean = df.select(*[F.when(finite[c], F.col(c).cast("double")).alias(c) for c in columns])
     if df.is_cached:
         return _quantiles(clean, columns, probs, lower)
     # Every round scans the values again; they are kept (with their lineage) in between.

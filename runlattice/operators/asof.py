@@ -230,7 +230,7 @@ def record_updates(
     """The proposals that change a value, as new log rows.
 
     Proposals are entered in step order, after what the log already holds: the value in force
-    before one is that of the proposal before it, else the log's at its step, else the base.
+    before one is that of the last recorded proposal, else the log's at its step, else the base.
     Changing an axis size is an error.
     """
     names = [n for a in axes for n in (a.size, a.index)]
@@ -238,26 +238,25 @@ def record_updates(
         F.col("param").isin(*names), F.raise_error(F.lit("the size of an axis cannot be updated")).cast("boolean")
     ).otherwise(F.lit(True))
     chained = lag_sparse(proposals.where(guard), [KEY, "param"], "seq", "value", "_prior")
-    # Only the first proposal of a parameter looks into the log.
     sizes = experiments.select(KEY, *[a.size for a in axes])
-    first = proposals.groupBy(KEY, "param").agg(F.min("seq").alias("seq"))
     opening = (
-        with_axis_position(proposals, axes).join(first, [KEY, "param", "seq"], "left_semi").join(sizes, KEY)
-        .withColumn("step", F.coalesce("step_index", F.lit(0)))
-        .select(KEY, "param", F.col("seq").alias("_first"), _event_start(axes).alias("_from"))
+        with_axis_position(proposals, axes).join(sizes, KEY).withColumn("step", F.coalesce("step_index", F.lit(0)))
+        .select(KEY, "param", F.col("seq").alias("_seq"), _event_start(axes).alias("_from"))
     )
     known = last_entries(log, axes, params, "row").join(sizes, KEY).withColumn("_start", _event_start(axes))
     logged = (
-        known.join(opening, [KEY, "param"]).where("_start <= _from").groupBy(KEY, "param").agg(F.max_by("value", "seq").alias("_logged"))
+        known.join(opening, [KEY, "param"]).where("_start <= _from").groupBy(KEY, "param", F.col("_seq").alias("seq"))
+        .agg(F.max_by("value", "seq").alias("_logged"))
     )
     base = experiments.select(KEY, F.explode(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).cast(proposals.schema["value"].dataType).alias("_base")) for p in params])).alias("b"))
-    start = base.select(KEY, "b.param", "b._base").join(logged, [KEY, "param"], "left")
-    held = first.select(KEY, "param", F.col("seq").alias("_first")).join(start, [KEY, "param"], "left").select(
-        KEY, "param", "_first", F.coalesce("_logged", "_base").alias("_held")
-    )
-    before = chained.join(held, [KEY, "param"], "left")
-    prior = F.when(F.col("seq") == F.col("_first"), F.col("_held")).otherwise(F.col("_prior"))
-    return before.where(~F.col("value").eqNullSafe(prior)).select(*proposals.columns)
+    start = base.select(KEY, "b.param", "b._base")
+    held = proposals.select(KEY, "param", "seq", "value").join(logged, [KEY, "param", "seq"], "left").join(start, [KEY, "param"], "left")
+    # Until one is recorded, each is compared with the log at its own step. From then on the last recorded one
+    # is in force, and a proposal that is not recorded equals it, so the proposal before tells.
+    first = held.where(~F.col("value").eqNullSafe(F.coalesce("_logged", "_base"))).groupBy(KEY, "param").agg(F.min("seq").alias("_first"))
+    before = chained.join(first, [KEY, "param"])
+    later = (F.col("seq") > F.col("_first")) & ~F.col("value").eqNullSafe(F.col("_prior"))
+    return before.where((F.col("seq") == F.col("_first")) | later).select(*proposals.columns)
 
 
 def trajectory_to_events(trajectories: DataFrame, axes: list[Axis]) -> DataFrame:

@@ -26,10 +26,10 @@ def regression_metrics(rows: DataFrame, by: list[str] = ("feature",), truth: str
     targets far from 0.
     """
     err = F.col(truth) - F.col(pred)
-    n = F.count(F.lit(1))
+    n = F.count(err)  # pairs: a row without truth or prediction counts for nothing
     return rows.groupBy(*by).agg(
         F.avg(F.abs(err)).alias("mae"),
-        r_squared(F.sum(err * err), F.var_pop(truth) * n).alias("r2"),
+        r_squared(F.sum(err * err), F.var_pop(F.when(err.isNotNull(), F.col(truth))) * n).alias("r2"),
         n.alias("n_samples"),
     )
 

@@ -70,12 +70,22 @@ def sanitize(df: DataFrame, params: list[Param], ignore_unknown: bool = False, c
     return validated(out, [p for p in params if p.name in df.columns]) if check else out
 
 
+def _cell(axes: list[Axis]) -> Column:
+    """Flat index of a row's cell; NULL outside the experiment's own domain."""
+    flat, inside = F.lit(0).cast("long"), F.lit(True)
+    for k, a in enumerate(axes):
+        flat = flat + F.col(a.index).cast("long") * num_rows(axes[k + 1 :])
+        inside = inside & (F.col(a.index) >= 0) & (F.col(a.index) < F.col(a.size))
+    return F.when(inside, flat)
+
+
 def completeness(experiments: DataFrame, values: DataFrame, features: list[Feature], axes: list[Axis]) -> DataFrame:
     """(key, feature, expected, actual, nan, ok) for every experiment and declared feature.
 
     ``values`` is long: key, feature, value. Expected is the product of the experiment's own
     axis sizes up to the feature's depth. A feature without any row has nan 0, as it was
-    never started; otherwise every cell without a value counts as nan.
+    never started; otherwise every cell without a value counts as nan. Where ``values`` has the
+    axis indices, cells are counted: a repeated one once, one outside the domain not at all.
     """
     wanted = experiments.select(
         KEY,
@@ -88,9 +98,17 @@ def completeness(experiments: DataFrame, values: DataFrame, features: list[Featu
             )
         ).alias("w"),
     ).select(KEY, "w.feature", "w.expected")
-    there = values.where(F.col("feature").isin(*[f.name for f in features])).groupBy(KEY, "feature").agg(
-        F.count(F.when(F.col("value").isNotNull() & ~F.isnan("value"), F.lit(1))).alias("actual")
-    )
+    declared = values.where(F.col("feature").isin(*[f.name for f in features]))
+    has_value = F.col("value").isNotNull() & ~F.isnan("value")
+    if all(a.index in values.columns for a in axes):
+        cell = F.lit(None).cast("long")
+        for f in features:
+            cell = F.when(F.col("feature") == f.name, _cell(axes[: f.depth])).otherwise(cell)
+        sized = experiments.select(KEY, *[a.size for a in axes])
+        cells = declared.join(sized, KEY).groupBy(KEY, "feature", cell.alias("_cell")).agg(F.bool_or(has_value).alias("_has"))
+        there = cells.groupBy(KEY, "feature").agg(F.count(F.when(F.col("_has") & F.col("_cell").isNotNull(), F.lit(1))).alias("actual"))
+    else:
+        there = declared.groupBy(KEY, "feature").agg(F.count(F.when(has_value, F.lit(1))).alias("actual"))
     joined = wanted.join(there, [KEY, "feature"], "left")
     actual = F.coalesce("actual", F.lit(0).cast("long"))
     missing = F.when(F.col("actual").isNull(), F.lit(0).cast("long")).otherwise(F.col("expected") - F.col("actual"))
@@ -114,16 +132,12 @@ def complete_in_range(
     total = num_rows(axes)
     hi = total if stop is None else F.least(total, F.lit(stop).cast("long"))
     width = F.greatest(hi - F.lit(start), F.lit(0))
-    idx = reduce(
-        lambda a, k: a + F.col(axes[k].index).cast("long") * num_rows(axes[k + 1 :]),
-        range(len(axes)),
-        F.lit(0).cast("long"),
-    )
+    idx = _cell(axes)
     sized = experiments.select(KEY, *[a.size for a in axes])
     inside = values.join(sized, KEY).where(
         (idx >= start) & (idx < hi) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     )
-    counts = inside.groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
+    counts = inside.select(KEY, idx.alias("_cell")).distinct().groupBy(KEY).agg(F.count(F.lit(1)).alias("_n"))
     return sized.join(counts, KEY, "left").select(KEY, (F.coalesce("_n", F.lit(0)) >= width).alias("complete"))
 
 
