@@ -39,28 +39,30 @@ def _span(axes: list[Axis], k: int, mode: str) -> int:
     return sizes[k] if mode == "context" else reduce(lambda a, b: a * b, sizes[: k + 1], 1)
 
 
-def last_entries(updates: DataFrame, axes: list[Axis], params: list[str], mode: str) -> DataFrame:
+def last_entries(updates: DataFrame, axes: list[Axis], params: list[str]) -> DataFrame:
     """The log reduced to what can win: the last entry per (parameter, axis, step).
 
-    A map-side aggregate, however many entries one experiment has; steps no cell can reach are
-    left out, so the declared axis sizes bound what is left.
+    A map-side aggregate, however many entries one experiment has.
     """
     log = with_axis_position(updates, axes).where(F.col("param").isin(*params))
     step = F.when(F.col("axis_pos") == ALWAYS, 0).otherwise(F.greatest(F.col("step_index"), F.lit(0)))
-    limit = reduce(
-        lambda acc, k: acc.when(F.col("axis_pos") == k, F.lit(_span(axes, k, mode)).cast("long")),
-        range(len(axes)),
-        F.when(F.col("axis_pos") == ALWAYS, F.lit(1).cast("long")),
-    )
     return (
         log.withColumn("step", step)
-        .where(F.col("step") < limit)
         .groupBy(KEY, "param", "axis_pos", "step")
         .agg(F.max("seq").alias("seq"), F.max_by("value", "seq").alias("value"))
         .withColumn("win", F.struct("seq", "value"))
     )
 
 
+def within_reach(last: DataFrame, experiments: DataFrame, axes: list[Axis], mode: str) -> DataFrame:
+    """Leave out steps that no cell reaches, by each experiment's own sizes, whatever the declared ones are."""
+    sizes = experiments.select(KEY, *[a.size for a in axes])
+    steps = F.when(F.col("axis_pos") == ALWAYS, F.lit(1).cast("long"))
+    for k, axis in enumerate(axes):
+        steps = steps.when(F.col("axis_pos") == k, F.col(axis.size).cast("long") if mode == "context" else num_rows(axes[: k + 1]))
+    return last.join(sizes, KEY).where(F.col("step") < steps).drop(*[a.size for a in axes])
+
+
 def _is_long(axes: list[Axis], k: int, mode: str, long_axis: int) -> bool:
     return _span(axes, k, mode) > long_axis
 
@@ -79,7 +81,7 @@ def join_long_axes(
             continue
         own = [axis] if mode == "context" else axes[: k + 1]
         line = expand_domain(experiments.select(KEY, *[a.size for a in own]), own).select(KEY, F.col("cell_idx").alias("_q"))
-        here = last_entries(updates, axes, params, mode).where(F.col("axis_pos") == k)
+        here = last_entries(updates, axes, params).where(F.col("axis_pos") == k)
         wide = here.groupBy(KEY, F.col("step").cast("long").alias("_q")).agg(
             *[F.max(F.when(F.col("param") == p, F.col("win"))).alias(f"_w_{p}") for p in params]
         )
@@ -101,13 +103,14 @@ def join_long_axes(
 def attach_steps(
     df: DataFrame, updates: DataFrame, axes: list[Axis], params: list[str], mode: str, long_axis: int = LONG_AXIS
 ) -> DataFrame:
-    """Give each row its experiment's step functions in ``_steps``: one array per parameter and axis.
+    """Give each experiment its step functions in ``_steps``: one array per parameter and axis.
 
-    Array element i is the winner at index i. Axes longer than ``long_axis`` are left to
+    Array element i is the winner at index i. Axes declared longer than ``long_axis`` are left to
     ``join_long_axes``.
     """
     short = [k for k in range(len(axes)) if not _is_long(axes, k, mode, long_axis)]
-    last = last_entries(updates, axes, params, mode).where(F.col("axis_pos").isin(ALWAYS, *short))
+    entries = last_entries(updates, axes, params).where(F.col("axis_pos").isin(ALWAYS, *short))
+    last = within_reach(entries, df, axes, mode)
     along = Window.partitionBy(KEY, "param", "axis_pos").orderBy("step")
     runs = last.select(
         KEY,
@@ -194,7 +197,7 @@ def _params_at_cell(
 ) -> DataFrame:
     """Parameters in force at one flat cell per experiment (row rule): an aggregate over the log."""
     place = experiments.select(KEY, *[a.size for a in axes], cell.cast("long").alias("_cell"))
-    on = last_entries(updates, axes, params, "row").join(place, KEY).where(_event_start(axes) <= F.col("_cell"))
+    on = last_entries(updates, axes, params).join(place, KEY).where(_event_start(axes) <= F.col("_cell"))
     won = on.groupBy(KEY).agg(
         *[
             F.max_by(F.when(F.col("param") == p, F.col("value")), F.when(F.col("param") == p, F.col("seq"))).alias(f"_w_{p}")
@@ -243,7 +246,7 @@ def record_updates(
         with_axis_position(proposals, axes).join(sizes, KEY).withColumn("step", F.coalesce("step_index", F.lit(0)))
         .select(KEY, "param", F.col("seq").alias("_seq"), _event_start(axes).alias("_from"))
     )
-    known = last_entries(log, axes, params, "row").join(sizes, KEY).withColumn("_start", _event_start(axes))
+    known = last_entries(log, axes, params).join(sizes, KEY).withColumn("_start", _event_start(axes))
     logged = (
         known.join(opening, [KEY, "param"]).where("_start <= _from").groupBy(KEY, "param", F.col("_seq").alias("seq"))
         .agg(F.max_by("value", "seq").alias("_logged"))

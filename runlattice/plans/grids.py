@@ -206,26 +206,43 @@ def at_last(spark, folder):
     )
 
 
+def coarse(value):
+    return (F.floor(value / 50) * 50.0).alias("value")
+
+
 def proposals(spark, folder):
-    """Every event proposes a coarse value for its type on its day."""
+    """Every event proposes a coarse value for its type on its day, in the order of the days, after all of the log."""
+    step = F.dayofmonth("ts") - 1
     return tb.table(spark, folder, "events").select(
-        F.col("user_id").alias("exp_code"), F.col("event_id").alias("seq"), F.lit("day").alias("iterator_code"),
-        (F.dayofmonth("ts") - 1).alias("step_index"), F.col("event_type").alias("param"),
-        (F.floor(F.col("value") / 50) * 50.0).alias("value"),
+        F.col("user_id").alias("exp_code"), ((step + 1) * F.lit(10**12) + F.col("event_id")).alias("seq"),
+        F.lit("day").alias("iterator_code"), step.alias("step_index"), F.col("event_type").alias("param"), coarse(F.col("value")),
     )
 
 
 @query(
     "c14_record_updates",
-    """SELECT exp_code, seq, step_index, param, value FROM (
-       SELECT user_id AS exp_code, event_id AS seq, CAST(day(ts) - 1 AS INTEGER) AS step_index, event_type AS param,
-       floor(value / 50) * 50.0 AS value,
-       lag(floor(value / 50) * 50.0, 1, 0.0) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS held
-       FROM events) WHERE value <> held""",
+    sql(
+        f"""SELECT exp_code, seq, step_index, param, value FROM (
+        SELECT *, min(CASE WHEN value <> in_log THEN seq END) OVER (PARTITION BY exp_code, param) AS first,
+        lag(value) OVER (PARTITION BY exp_code, param ORDER BY seq) AS prior FROM held)
+        WHERE seq = first OR (seq > first AND value <> prior)""",
+        "ugrid", "ups",
+        extra={
+            "sizes": "SELECT DISTINCT exp_code, n_hours FROM ugrid",
+            "proposed": """SELECT user_id AS exp_code, day(ts) * 1000000000000 + event_id AS seq, CAST(day(ts) - 1 AS INTEGER) AS step_index,
+                event_type AS param, floor(value / 50) * 50.0 AS value FROM events""",
+            "held": """SELECT p.exp_code, p.seq, p.step_index, p.param, any_value(p.value) AS value,
+                coalesce(arg_max(floor(u.value / 50) * 50.0, u.seq), 0.0) AS in_log
+                FROM proposed p JOIN sizes s ON s.exp_code = p.exp_code LEFT JOIN ups u ON u.exp_code = p.exp_code AND u.param = p.param
+                AND (u.iterator_code IS NULL OR u.step_index * CASE u.iterator_code WHEN 'n_days' THEN s.n_hours ELSE 1 END
+                <= p.step_index * s.n_hours) GROUP BY 1, 2, 3, 4""",
+        },
+    ),
 )
 def recorded(spark, folder):
-    empty = tb.updates(spark, folder).where("false")
-    out = asof.record_updates(tb.users(spark, folder), empty, proposals(spark, folder), DAYS, EVENTS)
+    ups = tb.updates(spark, folder)
+    log = ups.select(*[c for c in ups.columns if c != "value"], coarse(F.col("value")))
+    out = asof.record_updates(tb.users(spark, folder), log, proposals(spark, folder), DAYS, EVENTS)
     return out.select("exp_code", "seq", "step_index", "param", "value")
 
 
