@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from runlattice.llm.common import stored
 
-#: Slots of a cycle, documents of a block; hash ranges that a source is numbered in.
-CYCLE, BLOCK, RANGES = 1000, 16, 1024
+#: Slots of a cycle, documents of a block; leading hex digits of the hash that make the ranges a source is numbered in.
+CYCLE, BLOCK, DIGITS = 1000, 16, 3
 #: Weights are proportional to the number of documents to this power.
 POWER = 0.7
 
@@ -74,12 +74,12 @@ def schedule(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """The rows with `_source` (null is a source of its own, named by an empty text), `_n` and `_i`: how many rows the source
-    has, and the row's number among them, from 0, in an order by hash of doc_id, then doc_id."""
+    has, and the row's number among them, from 0, in an order by md5 of doc_id, then doc_id."""
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    h = F.xxhash64("doc_id")
-    rows = docs.select(F.struct("*").alias("_row"), source.alias("_source"), F.pmod(h, F.lit(RANGES)).alias("_range"), h.alias("_hash"))
-    counts = docs.select(source.alias("_source"), F.pmod(h, F.lit(RANGES)).alias("_range")).groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_k"))
-    own = Window.partitionBy("_source")  # RANGES rows of a source
+    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    rows = docs.select(F.struct("*").alias("_row"), source.alias("_source"), F.left(h, F.lit(DIGITS)).alias("_range"), h.alias("_hash"))
+    counts = docs.select(source.alias("_source"), F.left(h, F.lit(DIGITS)).alias("_range")).groupBy("_source", "_range").agg(F.count(F.lit(1)).alias("_k"))
+    own = Window.partitionBy("_source")  # a row per range of a source
     before = own.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_source", "_range", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.sum("_k").over(own).alias("_n"))
     order = Window.partitionBy("_source", "_range").orderBy("_hash", F.col("_row.doc_id").asc_nulls_first(), F.xxhash64("_row"))

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runlattice.llm import bagminhash, fingerprints, hnsw, html_text, mixing, prefix_bpe, substrings, token_files, toxicity, warc
 from runlattice.llm.common import table
+from runlattice.llm.oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 WORD_BPE, END_ID = "word_bpe_49k.json", 1
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
