@@ -5,16 +5,18 @@ not at all. The label model takes the true class as hidden. It estimates by expe
 each class, finds voters that go together beyond what the class explains, gives those joint tables instead of counting them
 twice, and estimates again. The human label is one more voter, held to be mostly right. A logistic regression over words
 is then trained on the posteriors, each row counting for both classes by its share, and scores whole texts. Its terms are
-words, and stems by how many different words of the text begin with them.
+words, and stems that enough of the text's words begin with: a stem that comes now and then by chance in a long text says
+nothing, the same number of times in a short one it does.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from runlattice.llm.common import stored
 SAMPLE = 20_000
 #: Learned words and the lists they are dealt to; learned stems; terms of the classifier, and rows that must hold one.
 LEARNED, LISTS, STEMS, VOCABULARY, LEAST_ROWS = 60, 12, 24, 4096, 4
-#: Lengths of stems; a stem speaks if so many different words of a text begin with it.
-STEM_LENGTHS, STEM_WORDS = (4, 5), 3
+#: Standard errors from which a term's log odds count, and standard errors and log odds from which it votes.
+LEAST_Z, VOTES_Z, VOTES_ODDS = 2.0, 3.0, 2.0
+#: Lengths of stems; a stem speaks if so many words of a text, and such a share of them, begin with it.
+STEM_LENGTHS, STEM_WORDS, STEM_SHARE = (4, 5), 2, 0.0075
 #: Correlation inside a class from which two voters share one table; voters in such a table at most.
 TOGETHER, JOINT = 0.25, 4
 
@@ -40,15 +44,23 @@ MASKED = r"\b\p{L}+[*#@$]{2,}\p{L}*\b"
 ADDRESSED = r"(?i)\byou(?:r|'re| are)?\s+(?:\w+\s+){0,2}(?:idiot|moron|fool|loser|clown|scum|trash)"
 
 
-def tokens(text: Column) -> Column:
-    """The different lower-case words of a text: runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+def words_of(text: Column) -> Column:
+    """The lower-case words of a text in order: runs of letters and digits."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def terms(words: Column) -> Column:
-    """The words, and their stems with a dash after them, once for each word that begins so."""
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("-"))) for n in STEM_LENGTHS]
-    return F.concat(words, *stems)
+def _stem(length: int, word: Column) -> Column:
+    return F.when(F.length(word) > length, F.concat(F.left(word, F.lit(length)), F.lit("-"))).otherwise("")
+
+
+def stems_of(words: Column) -> Column:
+    """The stems of each word with a dash after them, one a length; empty where the word is no longer than that."""
+    return F.concat(*[F.transform(words, partial(_stem, n)) for n in STEM_LENGTHS])
+
+
+def padded(words: Column) -> Column:
+    """The words, with empty ones up to the length at which STEM_WORDS words are the share that speaks."""
+    return F.concat(words, F.array_repeat(F.lit(""), F.greatest(F.lit(0), F.lit(int(STEM_WORDS / STEM_SHARE)) - F.size(words))))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,8 +68,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _speaks(n: Column, n_words: Column) -> Column:
+    return (n >= STEM_WORDS) & (n >= n_words * STEM_SHARE)
+
+
+def _begins(stem: str, word: Column) -> Column:
+    return word.startswith(stem) & (F.length(word) > len(stem))
+
+
 def _voters(words: list[str], stems: list[str]) -> dict[str, Column]:
-    """Votes by name: 1 toxic, 2 clean, 0 none. Columns `words` and `text` are theirs to read."""
+    """Votes by name: 1 toxic, 2 clean, 0 none. Columns `words` (different ones), `in_order` (all) and `text` are theirs to read."""
 
     def has(some: list[str]) -> Column:
         return F.arrays_overlap("words", F.array(*map(F.lit, some))) if some else F.lit(False)
@@ -67,8 +87,8 @@ def _voters(words: list[str], stems: list[str]) -> dict[str, Column]:
 
     lists = {f"learned_{i}": toxic(has(words[i::LISTS])) for i in range(LISTS) if words[i::LISTS]}
     for stem in stems:
-        n = F.size(F.filter("words", lambda w, stem=stem: w.startswith(stem[:-1])))
-        lists[f"stem_{stem}"] = toxic(n >= STEM_WORDS)
+        n = F.size(F.filter("in_order", partial(_begins, stem[:-1])))
+        lists[f"stem_{stem}"] = toxic(_speaks(n, F.size("in_order")))
     fixed = {"insults": toxic(has(INSULTS)), "contempt": toxic(has(CONTEMPT)), "threats": toxic(has(THREATS))}
     patterns = {n: toxic(F.col("text").rlike(p)) for n, p in (("shouting", SHOUTING), ("exclaiming", EXCLAIMING), ("masked", MASKED), ("addressed", ADDRESSED))}
     hits = F.size(F.array_intersect("words", F.array(*map(F.lit, words)))) if words else F.lit(0)
@@ -153,9 +173,39 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[LabelModel,
     return _estimated(own, p, joint)
 
 
+@dataclass
+class Terms:
+    """Vectors of terms: which words a text holds, and which stems speak in it."""
+
+    words: CountVectorizerModel
+    stems: CountVectorizerModel
+    pool: list[str]
+
+    @staticmethod
+    def of(chosen: list[str], pool: list[str]) -> Terms:
+        """`chosen` terms count each by itself, and those of `pool` all together too."""
+        made = [
+            # A text holds no term "-"; a vocabulary must not be empty.
+            CountVectorizerModel.from_vocabulary([t for t in chosen if t.endswith("-") == stem] or ["-"], inputCol=of, outputCol=to)
+            for stem, of, to in ((False, "_words", "_held"), (True, "_stems", "_spoken"))
+        ]
+        return Terms(made[0].setBinary(True), made[1].setBinary(True).setMinTF(STEM_SHARE / len(STEM_LENGTHS)), pool)
+
+    def transform(self, df: DataFrame, in_order: Column, *keep: str | Column) -> DataFrame:
+        """The kept columns and `_counts`."""
+        cut = df.select(*keep, in_order.alias("_words")).withColumn("_stems", stems_of(padded(F.col("_words"))))
+        words, stems = ([t for t in self.pool if t.endswith("-") == stem] for stem in (False, True))
+        hits = F.size(F.array_intersect("_words", F.array(*map(F.lit, words)))) if words else F.lit(0)
+        begun = F.size(F.filter("_stems", lambda s: s.isin(stems))) / len(STEM_LENGTHS)
+        pooled = {"_any": hits >= 1, "_several": hits >= 2, "_begun": _speaks(begun, F.size("_words"))}
+        cut = self.stems.transform(self.words.transform(cut)).withColumns({k: v.cast("double") for k, v in pooled.items()})
+        both = VectorAssembler(inputCols=["_held", "_spoken", *pooled], outputCol="_counts").transform(cut)
+        return both.drop("_words", "_stems", "_held", "_spoken", *pooled)
+
+
 @dataclass
 class Model:
-    terms: CountVectorizerModel | None
+    terms: Terms | None
     linear: LogisticRegressionModel | None
     prior: float
 
@@ -163,8 +213,8 @@ class Model:
         """The kept columns and `score` of each row."""
         if self.linear is None:
             return df.select(*keep, F.lit(self.prior).alias("score"))
-        counted = self.terms.transform(df.select(*keep, tokens(F.col(text)).alias("_words")).withColumn("_terms", terms(F.col("_words"))))
-        names = [c for c in counted.columns if c not in ("_words", "_terms", "_counts")]
+        counted = self.terms.transform(df, words_of(F.col(text)), *keep)
+        names = [c for c in counted.columns if c != "_counts"]
         return self.linear.transform(counted).select(*names, vector_to_array("_chances").getItem(1).alias("score"))
 
 
@@ -182,32 +232,36 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     )
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))  # SAMPLE rows of two numbers at most
-    sample = stored(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", tokens(F.col("text")).alias("words")), "toxicity-sample")
+    sample = stored(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", words_of(F.col("text")).alias("in_order")), "toxicity-sample")
+    sample = sample.withColumn("words", F.array_distinct("in_order"))
     n, n_toxic = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if not 0 < n_toxic < n:
         return Model(None, None, (n_toxic + 0.5) / (n + 2))
 
-    held = sample.select("doc_id", "label", F.explode(terms(F.col("words"))).alias("term")).groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).alias("n"))
-    speaks = held.filter(~F.col("term").endswith("-") | (F.col("n") >= STEM_WORDS))
-    by_term = speaks.groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).filter(f"t + c >= {LEAST_ROWS}")
+    begun = sample.select("doc_id", "label", F.size("in_order").alias("n_words"), F.explode(stems_of(F.col("in_order"))).alias("term"))
+    spoken = begun.filter("term != ''").groupBy("doc_id", "label", "term", "n_words").agg(F.count(F.lit(1)).alias("n"))
+    held = sample.select("label", F.explode("words").alias("term")).unionAll(spoken.filter(_speaks(F.col("n"), F.col("n_words"))).select("label", "term"))
+    by_term = held.groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).filter(f"t + c >= {LEAST_ROWS}")
     odds = F.log((F.col("t") + 0.5) / (F.lit(n_toxic + 1.0) - F.col("t"))) - F.log((F.col("c") + 0.5) / (F.lit(n - n_toxic + 1.0) - F.col("c")))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    strong = stored(by_term.select("term", (odds / error).alias("z")).orderBy(F.desc(F.abs("z")), "term").limit(VOCABULARY), "toxicity-terms")
-    chosen = [(r.term, r.z) for r in strong.orderBy(F.desc("z"), "term").collect()]
-    speaking = [t for t, z in chosen if z > 3]
-    voters = _voters([t for t in speaking if t[-1] != "-"][:LEARNED], [t for t in speaking if t[-1] == "-"][:STEMS])
+    rated = by_term.select("term", odds.alias("odds"), (odds / error).alias("z")).filter(F.abs("z") > LEAST_Z)
+    strong = stored(rated.orderBy(F.desc(F.abs("z")), "term").limit(VOCABULARY), "toxicity-terms")
+    chosen = strong.orderBy(F.desc("z"), "term").collect()
+    speaking = [r.term for r in chosen if r.z > VOTES_Z and r.odds > VOTES_ODDS]
+    learned, stems = [t for t in speaking if t[-1] != "-"][:LEARNED], [t for t in speaking if t[-1] == "-"][:STEMS]
+    voters = _voters(learned, stems)
     cast = sample.select("doc_id", "label", *[v.cast("byte").alias(k) for k, v in voters.items()]).toPandas()  # SAMPLE rows of bytes
     _, p = fit_label_model(cast[list(voters)].to_numpy(), cast["label"].to_numpy())
     spark = docs.sparkSession
     chances = spark.createDataFrame(list({int(i): float(x) for i, x in zip(cast["doc_id"], p)}.items()), "doc_id long, p double")
     both = F.array(F.struct(F.lit(1.0).alias("y"), F.col("p").alias("w")), F.struct(F.lit(0.0).alias("y"), (1 - F.col("p")).alias("w")))
-    soft = sample.join(F.broadcast(chances), "doc_id").select(terms(F.col("words")).alias("_terms"), F.explode(both).alias("x"))
-    soft = soft.select("_terms", "x.y", "x.w").filter("w > 1e-6")
-    vector = CountVectorizerModel.from_vocabulary([t for t, _ in chosen], inputCol="_terms", outputCol="_counts")
+    soft = sample.join(F.broadcast(chances), "doc_id").select("in_order", F.explode(both).alias("x"))
+    soft = soft.select("in_order", "x.y", "x.w").filter("w > 1e-6")
+    vector = Terms.of([r.term for r in chosen], learned + stems)
     linear = LogisticRegression(
         featuresCol="_counts", labelCol="y", weightCol="w", probabilityCol="_chances", rawPredictionCol="_raw", predictionCol="_class",
         regParam=1e-4, maxIter=60, standardization=False,
-    ).fit(vector.transform(soft))
+    ).fit(vector.transform(soft, F.col("in_order"), "y", "w"))
     return Model(vector, linear, n_toxic / n)
 
 
