@@ -26,9 +26,9 @@ from runlattice.llm.common import stored
 #: Labelled rows that the model is fitted on, at most: those first by a hash of doc_id.
 SAMPLE = 20_000
 #: Learned words and the lists they are dealt to; learned stems; terms of the classifier, and rows that must hold one.
-LEARNED, LISTS, STEMS, VOCABULARY, LEAST_ROWS = 60, 12, 24, 4096, 4
-#: Standard errors from which a term's log odds count, and standard errors and log odds from which it votes.
-LEAST_Z, VOTES_Z, VOTES_ODDS = 2.0, 3.0, 2.0
+LEARNED, LISTS, STEMS, VOCABULARY, LEAST_ROWS = 120, 12, 24, 4096, 4
+#: Log odds, and standard errors of them, from which a term votes.
+VOTES_ODDS, VOTES_Z = 3.0, 3.0
 #: Lengths of stems; a stem speaks if so many words of a text, and such a share of them, begin with it.
 STEM_LENGTHS, STEM_WORDS, STEM_SHARE = (4, 5), 2, 0.0075
 #: Correlation inside a class from which two voters share one table; voters in such a table at most.
@@ -196,7 +196,9 @@ class Terms:
         cut = df.select(*keep, in_order.alias("_words")).withColumn("_stems", stems_of(padded(F.col("_words"))))
         words, stems = ([t for t in self.pool if t.endswith("-") == stem] for stem in (False, True))
         hits = F.size(F.array_intersect("_words", F.array(*map(F.lit, words)))) if words else F.lit(0)
-        begun = F.size(F.filter("_stems", lambda s: s.isin(stems))) / len(STEM_LENGTHS)
+        # Of stems that begin with one another the shortest: a word counts once.
+        stems = [t for t in stems if not any(f"{t[:n]}-" in stems for n in STEM_LENGTHS if n < len(t) - 1)]
+        begun = F.size(F.filter("_stems", lambda s: s.isin(stems)))
         pooled = {"_any": hits >= 1, "_several": hits >= 2, "_begun": _speaks(begun, F.size("_words"))}
         cut = self.stems.transform(self.words.transform(cut)).withColumns({k: v.cast("double") for k, v in pooled.items()})
         both = VectorAssembler(inputCols=["_held", "_spoken", *pooled], outputCol="_counts").transform(cut)
@@ -244,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     by_term = held.groupBy("term").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c")).filter(f"t + c >= {LEAST_ROWS}")
     odds = F.log((F.col("t") + 0.5) / (F.lit(n_toxic + 1.0) - F.col("t"))) - F.log((F.col("c") + 0.5) / (F.lit(n - n_toxic + 1.0) - F.col("c")))
     error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    rated = by_term.select("term", odds.alias("odds"), (odds / error).alias("z")).filter(F.abs("z") > LEAST_Z)
+    rated = by_term.select("term", odds.alias("odds"), (odds / error).alias("z"))
     strong = stored(rated.orderBy(F.desc(F.abs("z")), "term").limit(VOCABULARY), "toxicity-terms")
     chosen = strong.orderBy(F.desc("z"), "term").collect()
     speaking = [r.term for r in chosen if r.z > VOTES_Z and r.odds > VOTES_ODDS]

@@ -129,6 +129,32 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([c < 0.5 for c in clean]) > 0.95 and all(r.predicted == (r.score >= 0.5) for r in rows)
 
 
+def test_stems_speak_by_their_share_of_a_text(spark):
+    short, long, once = "grobian grobsch ja", "grobian grobsch " + "ja " * 400, "grobian ja"
+    docs = spark.createDataFrame([(1, short), (2, long), (3, once), (4, ""), (5, None), (6, "GROBER-grobe grob")], "doc_id long, text string")
+    cut = docs.select("doc_id", toxicity.stems_of(toxicity.words_of(F.col("text"))).alias("s")).orderBy("doc_id").collect()
+    assert [sorted(set(r.s) - {""}) for r in cut[2:]] == [["grob-", "grobi-"], [], [], ["grob-", "grobe-"]]
+    of = toxicity.Terms.of(["ja", "grob-"], ["grob-", "ja"])
+    counts = {r.doc_id: r._counts.toArray().tolist() for r in of.transform(docs, toxicity.words_of(F.col("text")), "doc_id").collect()}
+    # ja; grob- begins two words or more and its share of them; any and several of the pool's words; its stems
+    assert counts[1] == [1, 1, 1, 0, 1] and counts[2] == [1, 0, 1, 0, 0] and counts[3] == [1, 0, 1, 0, 0]
+    assert counts[4] == counts[5] == [0] * 5 and counts[6] == [0, 1, 0, 0, 1]
+
+
+def test_toxicity_learns_stems(spark):
+    own = random.Random(9)
+    word = lambda: "".join(own.choice(["ba", "do", "gu", "ki", "le", "mo", "nu"]) for _ in range(own.randint(2, 4)))
+    rows = []
+    for i in range(400):
+        toxic = i % 4 == 0
+        text = [word() for _ in range(40)] + ["zorp" + word() for _ in range(3)] * toxic
+        own.shuffle(text)
+        rows.append((i, " ".join(text), int(toxic)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", "text"), spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scores(docs, labels).collect()}
+    assert got == {i: y for i, _, y in rows}
+
+
 def test_label_model_finds_voters_that_go_together():
     own = np.random.default_rng(8)
     y = own.random(4000) < 0.2
