@@ -4,7 +4,7 @@ Equal vectors are one. The different ones are dealt to shards by hash; a task bu
 shared folder. Every vector then asks every shard: greedy steps on the upper levels, a beam on the lowest, and on from all that
 lies within the wanted likeness until nothing more does. An audit compares a bounded sample of queries with all vectors;
 while its recall is too low, beams are widened and all is asked again. Links are pairs whose cosine, in double
-precision, is high enough; components are united from them.
+precision, is high enough; components are united from a spanning forest of those found, made shard by shard.
 
 Vectors are inserted and asked in batches, so that the steps of a batch are a few array operations.
 """
@@ -233,7 +233,39 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _built(nodes: DataFrame, folder: str, n_shards: int, dims: int) -> list[str]:
+def _roots(up: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where the ways up from these places end."""
+    top = up[at]
+    while (up[top] != top).any():
+        top = up[top]
+    return top
+
+
+def _united(graph: Graph, exact: np.ndarray, likeness: float) -> np.ndarray:
+    """Per row of a shard the least row that the graph's own links of enough likeness lead to."""
+    n = len(exact)
+    table = graph.levels[0]
+    a, b = [], []
+    for part in range(0, n, BATCH):
+        near = table[part : part + BATCH]
+        own, other = np.repeat(np.arange(part, part + len(near)), near.shape[1]), near.ravel()
+        own, other = graph.order[own[other >= 0]], graph.order[other[other >= 0]]
+        linked = np.einsum("nd,nd->n", exact[own], exact[other]) >= likeness
+        a.append(own[linked])
+        b.append(other[linked])
+    own, other = np.concatenate([*a, *b]), np.concatenate([*b, *a])
+    up = np.arange(n)
+    while True:
+        least = up.copy()
+        np.minimum.at(least, own, up[other])
+        np.minimum.at(least, up[own], up[other])  # a tree's root goes along
+        least = _roots(least, np.arange(n))
+        if (least == up).all():
+            return up
+        up = least
+
+
+def _built(nodes: DataFrame, folder: str, n_shards: int, likeness: float, dims: int) -> list[str]:
     """Names of the files of the shards' graphs."""
     rows = nodes.select("node", "embedding", F.pmod(F.xxhash64("node"), F.lit(n_shards)).cast("int").alias("shard"), F.xxhash64("node", F.lit(1)).alias("h"))
     schema = pa.schema([("file", pa.string())])
@@ -251,7 +283,7 @@ def _built(nodes: DataFrame, folder: str, n_shards: int, dims: int) -> list[str]
             h = own.column("h").to_numpy().view(np.uint64)
             graph = Graph.build(x.astype(np.float32), heights(h))
             out = io.BytesIO()
-            np.savez(out, nodes=own.column("node").to_numpy(), copies=own.column("copies").to_numpy(), exact=x)
+            np.savez(out, nodes=own.column("node").to_numpy(), copies=own.column("copies").to_numpy(), exact=x, up=_united(graph, x, likeness))
             name = new_name(f"shard-{number}", ".npz")
             for kind, data in (("graph", graph.packed()), ("rows", out.getvalue())):
                 with store.open_output_stream(f"{path}/{kind}-{name}", compression=None) as f:
@@ -263,48 +295,55 @@ def _built(nodes: DataFrame, folder: str, n_shards: int, dims: int) -> list[str]
     return sorted(r.file for r in stored(dealt.mapInArrow(build, "file string"), "graph-files").collect())  # a name per shard
 
 
-def _open(folder: str, name: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
-    def read() -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray]:
+def _open(folder: str, name: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def read() -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         store, path = store_of(folder)
         parts = []
         for kind in ("graph", "rows"):
             with store.open_input_file(f"{path}/{kind}-{name}") as f:
                 parts.append(f.read())
         with np.load(io.BytesIO(parts[1])) as z:
-            return Graph.unpacked(parts[0]), z["nodes"], z["copies"], z["exact"]
+            return Graph.unpacked(parts[0]), z["nodes"], z["copies"], z["exact"], z["up"]
 
     return loaded(f"{folder}/{name}", read)
 
 
-def _asked(queries: DataFrame, folder: str, files: list[str], beam: int, likeness: float, dims: int, pairs: bool) -> DataFrame:
-    """Per query and shard the number of vectors linked to it (copies counted) and the links that unite: (node, links, least).
+def _asked(queries: DataFrame, folder: str, files: list[str], beam: int, likeness: float, dims: int) -> DataFrame:
+    """Per query and shard the number of vectors linked to it (copies counted) and the nodes to unite it with: (node, links, others).
 
-    A link is a pair with a cosine of at least `likeness`, judged in double precision. `least` is the least node linked, which is
-    all that the union of a vector's links needs beside `others`, the linked nodes that are less than the query.
+    A link is a pair with a cosine of at least `likeness`, judged in double precision. A task keeps which nodes of a shard are
+    united already, from the graph's own links on. `others` are one linked node of each tree of these that a query links to,
+    which makes them one tree, and of a query of the shard itself the root of its own; so all that any link joins is joined,
+    by no more rows than a task has queries and a shard has nodes.
     """
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("others", pa.list_(pa.int64()))])
     n = partitions(queries.sparkSession)
     asked = queries.select("node", "copies", "embedding", F.explode(F.array(*map(F.lit, files))).alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, up = None, np.empty(0, np.int64)
         for batch in batches:
             names = batch.column(3).to_pylist()
             for name in dict.fromkeys(names):
-                graph, nodes, copies, exact = _open(folder, name)
+                graph, nodes, copies, exact, start = _open(folder, name)
+                if name != current:
+                    current, up = name, start.copy()
                 rows = np.flatnonzero(np.array(names, object) == name)
                 for part in range(0, len(rows), BATCH):
                     some = batch.take(pa.array(rows[part : part + BATCH]))
                     mine = some.column(0).to_numpy()
                     x = _unit(_matrix(some.column(2), dims))
-                    out: list[tuple[int, int, list[int]]] = []
+                    own = np.minimum(np.searchsorted(nodes, mine), len(nodes) - 1)
+                    out = {int(m): (0, [int(nodes[start[at]])]) for m, at in zip(mine, own) if nodes[at] == m and start[at] != at}
                     for i, found in graph.within(x.astype(np.float32), likeness - 1e-4, beam):
                         at = graph.order[found]
                         at = at[(exact[at] @ x[i] >= likeness) & (nodes[at] != mine[i])]
                         if len(at):
-                            less = np.sort(nodes[at][nodes[at] < mine[i]])
-                            out.append((int(mine[i]), int(copies[at].sum()), less.tolist() if pairs else less[:1].tolist()))
+                            tops, first = np.unique(_roots(up, at), return_index=True)
+                            up[at] = up[tops] = tops[0]
+                            out[int(mine[i])] = int(copies[at].sum()), nodes[at[first]].tolist() + out.get(int(mine[i]), (0, []))[1]
                     if out:
-                        yield arrow_batch(schema, list(zip(*out)))
+                        yield arrow_batch(schema, [list(out), *zip(*out.values())])
 
     return asked.repartition(n, "file", F.pmod(F.xxhash64("node"), F.lit(n))).sortWithinPartitions("file").mapInArrow(run, "node long, links long, others array<long>")
 
@@ -345,9 +384,9 @@ def linked(vectors: DataFrame, likeness: float = LIKENESS, beams: tuple[int, ...
     folder = shared_folder(spark, "graphs")
     store, path = store_of(folder)
     store.create_dir(path, recursive=True)
-    files = _built(nodes, folder, max(SHARDS, -(-n // SHARD)), dims)
+    files = _built(nodes, folder, max(SHARDS, -(-n // SHARD)), likeness, dims)
     for beam in beams:
-        found = stored(_asked(nodes, folder, files, beam, likeness, dims, pairs=False), "graph-links")
+        found = stored(_asked(nodes, folder, files, beam, likeness, dims), "graph-links")
         if _audit(nodes, found, likeness, dims) >= RECALL:
             break
     links = found.select("node", "links", F.explode_outer("others").alias("other"))

@@ -278,6 +278,22 @@ def test_vectors_odd_rows(spark):
     assert hnsw.near_duplicates(docs.limit(0)).collect() == []
 
 
+def bridged(own, groups, length, dims):
+    """Chains in planes of their own, each vector 15 degrees from the next; ids are shuffled."""
+    ids = own.permutation(groups * length).tolist()
+    rows = []
+    for _ in range(groups):
+        a, b = np.linalg.qr(own.normal(size=(dims, 2)))[0].T
+        rows += [(ids.pop(), (np.cos(t) * a + np.sin(t) * b).tolist()) for t in np.radians(15) * np.arange(length)]
+    return rows
+
+
+def test_bridged_vectors_are_one_component(spark):
+    rows = bridged(np.random.default_rng(11), 60, 3, 48) + [(1000 + i, v) for i, v in bridged(np.random.default_rng(12), 12, 9, 48)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == cosine_links(rows)
+
+
 # pipeline
 
 def test_pipeline(spark, sf):
