@@ -2,8 +2,9 @@
 
 Equal vectors are one. The different ones are dealt to shards by hash; a task builds the graph of a shard and writes it to the
 shared folder. Every vector then asks every shard: greedy steps on the upper levels, a beam on the lowest, and on from all that
-lies within the wanted likeness until nothing more does. An audit compares a bounded sample of queries with all vectors;
-while its recall is too low, beams are widened and all is asked again. Links are pairs whose cosine, in double
+lies within the wanted likeness until nothing more does. An audit compares samples of all queries and of those with links with all
+vectors; while its recall is too low, beams are widened and all is asked again. If the widest one fails too, or the samples hold too
+few links to tell, every vector is compared with all, shard by shard in blocks. Links are pairs whose cosine, in double
 precision, is high enough; components are united from a spanning forest of those found, made shard by shard.
 
 Vectors are inserted and asked in batches, so that the steps of a batch are a few array operations.
@@ -26,8 +27,9 @@ from runlattice.session import shared_folder
 LIKENESS = 0.95
 #: Shards at least, vectors of a shard about; neighbours on upper levels (twice as many on the lowest); beam when inserting.
 SHARDS, SHARD, LINKS, BUILD_BEAM = 4, 50_000, 12, 48
-#: Beams to ask with, one after the other until the audit passes; sampled queries of the audit, and the recall asked for.
-BEAMS, AUDITED, RECALL = (32, 96, 256, 1024), 256, 0.995
+#: Beams to ask with, one after the other until the audit passes; sampled queries of the audit, the recall asked for, and the
+#: true links it takes to see that (no miss in 3 / (1 - RECALL) has a chance of 5 % at a lower recall): so many queries with links are sampled too.
+BEAMS, AUDITED, RECALL, ENOUGH = (32, 96, 256, 1024), 256, 0.995, 600
 #: Vectors inserted or asked at once, and rows compared at once in the audit.
 BATCH = 512
 
@@ -197,6 +199,17 @@ class Graph:
                 seen[some] = False
             yield i, np.concatenate(reached)
 
+    def all_within(self, queries: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Per query all nodes with at least that likeness: it is compared with every one, in blocks."""
+        found: list[list[np.ndarray]] = [[] for _ in queries]
+        for part in range(0, len(self.vectors), 8192):
+            query, node = np.nonzero(queries @ self.vectors[part : part + 8192].T >= least)
+            for i, some in zip(*np.unique(query, return_index=True)):
+                found[i].append(part + node[some : np.searchsorted(query, i, "right")])
+        for i, some in enumerate(found):
+            if some:
+                yield i, np.concatenate(some)
+
     def packed(self) -> bytes:
         out = io.BytesIO()
         np.savez(out, vectors=self.vectors, order=self.order, **{f"level{i}": t for i, t in enumerate(self.levels)})
@@ -308,10 +321,10 @@ def _open(folder: str, name: str) -> tuple[Graph, np.ndarray, np.ndarray, np.nda
     return loaded(f"{folder}/{name}", read)
 
 
-def _asked(queries: DataFrame, folder: str, files: list[str], beam: int, likeness: float, dims: int) -> DataFrame:
+def _asked(queries: DataFrame, folder: str, files: list[str], beam: int | None, likeness: float, dims: int) -> DataFrame:
     """Per query and shard the number of vectors linked to it (copies counted) and the nodes to unite it with: (node, links, others).
 
-    A link is a pair with a cosine of at least `likeness`, judged in double precision. A task keeps which nodes of a shard are
+    A link is a pair with a cosine of at least `likeness`, judged in double precision. Without a beam all pairs are compared. A task keeps which nodes of a shard are
     united already, from the graph's own links on. `others` are one linked node of each tree of these that a query links to,
     which makes them one tree, and of a query of the shard itself the root of its own; so all that any link joins is joined,
     by no more rows than a task has queries and a shard has nodes.
@@ -335,7 +348,8 @@ def _asked(queries: DataFrame, folder: str, files: list[str], beam: int, likenes
                     x = _unit(_matrix(some.column(2), dims))
                     own = np.minimum(np.searchsorted(nodes, mine), len(nodes) - 1)
                     out = {int(m): (0, [int(nodes[start[at]])]) for m, at in zip(mine, own) if nodes[at] == m and start[at] != at}
-                    for i, found in graph.within(x.astype(np.float32), likeness - 1e-4, beam):
+                    near = x.astype(np.float32), likeness - 1e-4
+                    for i, found in graph.within(*near, beam) if beam else graph.all_within(*near):
                         at = graph.order[found]
                         at = at[(exact[at] @ x[i] >= likeness) & (nodes[at] != mine[i])]
                         if len(at):
@@ -348,12 +362,16 @@ def _asked(queries: DataFrame, folder: str, files: list[str], beam: int, likenes
     return asked.repartition(n, "file", F.pmod(F.xxhash64("node"), F.lit(n))).sortWithinPartitions("file").mapInArrow(run, "node long, links long, others array<long>")
 
 
-def _audit(nodes: DataFrame, found: DataFrame, likeness: float, dims: int) -> float:
-    """Share of the true links of the sampled queries that were found: they are compared with all vectors, in blocks."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(AUDITED)
-    held = sample.select("node", "embedding").collect()  # AUDITED vectors
-    ids = np.array([r.node for r in held], np.int64)
-    queries = nodes.sparkSession.sparkContext.broadcast((ids, _unit(np.array([r.embedding for r in held], float).reshape(-1, dims))))
+def _audit(nodes: DataFrame, found: DataFrame, likeness: float, dims: int) -> tuple[float, int]:
+    """Share of the true links of the sampled queries that were found, and how many true links there are: they are compared with
+    all vectors, in blocks. AUDITED queries are drawn from all and ENOUGH from those that have links; the lower share counts."""
+    got = found.groupBy("node").agg(F.sum("links").alias("got"))
+    every = nodes.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(AUDITED)
+    some = nodes.join(got.filter("got > 0"), "node", "left_semi").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(ENOUGH)
+    drawn = [{r.node: r.embedding for r in sample.select("node", "embedding").collect()} for sample in (every, some)]  # AUDITED and ENOUGH vectors
+    held = drawn[0] | drawn[1]
+    ids = np.array(list(held), np.int64)
+    queries = nodes.sparkSession.sparkContext.broadcast((ids, _unit(np.array(list(held.values()), float).reshape(-1, dims))))
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,9 +385,13 @@ def _audit(nodes: DataFrame, found: DataFrame, likeness: float, dims: int) -> fl
         yield arrow_batch(schema, [ids, total])
 
     true = nodes.select("node", "copies", "embedding").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    got = found.groupBy("node").agg(F.sum("links").alias("got"))
-    row = true.join(got, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("got", F.lit(0)))).alias("g")).first()
-    return 1.0 if not row.t else row.g / row.t
+    rows = true.join(got, "node", "left").select("node", "true", F.least("true", F.coalesce("got", F.lit(0))).alias("got")).collect()  # a row per sampled query
+    recall = 1.0
+    for sample in drawn:
+        links = sum(r.true for r in rows if r.node in sample)
+        if links:
+            recall = min(recall, sum(r.got for r in rows if r.node in sample) / links)
+    return recall, sum(r.true for r in rows)
 
 
 def linked(vectors: DataFrame, likeness: float = LIKENESS, beams: tuple[int, ...] = BEAMS) -> DataFrame:
@@ -385,10 +407,15 @@ def linked(vectors: DataFrame, likeness: float = LIKENESS, beams: tuple[int, ...
     store, path = store_of(folder)
     store.create_dir(path, recursive=True)
     files = _built(nodes, folder, max(SHARDS, -(-n // SHARD)), likeness, dims)
+    recall, few = 0.0, False
     for beam in beams:
         found = stored(_asked(nodes, folder, files, beam, likeness, dims), "graph-links")
-        if _audit(nodes, found, likeness, dims) >= RECALL:
+        recall, true = _audit(nodes, found, likeness, dims)
+        few = true < ENOUGH and n > AUDITED
+        if few or recall >= RECALL:
             break
+    if few or recall < RECALL:
+        found = stored(_asked(nodes, folder, files, None, likeness, dims), "graph-links")
     links = found.select("node", "links", F.explode_outer("others").alias("other"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     united = components(links.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))

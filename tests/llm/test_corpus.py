@@ -294,6 +294,16 @@ def test_bridged_vectors_are_one_component(spark):
     assert got == cosine_links(rows)
 
 
+def test_vectors_whose_audit_fails_or_sees_too_little(spark):
+    own = np.random.default_rng(13)
+    x = own.normal(size=(3000, 32))
+    for pairs in (20, 1000):
+        near = x[:pairs] + own.normal(scale=0.18, size=(pairs, 32))
+        rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, near]))]
+        got = {r.node: (r.links, r.component) for r in hnsw.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), beams=(1,)).collect()}
+        assert got == {i: w for i, w in cosine_links(rows).items() if w[0]} and len(got) > pairs
+
+
 # pipeline
 
 def test_pipeline(spark, sf):
