@@ -4,8 +4,9 @@ A k-mer of code points is an anchor if the least of its inner s-mers, by hash, s
 on the k-mer alone, so two texts that share a passage choose the same anchors in it, whatever stands around. At least one of
 any k - s + 1 neighbours is chosen, 2 / (k - s + 1) of all on average.
 
-A fingerprint is the least anchors of the whole text by hash, each with its place. Two of them are alike by the share
-of the least anchors of their union that both have, in the same order of places.
+A fingerprint has two parts, for long and for short k-mers: the least anchors of the whole text by hash, each with its place. Two of
+them are alike by the share of the least anchors of their union that both have, in the same order of places. Both are taken by the
+same kind of k-mers: the short ones if either text has few long ones.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from runlattice.llm.common import arrow_batch, partitions, range_of, slices, splits, texts
 
-#: Lengths of k-mers and their inner s-mers; texts of fewer code points than SHORT have anchors of the second kind too.
-LONG_MERS, SHORT_MERS, SHORT = (16, 6), (6, 3), 128
-#: Anchors kept in a fingerprint.
+#: Lengths of k-mers and their inner s-mers, of both kinds; two texts of which one has fewer long anchors than FEW are compared by short ones.
+LONG_MERS, SHORT_MERS, FEW = (16, 6), (6, 3), 16
+#: Anchors kept in each part of a fingerprint.
 SIZE = 64
+#: The bit that tells a short anchor's hash, so that they stand behind the long ones.
+KIND = 1 << 31
 
 _M1, _M2, _P = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,40 +74,31 @@ def syncmers(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def sketches(batch: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text the least anchors by hash, ascending, and the place where each stands first."""
+    """Per text the least anchors by hash, ascending, the long ones first, and the place where each stands first."""
     lengths = np.array([len(t) for t in batch], np.int64)
     starts = np.cumsum(lengths) - lengths
     codes = np.frombuffer("".join(batch).encode("utf-32-le"), "<u4").astype(np.uint64)
-    rows, places, hashes = [], [], []
-    short = np.flatnonzero(lengths < SHORT)
-    pieces = [(LONG_MERS, codes, starts, lengths, np.arange(len(batch)))]
-    if len(short):
-        own = np.concatenate([codes[starts[i] : starts[i] + lengths[i]] for i in short])
-        pieces.append((SHORT_MERS, own, np.cumsum(lengths[short]) - lengths[short], lengths[short], short))
-    for (k, s), chars, begin, size, names in pieces:
-        at, h = syncmers(chars, k, s)
-        owner = np.searchsorted(begin + size, at, "right")
-        within = at - begin[owner] if len(at) else at
-        whole = within + k <= size[owner] if len(at) else np.empty(0, bool)
-        rows.append(names[owner[whole]])
+    keys, places = [], []
+    for (k, s), kind in ((LONG_MERS, 0), (SHORT_MERS, KIND)):
+        at, h = syncmers(codes, k, s)
+        owner = np.searchsorted(starts + lengths, at, "right")
+        within = at - starts[owner] if len(at) else at
+        whole = within + k <= lengths[owner] if len(at) else np.empty(0, bool)
+        keys.append(owner[whole].astype(np.uint64) << np.uint64(32) | h[whole] >> np.uint64(33) | np.uint64(kind))
         places.append(within[whole])
-        hashes.append(h[whole] >> np.uint64(32))
-    row, place, h = (np.concatenate(x) for x in (rows, places, hashes))
-    order = np.lexsort((place, h, row))
-    row, place, h = row[order], place[order], h[order]
-    first = np.ones(len(row), bool)
-    first[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
-    row, place, h = row[first], place[first], h[first].astype(np.uint32)
-    begin = np.searchsorted(row, np.arange(len(batch)))
-    end = np.searchsorted(row, np.arange(len(batch)), "right")
+    key, first = np.unique(np.concatenate(keys), return_index=True)
+    place, h = np.concatenate(places)[first], key.astype(np.uint32)
+    # borders of the parts, two a text
+    ends = np.append(np.searchsorted(key, np.arange(2 * len(batch), dtype=np.uint64) << np.uint64(31)), len(key))
     out = []
     for i, text in enumerate(batch):
-        a, b = begin[i], min(end[i], begin[i] + SIZE)
+        a, middle, b = ends[2 * i : 2 * i + 3]
         if a == b and text:  # too short for any anchor: the whole text is one
-            own = int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little")
+            own = int.from_bytes(hashlib.sha256(text.encode()).digest()[:4], "little") | KIND
             out.append((np.array([own], np.uint32), np.zeros(1, np.int64)))
         else:
-            out.append((h[a:b], place[a:b]))
+            kept = np.r_[a : min(middle, a + SIZE), middle : min(b, middle + SIZE)]
+            out.append((h[kept], place[kept]))
     return out
 
 
@@ -122,6 +116,11 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     """0 to 1; two texts without anchors (both empty) are alike."""
     if not len(a[0]) and not len(b[0]):
         return 1.0
+    middle = [int(np.searchsorted(x[0], KIND)) for x in (a, b)]
+    part = slice(0, middle[0]), slice(0, middle[1])
+    if min(middle) < FEW:
+        part = slice(middle[0], None), slice(middle[1], None)
+    a, b = (a[0][part[0]], a[1][part[0]]), (b[0][part[1]], b[1][part[1]])
     either = np.unique(np.concatenate([a[0], b[0]]))[:SIZE]
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(i):

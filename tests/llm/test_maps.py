@@ -169,6 +169,16 @@ def test_syncmers_depend_on_their_own_text_alone():
     assert fingerprints.likeness((a, b), fingerprints.sketches([core])[0]) == 1.0
 
 
+def test_near_copies_of_any_length_are_alike():
+    own = random.Random(6)
+    for n in [*range(60, 200, 7), 126, 127, 128, 129, 1000]:
+        text = "".join(own.choice("abcdefghijklmnop ") for _ in range(n + 2))
+        short, long = fingerprints.sketches([text[:n], text])
+        other = fingerprints.sketches(["".join(own.choice("abcdefghijklmnop ") for _ in range(n))])[0]
+        assert fingerprints.likeness(short, long) >= 0.85 and fingerprints.likeness(short, other) < 0.1
+        assert fingerprints.likeness(short, long) == fingerprints.likeness(long, short)
+
+
 def test_fingerprints_odd_rows(spark):
     got = fingerprints.fingerprints(odd(spark)).collect()
     assert len(got) == 6 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
