@@ -57,6 +57,7 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z]+")
 _END = re.compile(r"[.!?…]")
+_CLOSING = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW | DROPPED}
 
 TEXT = len(TAGS)  # the feature of a run of text
 FEATURES = [*TAGS, "text", "other", *NAMES, "hidden", "log_words", "links", "ends", "long", "short", "heading_above", "inside_content", "inside_other", "one"]
@@ -131,7 +132,7 @@ def parse(source: str) -> Page:
                 break
         return 0
 
-    at, lower = 0, None
+    at = 0
     for_end = len(source)
     while at < for_end:
         m = _TOKEN.search(source, at)
@@ -160,9 +161,6 @@ def parse(source: str) -> Page:
         if name in RAW or name in DROPPED:
             if m[3].rstrip().endswith("/") and name in ("svg", "math"):
                 continue
-            if lower is None:
-                lower = source.lower() if len(source.lower()) == len(source) else source
-            end = lower.find(f"</{name}", at)
             if name == "head":
                 body = re.compile(r"</head|<body|<(?:article|main|div|nav|p|header|section|h1)[\s>]", re.I)
                 for inner in ("title", "style", "script"):
@@ -170,11 +168,12 @@ def parse(source: str) -> Page:
                 end = _head_end(source, at, body)
                 at = end
                 continue
-            if end < 0:
+            end = _CLOSING[name].search(source, at)
+            if not end:
                 if name in RAW:
                     break
                 continue
-            at = source.find(">", end)
+            at = source.find(">", end.start())
             at = for_end if at < 0 else at + 1
             continue
         if name in VOID and name != "hr":

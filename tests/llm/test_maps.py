@@ -243,6 +243,12 @@ def test_pages_of_other_makes(model):
     assert got[1:] == ["", "", "plain < text", ""]
 
 
+@pytest.mark.parametrize("name", ["SCRIPT", "Style", "TEXTAREA", "NoScript", "IFRAME", "SVG"])
+def test_upper_case_elements_close_beside_any_letter(name):
+    page = html_text.parse(f"<body><p>İstanbul first</p><{name}>var x = '<p>no</p>';</{name}><p>and last</p></body>")
+    assert [t for t in page.text if t] == ["İstanbul first", "and last"]
+
+
 def test_page_rows(spark):
     rows = [(None, None, None, "a"), (1, "u", "", "b"), (1, "u", "", "b"), (2, "v", "<p>" + "word " * 50_000, "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
