@@ -297,9 +297,8 @@ F1 = "0.001 * total + 0.1 * layer"
 
 @query("f01_extract", sql(f"SELECT exp_code, cell_idx, round({F1}, 6) AS heat, round(0.5 * total - 0.05 * layer, 6) AS flow FROM grid", "grid"))
 def extract(spark, folder):
-    none = tb.updates(spark, folder).where("false")
     out = features.extract(
-        tb.sized_experiments(spark, folder), none, LAYERS, ["total"],
+        tb.sized_experiments(spark, folder), tb.updates(spark, folder), LAYERS, ["total"],
         outputs={"heat": F.round(0.001 * F.col("total") + 0.1 * F.col("layer"), 6), "flow": F.round(0.5 * F.col("total") - 0.05 * F.col("layer"), 6)},
     )
     return out.drop("layer")
@@ -337,10 +336,10 @@ def extract_function(spark, folder):
     ),
 )
 def raw(spark, folder):
-    none = tb.updates(spark, folder).where("false")
     ratio = F.round(F.coalesce("value", F.lit(0.0)) / F.coalesce("n", F.lit(1)), 6)
     out = features.extract(
-        tb.users(spark, folder), none, DAYS, ["click"], outputs={"mean_value": ratio}, raw=tb.user_cells(spark, folder)
+        tb.users(spark, folder), tb.updates(spark, folder), DAYS, ["click"], outputs={"mean_value": ratio},
+        raw=tb.user_cells(spark, folder)
     )
     return out.select("exp_code", "cell_idx", "mean_value")
 
@@ -350,10 +349,9 @@ def raw(spark, folder):
     sql("SELECT exp_code, cell_idx, round(price / quantity, 9) AS unit_price FROM grid LEFT JOIN cells USING (exp_code, layer)", "grid", "cells"),
 )
 def derived(spark, folder):
-    none = tb.updates(spark, folder).where("false")
     upstream = tb.cells(spark, folder)
     out = features.extract(
-        tb.sized_experiments(spark, folder), none, LAYERS, ["total"],
+        tb.sized_experiments(spark, folder), tb.updates(spark, folder), LAYERS, ["total"],
         outputs={"unit_price": F.round(F.col("price") / F.col("quantity"), 9)}, upstream=upstream,
     )
     return out.select("exp_code", "cell_idx", "unit_price")

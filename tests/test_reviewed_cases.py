@@ -9,6 +9,7 @@ from conftest import rows
 from runlattice.functions.quantiles import exact_quantiles
 from runlattice.operators import asof, metrics, quality
 from runlattice.operators import evidence as ev
+from runlattice.plans import modelling
 from runlattice.schema import Axis, Feature
 from runlattice.streaming import updates as su
 
@@ -99,3 +100,20 @@ def test_directions_are_spread_and_balanced(dim):
     assert d.shape == (n, dim) and np.allclose(np.linalg.norm(d, axis=1), 1)
     assert np.allclose(d.mean(axis=0), 0, atol=1e-12)
     assert np.allclose(d.T @ d / n, np.eye(dim) / dim, atol=0.12)
+
+
+@pytest.mark.parametrize("query", [modelling.extract, modelling.raw, modelling.derived])
+def test_features_are_extracted_with_the_log(spark, sf, query, monkeypatch):
+    logs, plain = [], modelling.features.extract
+    monkeypatch.setattr(modelling.features, "extract", lambda exps, log, *rest, **more: logs.append(log) or plain(exps, log, *rest, **more))
+    query(spark, sf)
+    assert len(logs) == 1 and logs[0].count() == modelling.tb.updates(spark, sf).count() > 0
+
+
+def test_an_update_shows_in_extracted_features(spark, sf, monkeypatch):
+    key = modelling.tb.sized_experiments(spark, sf).where("n_layers > 2").first().exp_code
+    before = {r.cell_idx: r.heat for r in modelling.extract(spark, sf).where(f"exp_code = {key}").collect()}
+    new = spark.createDataFrame([(key, 1, "layer", 1, "total", 1000.0)], "exp_code long, seq long, iterator_code string, step_index int, param string, value double")
+    monkeypatch.setattr(modelling.tb, "updates", lambda spark, folder: new)
+    after = {r.cell_idx: r.heat for r in modelling.extract(spark, sf).where(f"exp_code = {key}").collect()}
+    assert after == {i: h if i == 0 else pytest.approx(1 + 0.1 * i) for i, h in before.items()}
