@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlattice.llm import bagminhash, hnsw, mixing, substrings
+from runlattice.llm import bagminhash, conversations, hard_negatives, hnsw, mixing, substrings
 
 ORACLES: dict[str, str] = {}
 
@@ -93,3 +93,86 @@ least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1),
 counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
 SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
 FROM embeddings e JOIN least ON least.vec_id = e.vec_id LEFT JOIN counted ON counted.vec_id = e.vec_id"""
+
+#: CRC-32 of the bytes of an ASCII string `name`, a bit at a time.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, len(name) + 1), lambda i: CAST(ascii(substr(name, i, 1)) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+
+def _ways() -> str:
+    """Every way a row, or the end (no symbol), is met from a grammar state, after up to two inserted rows: from, symbol, audit, cost, to, role."""
+    start, legal = 0, {(0, "s"): 1, (0, "u"): 2, (1, "u"): 2, (2, "a"): 3, (3, "u"): 2}
+    out = []
+    for begin in range(4):
+        state, inserts = begin, 0
+        while inserts < 3:
+            made = "a" if state == 2 else "u"
+            for symbol in [conversations.GONE, *"suaoSUAO", ""]:
+                ways = [("", 0, state, "")] if symbol == "" else [("D", 4, state, "")]
+                if symbol not in ("", conversations.GONE):
+                    cut = 3 if symbol.isupper() else 0
+                    if (state, symbol.lower()) in legal:
+                        ways.append(("K", cut, legal[state, symbol.lower()], "="))
+                    ways.append(("R", 3 + cut, legal[state, made], made))
+                if symbol == "" and state not in (start, 3):
+                    ways = []
+                out += [(begin, symbol, "I" * inserts + edit, 3 * inserts + cost, to) for edit, cost, to, _ in ways]
+            state, inserts = legal[state, made], inserts + 1
+    return ", ".join(f"({a}, '{b}', '{c}', {d}, {e})" for a, b, c, d, e in out)
+
+
+ORACLES["op12_suffix_dawg"] = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+kinds AS (SELECT name, {_CRC32} % 20 AS kind FROM (SELECT DISTINCT name FROM named)),
+after AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+  FROM named n JOIN kinds k ON k.name = n.name, unnest(range(0, CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS u(copy)),
+told AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth,
+  rtrim(text, e' \t\n\x0b\x0c\r') AS trimmed FROM after),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), nth) AS place FROM told),
+faults AS (SELECT *, CASE WHEN trimmed = '' THEN 1 WHEN nth > 1 THEN 2 WHEN right(trimmed, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS initial FROM placed),
+symbols AS (SELECT *, CASE WHEN fault IN (1, 2) THEN '{conversations.GONE}' WHEN fault = 3 THEN upper(initial) ELSE initial END AS symbol,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY place) || initial AS pair FROM faults),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  count(*) AS n, list(symbol ORDER BY place) AS symbols, list(role ORDER BY place) AS roles, list(text ORDER BY place) AS texts FROM symbols GROUP BY 1),
+ways(origin, symbol, edits, price, target) AS (VALUES {_ways()}),
+best AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS place, 0 AS state, 0 AS cost, '' AS audit FROM counted
+  UNION ALL
+  SELECT b.conv_id, b.place + 1, target, CAST(min(cost + price) AS INTEGER), CAST(arg_min(audit || edits, (cost + price, audit || edits)) AS VARCHAR)
+  FROM best b JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.place <= c.n
+  JOIN ways w ON w.origin = b.state AND w.symbol = CASE WHEN b.place = c.n THEN '' ELSE c.symbols[b.place + 1] END
+  GROUP BY b.conv_id, b.place, target),
+ended AS (SELECT b.conv_id, min(b.cost) AS cost, arg_min(b.audit, (b.cost, b.audit)) AS audit FROM best b
+  JOIN counted c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND b.place = c.n + 1 GROUP BY 1),
+edits AS (SELECT e.conv_id, step, substr(audit, step, 1) AS edit, len(replace(substr(audit, 1, step), 'I', '')) AS place,
+    len(replace(substr(audit, 1, step), 'D', '')) AS nth, roles, texts
+  FROM ended e JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id, unnest(range(1, len(audit) + 1)) AS u(step)),
+made AS (SELECT *, first_value(CASE WHEN edit = 'K' AND left(roles[place], 1) = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY conv_id ORDER BY step) AS led FROM edits WHERE edit <> 'D'),
+lines AS (SELECT conv_id, step, CASE edit WHEN 'K' THEN roles[place] WHEN 'I' THEN own ELSE own END || ':' || CASE edit WHEN 'I' THEN '' ELSE texts[place] END AS line
+  FROM (SELECT *, CASE WHEN (nth - led) % 2 = 1 THEN 'user' ELSE 'assistant' END AS own FROM made)),
+texts AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY step) AS whole FROM lines GROUP BY 1),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM ids i LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM i.conv_id
+LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+ORACLES["op13_threshold"] = f"""
+WITH taking AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM taking a JOIN taking b ON a.vec_id % {hard_negatives.EVERY} = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {hard_negatives.POSITIVES}),
+negatives AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+    AND {hard_negatives.LEAST} * p.score <= 100 * n.score AND 100 * n.score <= {hard_negatives.MOST} * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM negatives WHERE rank <= {hard_negatives.NEGATIVES}"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from runlattice.llm import bagminhash, fingerprints, hnsw, html_text, mixing, prefix_bpe, substrings, token_files, toxicity, warc
+from runlattice.llm import (
+    bagminhash, conversations, fingerprints, hard_negatives, hnsw, html_text, mixing, prefix_bpe, rule_quality, substrings, token_files, toxicity, warc,
+)
 from runlattice.llm.common import table
 from runlattice.llm.oracles import ORACLES
 
@@ -72,3 +74,18 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+
+
+@query
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_suffix_dawg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
