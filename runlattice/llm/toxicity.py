@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlattice.llm.common import stored
+from runlattice.session import shared_folder
 
 #: Labelled rows that the model is fitted on, at most: those first by a hash of doc_id.
 SAMPLE = 20_000
@@ -264,7 +265,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         featuresCol="_counts", labelCol="y", weightCol="w", probabilityCol="_chances", rawPredictionCol="_raw", predictionCol="_class",
         regParam=1e-4, maxIter=60, standardization=False,
     ).fit(vector.transform(soft, F.col("in_order"), "y", "w"))
-    return Model(vector, linear, n_toxic / n)
+    # The fitted object holds its training summary, and with it the session, which no task can be sent once anything was observed
+    # in it; the object read back holds coefficients alone.
+    path = shared_folder(spark, "toxicity-linear")
+    linear.write().save(path)
+    return Model(vector, LogisticRegressionModel.load(path), n_toxic / n)
 
 
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import numpy as np
 import public_tokenizers as public
 import tiktoken
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -320,3 +321,14 @@ def test_pipeline(spark, sf):
     last = corpus_pipeline.STAGES[-1][1](spark, rows, sf)
     want = sorted((r.doc_id, len(plain.encode_ordinary(r.text or ""))) for r in rows.collect())
     assert sorted((r.doc_id, r.n_tokens) for r in last.collect()) == want
+
+
+def test_toxicity_after_rows_were_observed(spark, sf):
+    """An Observation leaves the session with a manager that can't be sent to tasks; scoring must not carry the session there."""
+    seen = Observation("rows")
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.scores(docs, labels).collect()
+    assert len(scored) == docs.count()
+    assert {r.doc_id for r in scored if not r.predicted} == {r.doc_id for r in toxicity.without_toxic(docs, labels).collect()}
