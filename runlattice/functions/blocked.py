@@ -6,6 +6,8 @@ into blocks, work inside each block, and carry one summary row per block across.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ def _block(order: str, block: int) -> Column:
     return F.floor(F.col(order) / F.lit(block)).cast("long")
 
 
+def _all_known(keys: list[str]) -> Column:
+    """The keys a join would ask for anyway; asked for beforehand, both of its sides are the same plan."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+
+
 def positions(
     df: DataFrame,
     order: list[str],
@@ -99,20 +106,56 @@ def lag_dense(
     return lagged.where(F.col("_blk") == F.col("_own")).drop("_own", "_blk")
 
 
-def lag_sparse(
-    df: DataFrame, by: list[str], order: str, value: str, name: str, block: int = BLOCK
-) -> DataFrame:
-    """Value of the row before, for an integer order with gaps; ties are not allowed."""
-    keys = list(by) + ["_blk"]
-    keyed = df.withColumn("_blk", _block(order, block))
-    last = keyed.groupBy(*keys).agg(F.max_by(value, order).alias("_last"))
-    prior = last.select(
-        *keys, F.lag("_last").over(Window.partitionBy(*by).orderBy("_blk")).alias("_carry")
+def chain(df: DataFrame, by: list[str], order: str, prior: dict[str, str], begun: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """What came before each row, for an integer order with gaps; ties are not allowed.
+
+    ``prior`` names columns for the value of another column in the row before, ``begun`` for whether a flag was set in any.
+    """
+    keys = [*by, "_blk"]
+    keyed = df.withColumn("_blk", _block(order, block)).where(_all_known(keys)).repartition(*keys)
+    ends = keyed.groupBy(*keys).agg(
+        *[F.max_by(c, order).alias(f"_e{name}") for name, c in prior.items()], *[F.max(c).alias(f"_e{name}") for name, c in begun.items()]
+    )
+    along = Window.partitionBy(*by).orderBy("_blk")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select(
+        *keys, *[F.lag(f"_e{name}").over(along).alias(f"_c{name}") for name in prior], *[F.max(f"_e{name}").over(before).alias(f"_c{name}") for name in begun]
     )
     w = Window.partitionBy(*keys).orderBy(order)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    told = keyed.join(carry, keys).withColumn("_first", F.row_number().over(w) == 1)
+    lagged = {name: F.when(F.col("_first"), F.col(f"_c{name}")).otherwise(F.lag(c).over(w)) for name, c in prior.items()}
+    set_ = {name: F.coalesce(F.greatest(F.max(c).over(earlier), F.col(f"_c{name}")), F.lit(False)) for name, c in begun.items()}
+    return told.withColumns(lagged | set_).drop("_blk", "_first", *[f"_c{name}" for name in (*prior, *begun)])
+
+
+def lag_sparse(df: DataFrame, by: list[str], order: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """Value of the row before, for an integer order with gaps; ties are not allowed."""
+    return chain(df, by, order, {name: value}, {}, block)
+
+
+def best_so_far(df: DataFrame, by: list[str], at: str, wins: list[str], same: dict[str, str] = {}, block: int = BLOCK) -> DataFrame:  # noqa: B006
+    """Each struct (seq, value) in ``wins`` replaced by the one of the greatest seq up to and including the row, in the order of
+    the integer ``at``, per ``by``; ``at`` is unique there. ``same`` names columns for the greatest value of another column in the
+    row's block. Adds ``_blk`` and the last place in it, ``_last``; rows of one (by, _blk) stay together. Rows without a key or place
+    are left out.
+
+    A block hands the winner it ends with to those after it, so one row per block meets in one place. Blocks and their ends read the
+    same columns, so that Spark shuffles the rows once for both.
+    """
+    keys = [*by, "_blk"]
+    keyed = df.withColumn("_blk", _block(at, block)).where(_all_known(keys)).repartition(*keys)
+    tops = keyed.groupBy(*keys).agg(
+        *[F.max(f"{w}.seq").alias(f"_s_{w}") for w in wins], *[F.max_by(f"{w}.value", f"{w}.seq").alias(f"_v_{w}") for w in wins],
+        F.max(at).alias("_last"), *[F.max(c).alias(name) for name, c in same.items()],
+    )
+    before = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tops.select(
+        *keys, "_last", *same, *[F.max(F.struct(F.col(f"_s_{w}").alias("seq"), F.col(f"_v_{w}").alias("value"))).over(before).alias(f"_c_{w}") for w in wins]
+    )
+    inside = Window.partitionBy(*keys).orderBy(at)
     return (
-        keyed.join(prior, keys)
-        .withColumn("_first", F.row_number().over(w) == 1)
-        .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.lag(value).over(w)))
-        .drop("_blk", "_carry", "_first")
+        keyed.join(carry, keys)
+        .withColumns({w: F.greatest(F.max(w).over(inside), F.col(f"_c_{w}")) for w in wins})
+        .drop(*[f"_c_{w}" for w in wins])
     )

@@ -11,8 +11,8 @@ from runlattice.operators.grid import KEY, num_rows
 from runlattice.schema import Axis, Feature, Param
 
 
-def _rules(p: Param) -> list[Column]:
-    v = F.col(p.name)
+def rules(p: Param, v: Column) -> list[tuple[Column, str]]:
+    """Conditions that a value of a parameter must not meet, with the names of the rules they break."""
     checks = []
     if p.required:
         checks.append((v.isNull(), "missing"))
@@ -25,9 +25,14 @@ def _rules(p: Param) -> list[Column]:
             checks.append((v < p.lo, "below_min"))
         if p.hi is not None:
             checks.append((v > p.hi, "above_max"))
+    return checks
+
+
+def _rules(p: Param) -> list[Column]:
+    v = F.col(p.name)
     return [
         F.when(bad, F.struct(F.lit(p.name).alias("param"), F.lit(rule).alias("rule"), v.cast("string").alias("found")))
-        for bad, rule in checks
+        for bad, rule in rules(p, v)
     ]
 
 
@@ -44,9 +49,9 @@ def validated(df: DataFrame, params: list[Param]) -> DataFrame:
     return df.where(F.when(F.size(found) > 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
-def coerced(p: Param) -> Column:
+def coerced(p: Param, v: Column | None = None) -> Column:
     """The value as its declared type: half-even integers, bools at 0.5, reals rounded."""
-    v = F.col(p.name)
+    v = F.col(p.name) if v is None else v
     if p.kind == "real":
         d = v.cast("double")
         return d if p.digits is None else F.bround(d, p.digits)

@@ -66,9 +66,11 @@ def test_log_order_beats_step_order_and_unconditional_applies(spark, exp):
     assert [v for _, v in got] == [3.0, 3.0, 3.0, 4.0, 4.0, 4.0]
 
 
-@pytest.mark.parametrize("long_axis", [1 << 16, 3])
+@pytest.mark.parametrize("part, block", [(asof.PART, asof.BLOCK), (8, 4)])
 @pytest.mark.parametrize("mode", ["context", "row"])
-def test_random_logs_against_a_loop(spark, mode, long_axis):
+def test_random_logs_against_a_loop(spark, monkeypatch, mode, part, block):
+    monkeypatch.setattr(asof, "BLOCK", block)
+    monkeypatch.setattr(asof, "PART", part)
     rng = random.Random(5)
     axes = [Axis("n0", "i0", 4), Axis("n1", "i1", 5)]
     exps, events = [], []
@@ -78,7 +80,7 @@ def test_random_logs_against_a_loop(spark, mode, long_axis):
             axis = rng.choice(["n0", "i0", "i1", "n1", None])
             events.append((f"e{e}", s, axis, rng.randint(0, 7) if axis else None, rng.choice(["p", "q"]), rng.random()))
     base = spark.createDataFrame(exps, "exp_code string, p double, q double, n0 int, n1 int")
-    got = asof.effective_params(base, spark.createDataFrame(events, LOG), axes, ["p", "q"], mode, long_axis).collect()
+    got = asof.effective_params(base, spark.createDataFrame(events, LOG), axes, ["p", "q"], mode).collect()
     assert len(got) == sum(x[3] * x[4] for x in exps)
     for r in got:
         want = {"p": 0.5, "q": -0.5}
@@ -107,6 +109,47 @@ def test_recorded_updates(spark, exp):
         asof.params_at_step(exp, empty, AXES, ["param_1"], "d1", None)
 
 
+def test_recorded_updates_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(asof, "BLOCK", 4)
+    own = random.Random(9)
+    sizes, held, new = {f"e{e}": (own.randint(1, 4), own.randint(1, 5)) for e in range(40)}, [], []
+    for e in sizes:
+        for s in range(own.randint(0, 6)):
+            axis = own.choice(["n0", "i1", None])
+            held.append((e, s, axis, own.randint(0, 5) if axis else None, own.choice(["p", "q"]), float(own.randint(0, 2))))
+        steps = sorted(own.randint(0, 5) for _ in range(own.randint(0, 9)))
+        new += [(e, 100 + i, "i0", s, own.choice(["p", "q"]), float(own.randint(0, 2))) for i, s in enumerate(steps)]
+    want = []
+    for e, (_, n1) in sizes.items():
+        known = [x for x in held if x[0] == e]
+
+        def at(x):
+            return 0 if x[2] is None else x[3] * (n1 if x[2] in ("n0", "i0") else 1)
+
+        for x in sorted(p for p in new if p[0] == e):
+            before = 0.0
+            for y in sorted(known):
+                before = y[5] if y[4] == x[4] and at(y) <= at(x) else before
+            if before != x[5]:
+                known.append(x)
+                want.append(x)
+    base = spark.createDataFrame([(e, 0.0, 0.0, *n) for e, n in sizes.items()], "exp_code string, p double, q double, n0 int, n1 int")
+    got = asof.record_updates(base, spark.createDataFrame(held, LOG), spark.createDataFrame(new, LOG), [Axis("n0", "i0", 4), Axis("n1", "i1", 5)], ["p", "q"])
+    assert sorted(rows(got)) == sorted(want) and len(want) > 50
+
+
+def test_refused_and_sanitised_updates(spark, exp):
+    empty, spec = spark.createDataFrame([], LOG), [Param("param_1", "real", 0, 10, digits=1)]
+    out = asof.record_updates(exp, empty, log(spark, ("d1", 0, "param_1", 3.14159), ("d1", 1, "param_1", 3.14159)), AXES, ["param_1"], spec)
+    assert rows(out.select("seq", "value")) == [(0, 3.1)]
+    for events, why in (
+        ([("d1", 1, "param_1", 1.0), ("d1", 0, "param_1", 2.0)], "step order"), ([(None, 1, "param_1", 1.0)], "axis and step"),
+        ([("d1", None, "param_1", 1.0)], "axis and step"), ([("d1", 0, "param_1", 99.0)], "above_max"),
+    ):
+        with pytest.raises(Exception, match=why):
+            asof.record_updates(exp, empty, log(spark, *events), AXES, ["param_1"], spec).collect()
+
+
 def test_dense_round_trip_and_last_duplicate(spark, exp):
     cells = spark.createDataFrame([("exp_001", 0, 1, 1.0, 0), ("exp_001", 0, 1, 2.0, 1), ("exp_001", 1, 2, 5.0, 0)], "exp_code string, d1 int, d2 int, v double, seq int")
     full = grid.fill_grid(cells, exp, AXES, "v", "seq")

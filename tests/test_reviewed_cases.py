@@ -36,19 +36,18 @@ def test_proposals_meet_the_log_at_their_own_step(spark, exp):
 
 
 @pytest.mark.parametrize("mode", ["context", "row"])
-@pytest.mark.parametrize("long_axis", [1 << 16, 4])
-def test_steps_past_the_declared_size(spark, exp, mode, long_axis):
+def test_steps_past_the_declared_size(spark, exp, mode):
     ups = log(spark, (0, "i", 10, "p", 5.0), (1, "i", 12, "p", 9.0))
-    got = rows(asof.effective_params(exp, ups, AXES, ["p"], mode, long_axis).select("cell_idx", "p"), "cell_idx")
+    got = rows(asof.effective_params(exp, ups, AXES, ["p"], mode).select("cell_idx", "p"), "cell_idx")
     assert got == [(i, 5.0 if i >= 10 else 1.0) for i in range(12)]
     assert rows(asof.params_at_last_row(exp, ups, AXES, ["p"]).select("p")) == [(5.0,)]
     assert rows(asof.params_at_step(exp, ups, AXES, ["p"], "i", 10).select("p")) == [(5.0,)]
 
 
-def test_steps_past_the_own_size_make_no_arrays(spark, exp):
-    ups = log(spark, (0, "i", 2_000_000_000, "p", 5.0))
-    stepped = asof.attach_steps(exp, ups, AXES, ["p"], "context")
-    assert stepped.where("_steps IS NOT NULL").count() == 0
+def test_steps_past_the_own_size_make_no_cells(spark, exp):
+    ups = log(spark, (0, "i", 2_000_000_000, "p", 5.0), (1, "i", 3, "p", 6.0))
+    got = rows(asof.effective_params(exp, ups, AXES, ["p"]).select("cell_idx", "p"), "cell_idx")
+    assert got == [(i, 6.0 if i >= 3 else 1.0) for i in range(12)]
 
 
 def test_repeated_and_outlying_cells_count_once_or_never(spark):
