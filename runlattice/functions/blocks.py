@@ -1,38 +1,91 @@
-"""Sums over everything within reach of a point, block by block.
+"""Sums over everything within reach of a point, block by block, for spaces of any extent and number of dimensions.
 
-For spaces too wide for a grid of nodes. Points and sources meet as blocks of bounded size, and a
-pair of blocks is one row that yields one partial sum per point: pairs themselves are never rows.
-Blocks meet by the cell of their first coordinates; a crowded cell has many blocks, and salts
-spread these over tasks.
+A tree of splits, built from a bounded sample of the sources, cuts space into leaves that hold about equally many of them,
+however they clump. Points and sources are packed leaf by leaf into blocks of bounded size with the box that they fill. A block of
+points meets the blocks of those leaves whose box lies within reach, so what is never compared is known to be farther
+away. A pair of blocks is one row that yields one partial sum per point: pairs themselves are never rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
-SALTS = 16
-CELL_DIMS = 3
+#: Sources that the splits are taken from, and leaves, at most.
+SAMPLE, LEAVES = 1 << 16, 1 << 12
 
 
-def _cells(dims: list[str], reach: float) -> list[Column]:
-    return [F.floor(F.col(d) / reach).cast("int") for d in dims[:CELL_DIMS]]
+@dataclass(frozen=True)
+class Splits:
+    """A complete binary tree: node i cuts dimension dim[i] at value[i]; its halves are 2i + 1 and 2i + 2."""
 
+    dim: np.ndarray
+    value: np.ndarray
 
-def _blocks(df: DataFrame, keys: list[str], columns: list[str], name: str, salted: bool) -> DataFrame:
-    """Rows of a cell packed into arrays of about BLOCK rows."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    @classmethod
+    def of(cls, sample: np.ndarray, depth: int) -> Splits:
+        dim, value = np.zeros(2**depth - 1, int), np.zeros(2**depth - 1)
+        parts = [sample]
+        for i in range(len(dim)):
+            rows = parts[i]
+            if len(rows):
+                dim[i] = int(np.argmax(rows.max(0) - rows.min(0)))
+                value[i] = float(np.median(rows[:, dim[i]]))
+            below = rows[:, dim[i]] < value[i]
+            parts += [rows[below], rows[~below]]
+        return cls(dim, value)
+
+    def leaf(self, z: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(z), int)
+        while len(self.dim) and at[0] < len(self.dim):
+            at = 2 * at + 1 + (z[np.arange(len(z)), self.dim[at]] >= self.value[at])
+        return at - len(self.dim)
+
+
+def _splits(sources: DataFrame, dims: list[str]) -> Splits:
+    """Splits for leaves of a block's size, as many as the sample can tell apart."""
+    coords = [F.col(d).cast("double").alias(d) for d in dims]
+    n = sources.count()
+    drawn = sources.select(*coords) if n <= SAMPLE else sources.select(*coords).orderBy(F.xxhash64(*dims)).limit(SAMPLE)
+    rows = np.array([tuple(r) for r in drawn.collect()], float).reshape(-1, len(dims))  # SAMPLE rows at most
+    depth = max(0, int(np.ceil(np.log2(max(1, min(n / BLOCK, LEAVES, len(rows) / 8))))))
+    return Splits.of(rows, depth)
+
+
+def _values(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _blocks(df: DataFrame, dims: list[str], columns: list[str], tree: Splits) -> DataFrame:
+    """Rows (leaf, part, rows, lo, hi) of about BLOCK rows; a leaf with more of them has more parts."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(dims))])
+            if len(z):
+                yield pa.RecordBatch.from_arrays([pa.array(tree.leaf(z), pa.int32()), *batch.columns], ["leaf", *columns])
+
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=dims)
+    placed = doubles.mapInArrow(place, "leaf int, " + ", ".join(f"{c} double" for c in columns))
+    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
     part = F.pmod(F.xxhash64(*columns), F.col("_parts"))
-    packed = df.join(sizes, keys).groupBy(*keys, part.alias("_part")).agg(
-        F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).alias(name)
+    return placed.join(F.broadcast(sizes), "leaf").groupBy("leaf", part.alias("part")).agg(  # LEAVES rows at most
+        F.collect_list(F.array(*columns)).alias("rows"),
+        F.array(*[F.min(d) for d in dims]).alias("lo"), F.array(*[F.max(d) for d in dims]).alias("hi"),
     )
-    salt = F.pmod(F.col("_part"), F.lit(SALTS)).cast("int") if salted else F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return packed.withColumn("_salt", salt).drop("_part")
+
+
+def _gap2(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
+    """Squared distance of two boxes."""
+    gaps = F.zip_with(F.zip_with(other_lo, hi, lambda a, b: a - b), F.zip_with(lo, other_hi, lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
 
 
 def sums_in_reach(
@@ -43,23 +96,34 @@ def sums_in_reach(
 
     Points are taken once per distinct row. Those with nothing in reach have no row.
     """
-    keys = [f"_c{d}" for d in range(min(CELL_DIMS, len(dims)))]
     pcols, scols = [*dims, *point_extras], [*dims, *source_extras]
-    near = points.select(*pcols).distinct()
-    for key, cell in zip(keys, _cells(dims, reach)):
-        near = near.withColumn(key, F.explode(F.sequence(cell - 1, cell + 1)))
-    own = sources.select(*scols, *[c.alias(k) for k, c in zip(keys, _cells(dims, reach))])
-    near = near.join(own.select(*keys).distinct(), keys, "left_semi")
-    met = _blocks(near, keys, pcols, "_p", True).join(_blocks(own, keys, scols, "_s", False), [*keys, "_salt"])
+    tree = _splits(sources, dims)
+    held = _blocks(sources, dims, scols, tree).select("leaf", F.col("rows").alias("_s"), F.col("lo").alias("_slo"), F.col("hi").alias("_shi"))
+    asked = _blocks(points.select(*pcols).distinct(), dims, pcols, tree).select(F.col("rows").alias("_p"), F.col("lo").alias("_plo"), F.col("hi").alias("_phi"))
+    # The boxes of the leaves: LEAVES rows at most, whatever the number of sources.
+    boxes = held.groupBy("leaf").agg(*[f(F.col(side)[i]).alias(f"{side}{i}") for f, side in ((F.min, "_slo"), (F.max, "_shi")) for i in range(len(dims))]).collect()
+    leaves = np.array([r["leaf"] for r in boxes], int)
+    lo, hi = (np.array([[r[f"{side}{i}"] for i in range(len(dims))] for r in boxes], float).reshape(-1, len(dims)) for side in ("_slo", "_shi"))
+
+    @F.pandas_udf("array<int>")
+    def near(plo, phi):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        out = []
+        for a, b in zip(plo, phi):
+            gap = np.maximum(0.0, np.maximum(lo - np.asarray(b), np.asarray(a) - hi))
+            out.append(leaves[(gap**2).sum(1) <= reach**2].tolist())
+        return pd.Series(out)
+
+    met = asked.withColumn("leaf", F.explode(near("_plo", "_phi"))).join(held, "leaf")
+    met = met.where(_gap2(F.col("_plo"), F.col("_phi"), F.col("_slo"), F.col("_shi")) <= reach**2)
     wp, ws = len(pcols), len(scols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, s = batch.column(0), batch.column(1)
-            pv = p.flatten().flatten().to_numpy().reshape(-1, wp)
-            sv = s.flatten().flatten().to_numpy().reshape(-1, ws)
-            pe = np.cumsum([0, *p.value_lengths().to_pylist()])
-            se = np.cumsum([0, *s.value_lengths().to_pylist()])
+            pv, sv = _values(p, wp), _values(s, ws)
+            pe, se = (np.cumsum([0, *pc.list_value_length(x).to_pylist()]) for x in (p, s))
             for i in range(batch.num_rows):
                 block = pv[pe[i] : pe[i + 1]]
                 total = function(block, sv[se[i] : se[i + 1]])

@@ -1,21 +1,36 @@
-"""Density, joint integral and gain in more dimensions than a grid of nodes can hold.
+"""Density, integrals and gain over any extent and any number of dimensions, as plans over rows.
 
-Same formulas as ``operators.evidence``, as plans over blocks of kernels and probes within reach.
-Reach grows with the total weight, so what lies beyond it never adds up to more than TOLERANCE.
+Same formulas as ``operators.evidence``, without its grid of nodes: no bound is too wide, no outlier too far, no kernel too
+narrow. Space counts only where something lies. A cell no wider than the kernel that holds more rows than nodes is
+replaced by its nodes with weights that keep sums of smooth functions to about ten digits (a fast Gauss transform, kept
+as rows of points), so a crowd costs what its nodes cost. What is left meets within reach, block by block. Reach grows
+with the total weight, so what lies beyond it never adds up to more than TOLERANCE.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from math import log, sqrt
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlattice.functions.blocks import sums_in_reach
-from runlattice.operators.evidence import fit_evidence, in_bounds, resolve_sigma, shell_probes, with_gain
+from runlattice.functions.nodes import Line
+from runlattice.operators.evidence import BOX, axis_probes, cube_probes, in_bounds, resolve_sigma, shell_probes
+from runlattice.session import checkpointed
 
 TOLERANCE = 1e-9
+#: Cell width in σ and nodes a dimension, for kernels and for probes.
+KERNEL_CELLS, PROBE_CELLS = (1.0, 14), (0.5, 12)
+#: Dimensions up to which a crowd is replaced by its nodes; beyond, their number is larger than most crowds.
+NODE_DIMS = 3
+#: Marginal sums of all axes run side by side: the number of the axis is one more coordinate, this many reaches apart.
+APART = 4.0
+Bounds = list[tuple[float, float]]
 
 
 def _merged(kernels: DataFrame, dims: list[str], weight: str) -> DataFrame:
@@ -35,74 +50,192 @@ def _near(points: np.ndarray, sources: np.ndarray, n: int, sigma: float) -> np.n
     return np.exp(-d2 / (2 * sigma**2))
 
 
+def thinned(rows: DataFrame, along: list[str], fixed: list[str], weight: str, width: float, nodes: int) -> DataFrame:
+    """The rows (fixed, along, weight), with the nodes of a cell in place of its rows where these are more.
+
+    ``along`` names the coordinates cut into cells of ``width``; rows of different ``fixed`` columns don't mix. A task adds up its
+    own part of each crowded cell.
+    """
+    if len(along) > NODE_DIMS:
+        return rows.select(*fixed, *along, weight)
+    line = Line(0.0, 1.0, 1, nodes)
+    spots = (line.nodes).tolist()
+    basis = line.transform()
+    cells = [f"_c{i}" for i in range(len(along))]
+    keys = [*fixed, *cells]
+    own = rows.select(*fixed, *[F.col(d).cast("double").alias(d) for d in along], F.col(weight).cast("double").alias(weight))
+    own = own.withColumns({c: F.floor(F.col(d) / width).cast("long") for c, d in zip(cells, along)})
+    crowded = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > nodes ** len(along)).select(*keys)
+    lone = own.join(crowded, keys, "left_anti").select(*fixed, *along, weight)
+    heads, names = len(cells) - 1, [f"_s{k}" for k in range(nodes)]
+    first = len(fixed)
+
+    def add_up(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for part in parts:
+            for key, some in part.groupby(keys, sort=False):
+                place = key if isinstance(key, tuple) else (key,)
+                spread = some[weight].to_numpy()[None, :]
+                for c, d in zip(place[first:], along):
+                    share = basis @ line.polynomials(np.clip(some[d].to_numpy() / width - c, 0.0, 1.0), np.zeros(len(some)))
+                    spread = (spread[:, None, :] * share[None, :, :]).reshape(-1, len(some)) if d != along[-1] else spread @ share.T
+                sums[place] = sums[place] + spread if place in sums else spread
+        for place, total in sums.items():
+            out = pd.DataFrame(total, columns=names)
+            for i, (k, v) in enumerate(zip(keys, place)):
+                out.insert(i, k, v)
+            out.insert(len(keys), "_r", np.arange(len(total), dtype=np.int32))
+            yield out
+
+    typed = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
+    dense = own.join(crowded, keys).select(*keys, *along, weight)
+    added = dense.mapInPandas(add_up, f"{typed}, _r int, " + ", ".join(f"{n} double" for n in names))
+    total = added.groupBy(*keys, "_r").agg(*[F.sum(n).alias(n) for n in names])
+    spread = total.select(*keys, "_r", F.posexplode(F.array(*names)).alias("_k", weight))
+    at = F.array(*map(F.lit, spots))
+    # The row number holds the nodes of all coordinates but the last, the later ones first.
+    order = [F.floor(F.col("_r") / nodes ** (heads - 1 - i)) % nodes for i in range(heads)] + [F.col("_k")]
+    placed = [((F.col(c) + F.get(at, o.cast("int"))) * width).alias(d) for c, d, o in zip(cells, along, order)]
+    return lone.unionByName(spread.select(*fixed, *placed, weight))
+
+
 def density(points: DataFrame, kernels: DataFrame, dims: list[str], radius: float, weight: str = "w", name: str = "density") -> DataFrame:
     """Add the density at each point."""
-    sigma, n = resolve_sigma(radius), len(dims)
-    merged = _merged(kernels, dims, weight)
+    sigma = resolve_sigma(radius)
+    return _with_density(points, _sources(_merged(kernels, dims, weight), dims, [], sigma), dims, sigma, name)
+
+
+def _sources(merged: DataFrame, along: list[str], fixed: list[str], sigma: float) -> DataFrame:
+    # Read several times over: for its extent, its splits and its sums.
+    return checkpointed(thinned(merged, along, fixed, "w", KERNEL_CELLS[0] * sigma, KERNEL_CELLS[1]))
+
+
+def _with_density(points: DataFrame, sources: DataFrame, coords: list[str], sigma: float, name: str) -> DataFrame:
+    n = len(coords)
 
     def rho(p: np.ndarray, s: np.ndarray) -> np.ndarray:
         return _near(p, s, n, sigma) @ s[:, n]
 
-    found = sums_in_reach(points, merged, dims, [], ["w"], _reach(merged, sigma), rho, name)
-    return points.join(found, dims, "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+    found = sums_in_reach(points, sources, coords, [], ["w"], _reach(sources, sigma), rho, name)
+    return points.join(found, coords, "left").withColumn(name, F.greatest(F.coalesce(name, F.lit(0.0)), F.lit(0.0)))
 
 
-def _probes(table: DataFrame, dims: list[str], sigma: float, keep: list[str]) -> DataFrame:
-    """In-bounds probes around each row's position with their quadrature weight ``v``."""
-    offsets, weights = shell_probes(len(dims), sigma)
+def _moved(table: DataFrame, coords: list[str], offsets: np.ndarray, weights: np.ndarray, keep: list[str]) -> DataFrame:
+    """Probes around each row's position with their quadrature weight ``v``."""
     packed = F.array(
         *[F.struct(*[F.lit(float(x)).alias(f"o{i}") for i, x in enumerate(o)], F.lit(float(w)).alias("ow")) for o, w in zip(offsets, weights)]
     )
-    moved = table.withColumn("_o", F.explode(packed)).select(
-        *keep, *[(F.col(d) + F.col(f"_o.o{i}")).alias(d) for i, d in enumerate(dims)], (F.col("w") * F.col("_o.ow")).alias("v")
+    return table.withColumn("_o", F.explode(packed)).select(
+        *keep, *[(F.col(d) + F.col(f"_o.o{i}")).alias(d) for i, d in enumerate(coords)], (F.col("w") * F.col("_o.ow")).alias("v")
     )
-    return moved.where(in_bounds(dims))
 
 
-def joint_field(kernels: DataFrame, dims: list[str], radius: float, weight: str = "w") -> DataFrame:
-    """Probes of all kernels with weight ``v`` and density ``rho``."""
+class _Frame:
+    """Where an integral takes its sums: all coordinates together, or one axis each side by side."""
+
+    def __init__(self, dims: list[str], sigma: float, bounds: Bounds | None, probes: tuple[np.ndarray, np.ndarray] | None = None):
+        self.dims, self.sigma, self.probes = dims, sigma, probes
+        self.bounds = bounds or [(0.0, 1.0)] * len(dims)
+        self.joint = probes is not None
+        self.along = dims if self.joint else ["z"]
+        self.fixed = [] if self.joint else ["_g"]
+        self.coords = [*self.along, *self.fixed]
+
+    def rows(self, table: DataFrame, far: float, keep: list[str]) -> DataFrame:
+        """Positions of the table in this frame, with ``w`` and the kept columns."""
+        if self.joint:
+            return table.select(*keep, *self.dims, "w")
+        line = F.explode(F.array(*[F.struct(F.lit(i * APART * far).alias("_g"), F.col(d).alias("z")) for i, d in enumerate(self.dims)]))
+        return table.select(*keep, line.alias("_x"), "w").select(*keep, "_x.z", "_x._g", "w")
+
+    def around(self, rows: DataFrame, far: float, keep: list[str]) -> DataFrame:
+        """In-bounds probes around rows of this frame."""
+        if self.joint:
+            return _moved(rows, self.dims, *self.probes, keep).where(in_bounds(self.dims, self.bounds))
+        p, q = axis_probes(self.sigma)
+        spots = _moved(rows, ["z"], p[:, None], q, [*keep, "_g"])
+        return spots.where(reduce(lambda a, b: a | b, [(F.col("_g") == i * APART * far) & F.col("z").between(*e) for i, e in enumerate(self.bounds)]))
+
+    def field(self, merged: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
+        """Thinned kernels, and thinned probes (coordinates, v, rho)."""
+        rows = _merged(self.rows(merged, far, []), self.coords, "w")
+        sources = _sources(rows, self.along, self.fixed, self.sigma)
+        spots = thinned(self.around(rows, far, []), self.along, self.fixed, "v", PROBE_CELLS[0] * self.sigma, PROBE_CELLS[1])
+        return sources, checkpointed(_with_density(checkpointed(spots), sources, self.coords, self.sigma, "rho"))
+
+    def integral(self, kernels: DataFrame) -> DataFrame:
+        merged = checkpointed(_merged(kernels, self.dims, "w"))
+        _, field = self.field(merged, _reach(merged, self.sigma))
+        share = 1.0 if self.joint else 1.0 / len(self.dims)
+        return field.agg((F.coalesce(F.sum(F.col("v") / (1 + F.col("rho"))), F.lit(0.0)) * share).alias("integral"))
+
+    def gain(self, spot: DataFrame, kernels: DataFrame, key: str, name: str) -> DataFrame:
+        """(key, name): change of the integral when a candidate of weight ``w`` is added."""
+        merged = checkpointed(_merged(kernels, self.dims, "w"))
+        far = _reach(merged, self.sigma)
+        sources, field = self.field(merged, far)
+        n, sigma, coords = len(self.coords), self.sigma, self.coords
+
+        def lost(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+            v, rho = s[:, n], s[:, n + 1]
+            delta = _near(p, s, n, sigma) * p[:, n][:, None]
+            return (v * delta / ((1 + rho) * (1 + rho + delta))).sum(axis=1)
+
+        placed = self.rows(spot, far, [key])
+        taken = sums_in_reach(placed.select(*coords, "w"), field, coords, ["w"], ["v", "rho"], far, lost, "_lost")
+        paid = placed.join(taken, [*coords, "w"], "left").groupBy(key).agg(F.coalesce(F.sum("_lost"), F.lit(0.0)).alias("_paid"))
+        centers = [f"_x{i}" for i in range(len(coords))]
+        centred = placed.withColumns({x: F.col(c) for x, c in zip(centers, coords)}).withColumn("_w", F.col("w"))
+        own = self.around(centred, far, [key, "_w", *centers])
+        own = _with_density(own, sources, coords, sigma, "rho")
+        d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(x)) ** 2 for c, x in zip(coords, centers)])
+        added = F.col("rho") + F.col("_w") * F.exp(-d2 / (2 * sigma**2))
+        won = own.groupBy(key).agg(F.sum(F.col("v") / (1 + added)).alias("_won"))
+        share = 1.0 if self.joint else 1.0 / len(self.dims)
+        return paid.join(won, key, "left").select(key, ((F.coalesce("_won", F.lit(0.0)) - F.col("_paid")) * share).alias(name))
+
+
+def _probes(estimator: str, dims: int, sigma: float, n_samples: int | None, box: float) -> tuple[np.ndarray, np.ndarray]:
+    if estimator not in ("shell", "cube"):
+        raise ValueError(f"unknown estimator {estimator!r}")
+    return shell_probes(dims, sigma) if estimator == "shell" else cube_probes(dims, sigma, n_samples, box)
+
+
+def marginal_integral(kernels: DataFrame, dims: list[str], radius: float, weight: str = "w", bounds: Bounds | None = None) -> DataFrame:
+    """Mean over the axes of the evidence along each."""
+    return _Frame(dims, resolve_sigma(radius), bounds).integral(_merged(kernels, dims, weight))
+
+
+def joint_integral(
+    kernels: DataFrame, dims: list[str], radius: float, weight: str = "w", bounds: Bounds | None = None,
+    estimator: str = "shell", n_samples: int | None = None, box: float = BOX,
+) -> DataFrame:
+    """Evidence of all coordinates together, by probes on shells or in a cube around each kernel."""
     sigma = resolve_sigma(radius)
-    merged = _merged(kernels, dims, weight)
-    return density(_probes(merged, dims, sigma, []), merged, dims, radius, name="rho")
+    return _Frame(dims, sigma, bounds, _probes(estimator, len(dims), sigma, n_samples, box)).integral(_merged(kernels, dims, weight))
 
 
-def joint_integral(kernels: DataFrame, dims: list[str], radius: float, weight: str = "w") -> DataFrame:
-    return joint_field(kernels, dims, radius, weight).agg(F.sum(F.col("v") / (1 + F.col("rho"))).alias("integral"))
-
-
-def integral(kernels: DataFrame, dims: list[str], radius: float, weight: str = "w") -> DataFrame:
+def integral(kernels: DataFrame, dims: list[str], radius: float, weight: str = "w", bounds: Bounds | None = None) -> DataFrame:
     """Marginal and joint integral, blended by D / (D + 1)."""
     share = len(dims) / (len(dims) + 1)
-    axis = fit_evidence(kernels, dims, radius, weight, marginal_weight=1.0).integral()
-    joint = joint_integral(kernels, dims, radius, weight)
-    return joint.select((F.lit(share * axis) + (1 - share) * F.coalesce("integral", F.lit(0.0))).alias("integral"))
+    axis = marginal_integral(kernels, dims, radius, weight, bounds).select(F.col("integral").alias("axis"))
+    joint = joint_integral(kernels, dims, radius, weight, bounds)
+    return joint.crossJoin(axis).select((share * F.col("axis") + (1 - share) * F.col("integral")).alias("integral"))  # a row each
 
 
 def gain(
-    candidates: DataFrame, kernels: DataFrame, dims: list[str], radius: float, weight: str = "w", key: str = "cand_id", name: str = "gain"
+    candidates: DataFrame, kernels: DataFrame, dims: list[str], radius: float, weight: str = "w", key: str = "cand_id", name: str = "gain",
+    bounds: Bounds | None = None, estimator: str = "shell", candidate_weight: Column | None = None,
 ) -> DataFrame:
-    """Add ΔE of candidates of one point and weight 1 each."""
+    """Add ΔE of candidates of one point each, of weight 1 unless given."""
     sigma, n = resolve_sigma(radius), len(dims)
+    own = F.lit(1.0) if candidate_weight is None else candidate_weight.cast("double")
+    spot = candidates.select(key, *[F.col(d).cast("double").alias(d) for d in dims], own.alias("w"))
+    merged = checkpointed(_merged(kernels, dims, weight))
+    joint = _Frame(dims, sigma, bounds, _probes(estimator, n, sigma, None, BOX)).gain(spot, merged, key, "_joint")
+    if estimator == "cube":
+        return candidates.join(joint.withColumnRenamed("_joint", name), key)
+    axis = _Frame(dims, sigma, bounds).gain(spot, merged, key, "_axis")
     share = n / (n + 1)
-    merged = _merged(kernels, dims, weight)
-    field = joint_field(kernels, dims, radius, weight)
-
-    def lost(p: np.ndarray, s: np.ndarray) -> np.ndarray:
-        v, rho = s[:, n], s[:, n + 1]
-        delta = _near(p, s, n, sigma)
-        return (v * delta / ((1 + rho) * (1 + rho + delta))).sum(axis=1)
-
-    spot = candidates.select(key, *[F.col(d).cast("double").alias(d) for d in dims])
-    # One new kernel reaches probes as far as its own weight of 1 matters, times all their weight.
-    far = _reach(merged, sigma)
-    taken = sums_in_reach(spot, field, dims, [], ["v", "rho"], far, lost, "_lost")
-    centers = [F.col(d).alias(f"_x{i}") for i, d in enumerate(dims)]
-    own = _probes(spot.withColumn("w", F.lit(1.0)).select(key, "w", *dims, *centers), dims, sigma, [key, *[f"_x{i}" for i in range(n)]])
-    own = density(own, merged, dims, radius, name="rho")
-    d2 = sum((F.col(d) - F.col(f"_x{i}")) ** 2 for i, d in enumerate(dims))
-    won = own.groupBy(key).agg(F.sum(F.col("v") / (1 + F.col("rho") + F.exp(-d2 / (2 * sigma**2)))).alias("_own"))
-    joint = spot.join(taken, dims, "left").join(won, key, "left").select(
-        key, (F.coalesce("_own", F.lit(0.0)) - F.coalesce("_lost", F.lit(0.0))).alias("_joint")
-    )
-    axis = with_gain(candidates, fit_evidence(kernels, dims, radius, weight, marginal_weight=1.0), name="_axis")
-    return axis.join(joint, key).withColumn(name, share * F.col("_axis") + (1 - share) * F.col("_joint")).drop("_axis", "_joint")
+    both = axis.join(joint, key).select(key, (share * F.col("_axis") + (1 - share) * F.col("_joint")).alias(name))
+    return candidates.join(both, key)

@@ -167,6 +167,90 @@ def joint_wide(spark, folder):
     return out.select(F.round("integral", 6).alias("integral"))
 
 
+def any_extent(dims: int, sigma: float, bounds: tuple[float, float] | None, probes: str = "shell", moved: str = "z0") -> dict[str, str]:
+    """Views of the integrals by brute force: kernels k, probes of each axis and all axes with their densities (aq, jq)."""
+    zs = [f"z{d}" for d in range(dims)]
+    offsets, weights = (ev.shell_probes if probes == "shell" else ev.cube_probes)(dims, sigma)
+    rows = ", ".join("(" + ", ".join(f"{float(v)!r}::DOUBLE" for v in [*o, w]) + ")" for o, w in zip(offsets, weights))
+    inside = " AND ".join(f"{z} BETWEEN {bounds[0]!r} AND {bounds[1]!r}" for z in zs) if bounds else "true"
+    d2 = " + ".join(f"(y.{z} - k.{z}) ** 2" for z in zs)
+    two = repr(2 * sigma**2)
+    scaled = ", ".join(f"(v{d} - min(v{d}) OVER ()) / (max(v{d}) OVER () - min(v{d}) OVER ()) AS z{d}" for d in range(dims))
+    return {
+        "raw": "SELECT vec_id AS kernel_id, " + ", ".join(f"CAST(embedding[{d + 1}] AS DOUBLE) AS v{d}" for d in range(dims)) + " FROM embeddings",
+        "k": f"SELECT kernel_id, 1.0::DOUBLE AS w, {moved} AS z0{''.join(f', z{d}' for d in range(1, dims))} FROM (SELECT kernel_id, {scaled} FROM raw)",
+        "off": f"SELECT * FROM (VALUES {rows}) t({', '.join(f'o{d}' for d in range(dims))}, ow)",
+        "jy": f"SELECT row_number() OVER () AS id, * FROM (SELECT {', '.join(f'{z} + o{d} AS {z}' for d, z in enumerate(zs))}, w * ow AS v FROM k, off) WHERE {inside}",
+        "jq": f"SELECT y.id, {', '.join(f'any_value(y.{z}) AS {z}' for z in zs)}, any_value(y.v) AS v, sum(k.w * exp(-({d2}) / {two})) AS rho FROM jy y, k GROUP BY 1",
+        "pr": f"SELECT r * {sigma} AS p, exp(-r * r / 2) / sum(exp(-r * r / 2)) OVER () * {sigma} * sqrt(2 * pi()) AS q FROM (VALUES (-2.0::DOUBLE), (-1.0), (-0.5), (0.0), (0.5), (1.0), (2.0)) t(r)",
+        "ax": " UNION ALL ".join(f"SELECT {d} AS d, {z} AS z, w FROM k" for d, z in enumerate(zs)),
+        "ay": "SELECT row_number() OVER () AS id, * FROM (SELECT d, z + p AS y, w * q AS v FROM ax, pr)" + (f" WHERE y BETWEEN {bounds[0]!r} AND {bounds[1]!r}" if bounds else ""),
+        "aq": f"SELECT y.id, any_value(y.d) AS d, any_value(y.y) AS y, any_value(y.v) AS v, sum(k.w * exp(-((y.y - k.z) ** 2) / {two})) AS rho FROM ay y JOIN ax k ON k.d = y.d GROUP BY 1",
+        "axis": f"SELECT sum(v / (1 + rho)) / {dims} AS i FROM aq", "joint": "SELECT sum(v / (1 + rho)) AS i FROM jq",
+    }
+
+
+def blend(dims: int) -> str:
+    return f"SELECT round(({dims} * axis.i + joint.i) / {dims + 1}, 6) AS integral FROM axis, joint"
+
+
+FAR_OFF = "CASE WHEN z0 = 1 THEN 40000.0 WHEN z0 = 0 THEN -7e8 ELSE z0 END"
+
+
+def rounded(df):
+    return df.select(F.round("integral", 6).alias("integral"))
+
+
+@query("i08_integral_no_bounds", sql(blend(2), extra=any_extent(2, SIGMA, (-1e6, 1e6))))
+def no_bounds(spark, folder):
+    return rounded(evidence_wide.integral(kernels(spark, folder), DIMS, SIGMA, bounds=[(-1e6, 1e6)] * 2))
+
+
+@query("i08_integral_outliers", sql(blend(2), extra=any_extent(2, SIGMA, (-1e9, 1e9), moved=FAR_OFF)))
+def outliers(spark, folder):
+    moved = kernels(spark, folder).withColumn("z0", F.expr(FAR_OFF))
+    return rounded(evidence_wide.integral(moved, DIMS, SIGMA, bounds=[(-1e9, 1e9)] * 2))
+
+
+@query("i07_joint_integral_narrow", sql("SELECT round(i, 6) AS integral FROM joint", extra=any_extent(3, 0.03, (0.0, 1.0))))
+def narrow(spark, folder):
+    return rounded(evidence_wide.joint_integral(tb.kernels(spark, folder, 3), WIDE[:3], 0.03))
+
+
+@query("i09_cube_integral_wide", sql("SELECT round(i, 6) AS integral FROM joint", extra=any_extent(4, SIGMA, (0.0, 1.0), "cube")))
+def cube_wide(spark, folder):
+    return rounded(evidence_wide.joint_integral(tb.kernels(spark, folder, 4), WIDE, SIGMA, estimator="cube"))
+
+
+WIDE_GAIN = {
+    **any_extent(4, SIGMA, (0.0, 1.0)),
+    "c": """SELECT s_suppkey AS cand_id, (s_acctbal + 1000.0) / 11000.0 AS z0, s_nationkey / 24.0 AS z1, s_suppkey % 10 / 9.0 AS z2, s_suppkey % 7 / 6.0 AS z3 FROM supplier""",
+    "cx": " UNION ALL ".join(f"SELECT cand_id, {d} AS d, CAST(z{d} AS DOUBLE) AS z FROM c" for d in range(4)),
+    "co": "SELECT cand_id, d, z, z + p AS y, q FROM cx, pr WHERE z + p BETWEEN 0 AND 1",
+    "cm": f"""SELECT cand_id, sum(q / (1 + rho + exp(-((y - z) ** 2) / {S2}))) AS own FROM
+        (SELECT c.cand_id, c.d, c.z, c.y, c.q, sum(k.w * exp(-((c.y - k.z) ** 2) / {S2})) AS rho FROM co c JOIN ax k ON k.d = c.d GROUP BY ALL) GROUP BY 1""",
+    "cc": f"SELECT c.cand_id, sum(a.v / (1 + a.rho + exp(-((a.y - c.z) ** 2) / {S2})) - a.v / (1 + a.rho)) AS lost FROM cx c JOIN aq a ON a.d = c.d GROUP BY 1",
+    "jo": f"""SELECT cand_id, ow, {', '.join(f'z{d} AS c{d}, z{d} + o{d} AS z{d}' for d in range(4))} FROM c, off WHERE {' AND '.join(f'c.z{d} + o{d} BETWEEN 0 AND 1' for d in range(4))}""",
+    "jp": f"SELECT y.*, (SELECT sum(k.w * exp(-({' + '.join(f'(y.z{d} - k.z{d}) ** 2' for d in range(4))}) / {S2})) FROM k) AS rho FROM jo y",
+    "jm": f"SELECT cand_id, sum(ow / (1 + rho + exp(-({' + '.join(f'(z{d} - c{d}) ** 2' for d in range(4))}) / {S2}))) AS own FROM jp GROUP BY 1",
+    "jc": f"""SELECT c.cand_id, sum(a.v / (1 + a.rho + exp(-({' + '.join(f'(a.z{d} - c.z{d}) ** 2' for d in range(4))}) / {S2})) - a.v / (1 + a.rho)) AS lost FROM c, jq a GROUP BY 1""",
+}
+
+
+@query(
+    "i10_gain_wide",
+    sql(
+        """SELECT cand_id, round((coalesce(cm.own, 0) + cc.lost) / 5 + (coalesce(jm.own, 0) + jc.lost) / 5, 6) AS gain
+        FROM c LEFT JOIN cm USING (cand_id) JOIN cc USING (cand_id) LEFT JOIN jm USING (cand_id) JOIN jc USING (cand_id)""",
+        extra=WIDE_GAIN,
+    ),
+)
+def gain_wide(spark, folder):
+    plus = [((F.col("cand_id") % m) / (m - 1.0)).alias(z) for m, z in ((10, "z2"), (7, "z3"))]
+    spots = tb.candidates(spark, folder).select("*", *plus)
+    return evidence_wide.gain(spots, tb.kernels(spark, folder, 4), WIDE, SIGMA).select("cand_id", F.round("gain", 6).alias("gain"))
+
+
 @query("i08_blended_integral", sql(f"SELECT round(2 * {MARGINAL} / 3 + {JOINT} / 3, 6) AS integral", "kernels", extra={**PROBES, **SHELL}))
 def blended(spark, folder):
     return one(spark, "integral", fit(spark, folder).integral())

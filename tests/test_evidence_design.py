@@ -5,7 +5,8 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from runlattice.operators import acquire, design, prep
+from runlattice.functions import blocks
+from runlattice.operators import acquire, design, evidence_wide, prep
 from runlattice.operators import evidence as ev
 from runlattice.schema import Axis, Param
 
@@ -238,3 +239,45 @@ def test_crowded_cells_are_cut_into_blocks(spark):
     src = spark.range(2000).select((F.col("id") / 1e6).alias("z0"))
     out = blocks.sums_in_reach(pts, src, ["z0"], [], [], 1.0, count, "n")
     assert out.agg(F.min("n"), F.max("n"), F.count("*")).first() == (2000.0, 2000.0, 1500)
+
+
+def uniform(spark, n, dims, seed=4):
+    z = np.random.default_rng(seed).random((n, dims))
+    names = [f"z{i}" for i in range(dims)]
+    return z, names, spark.createDataFrame([(*map(float, r), 1.0) for r in z], ", ".join(f"{c} double" for c in names) + ", w double")
+
+
+@pytest.mark.parametrize("dims, n", [(1, 400), (2, 3000)])
+def test_nodes_of_crowded_cells_keep_sums(spark, dims, n):
+    """All kernels in a few cells, some far off: nodes take the crowds' place, weights and densities stay."""
+    z, names, _ = uniform(spark, n, dims)
+    z[:5] += 1e7
+    df = spark.createDataFrame([(*map(float, r), 0.5) for r in z], ", ".join(f"{c} double" for c in names) + ", w double")
+    few = evidence_wide.thinned(df, names, [], "w", 0.5, 14)
+    got = np.array([tuple(r) for r in few.select(*names, "w").collect()])
+    assert len(got) <= 2**dims * 14**dims + 5 < n and abs(got[:, -1].sum() - 0.5 * n) < 1e-6
+    at = np.random.default_rng(1).random((40, dims))
+    direct = 0.5 * np.exp(-((at[:, None] - z[None]) ** 2).sum(2) / (2 * 0.5**2)).sum(1)
+    thin = np.exp(-((at[:, None] - got[None, :, :-1]) ** 2).sum(2) / (2 * 0.5**2)) @ got[:, -1]
+    assert np.allclose(thin, direct, rtol=1e-8)
+
+
+def test_boxes_spare_work_in_four_dimensions(spark):
+    z, names, df = uniform(spark, 6000, 4)
+    z[3000:] += 3.0
+    df = spark.createDataFrame([(*map(float, r), 1.0) for r in z], ", ".join(f"{c} double" for c in names) + ", w double")
+    compared = blocks.sums_in_reach(df, df, names, [], ["w"], 0.08 * 3, lambda p, s: np.full(len(p), float(len(s))), "n").agg(F.sum("n")).first()[0]
+    near = blocks.sums_in_reach(df, df, names, [], ["w"], 0.08 * 3, lambda p, s: (((p[:, None] - s[None, :, :4]) ** 2).sum(2) <= 0.24**2).sum(1).astype(float), "n")
+    want = (((z[:2000, None] - z[None]) ** 2).sum(2) <= 0.24**2).sum(1)
+    got = {tuple(r[:4]): r["n"] for r in near.collect()}
+    assert [got[tuple(r)] for r in z[:2000]] == want.tolist()
+    assert compared <= 0.5 * len(z) ** 2  # the two clumps never meet
+
+
+def test_any_bounds_and_no_kernels(spark):
+    _, names, df = uniform(spark, 30, 2)
+    inside = evidence_wide.integral(df, names, 0.1).first()[0]
+    assert abs(inside - ev.fit_evidence(df, names, 0.1).integral()) < 1e-9
+    assert evidence_wide.integral(df, names, 0.1, bounds=[(-1e6, 1e6)] * 2).first()[0] > inside
+    assert evidence_wide.integral(df, names, 0.1, bounds=[(5.0, 6.0)] * 2).first()[0] == 0.0
+    assert evidence_wide.integral(df.limit(0), names, 0.1).first()[0] == 0.0
