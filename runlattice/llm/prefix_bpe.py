@@ -31,7 +31,7 @@ CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Texts with longer runs of white space, or two at their end, are cut by CHUNK; before every space and line feed the others.
 LONG_RUN = re.compile(f"[{WHITE}]{{3}}|[{WHITE}]{{2}}$|\0")
 #: Chunks that a worker remembers; forgetting costs time and changes nothing.
-CHUNKS = 300_000
+CHUNKS = 600_000
 #: Results of tests that a worker remembers for each token.
 TESTED = 100_000
 NEVER = 1 << 62
