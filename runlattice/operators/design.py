@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import reduce
+from math import prod
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,15 +100,29 @@ def to_real(u: Column, p: Param) -> Column:
     return u * span + p.lo
 
 
-def strata(categories: list[Param]) -> list[tuple[str, ...]]:
-    """Every combination of the categories' labels, the last one varying fastest."""
-    return reduce(lambda acc, p: [(*a, v) for a in acc for v in p.vocab], categories, [()])
+def count_strata(categories: list[Param]) -> int:
+    """Number of label combinations."""
+    return prod(len(p.vocab) for p in categories)
+
+
+def labels_of(stratum: Column, categories: list[Param]) -> dict[str, Column]:
+    """The labels of a numbered combination, the last category varying fastest: the number's digits in the sizes of the vocabularies."""
+    out, inner = {}, 1
+    for p in reversed(categories):
+        digit = F.floor(stratum / inner) % len(p.vocab)
+        out[p.name] = F.get(F.lit(list(p.vocab)), digit.cast("int"))
+        inner *= len(p.vocab)
+    return {p.name: out[p.name] for p in categories}
+
+
+def strata(spark: SparkSession, categories: list[Param]) -> DataFrame:
+    """Every combination of the categories' labels, a row each, numbered in ``stratum``."""
+    return spark.range(count_strata(categories)).select(F.col("id").alias("stratum"), *[c.alias(n) for n, c in labels_of(F.col("id"), categories).items()])
 
 
 def assign_strata(df: DataFrame, index: str, n: Column | int, categories: list[Param]) -> DataFrame:
     """Split n numbered rows evenly over all label combinations, the rest to the first ones."""
-    combos = strata(categories)
-    k = len(combos)
+    k = count_strata(categories)
     total = F.lit(n) if isinstance(n, int) else n
     each = F.floor(total / k)
     extra = total % k
@@ -115,10 +130,8 @@ def assign_strata(df: DataFrame, index: str, n: Column | int, categories: list[P
     spot = F.when(F.col(index) < edge, F.floor(F.col(index) / (each + 1))).otherwise(
         extra + F.floor((F.col(index) - edge) / F.greatest(each, F.lit(1)))
     )
-    df = df.withColumn("stratum", spot.cast("long"))
-    for d, p in enumerate(categories):
-        df = df.withColumn(p.name, F.get(F.lit([c[d] for c in combos]), F.col("stratum").cast("int")))
-    return df
+    placed = df.withColumn("stratum", spot.cast("long"))
+    return placed.withColumns(labels_of(F.col("stratum"), categories))
 
 
 def fill_defaults(

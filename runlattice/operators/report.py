@@ -104,7 +104,7 @@ def ranked_starts(low: DataFrame, start: str = "start") -> DataFrame:
     return low.withColumn("is_best", F.col(start) == top.select(start).scalar())
 
 
-def metric_table(metrics: DataFrame, columns: list[str] = ("mae", "r2", "n_samples")) -> DataFrame:
-    """One row per metric, one column per feature; features are declared names."""
+def metric_table(metrics: DataFrame, columns: list[str] = ("mae", "r2", "n_samples"), features: list[str] | None = None) -> DataFrame:
+    """One row per metric, one column per feature; with the declared names given, they need not be looked up first."""
     long = metrics.unpivot(["feature"], [F.col(c).cast("double").alias(c) for c in columns], "metric", "value")
-    return long.groupBy("metric").pivot("feature").agg(F.max("value"))
+    return long.groupBy("metric").pivot("feature", features).agg(F.max("value"))

@@ -476,6 +476,6 @@ def best_starts(spark, folder):
     ),
 )
 def metric_table(spark, folder):
-    out = report.metric_table(metrics.regression_metrics(predictions(spark, folder)))
+    out = report.metric_table(metrics.regression_metrics(predictions(spark, folder)), features=["discount", "price"])
     return out.withColumns({c: F.round(c, 6) for c in ("discount", "price")})
 

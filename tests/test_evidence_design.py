@@ -281,3 +281,13 @@ def test_any_bounds_and_no_kernels(spark):
     assert evidence_wide.integral(df, names, 0.1, bounds=[(-1e6, 1e6)] * 2).first()[0] > inside
     assert evidence_wide.integral(df, names, 0.1, bounds=[(5.0, 6.0)] * 2).first()[0] == 0.0
     assert evidence_wide.integral(df.limit(0), names, 0.1).first()[0] == 0.0
+
+
+def test_a_hundred_million_strata_need_no_list(spark):
+    cats = [Param(f"c{d}", "category", vocab=tuple(f"{d}{i}" for i in range(10))) for d in range(8)]
+    assert design.count_strata(cats) == 10**8
+    numbers = [0, 7, 12_345_678, 99_999_999]
+    picked = design.strata(spark, cats).where(F.col("stratum").isin(numbers)).orderBy("stratum").collect()
+    assert [(r["stratum"], *r[1:]) for r in picked] == [(n, *[f"{d}{c}" for d, c in enumerate(f"{n:08d}")]) for n in numbers]
+    out = design.assign_strata(spark.range(12), "id", 12, cats[:2]).orderBy("id").collect()
+    assert [(r["c0"], r["c1"]) for r in out] == [(f"0{i // 10}", f"1{i % 10}") for i in range(12)]
