@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections import ChainMap
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -29,6 +28,14 @@ def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def sampled(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """Up to n different rows, the first by a hash of their key: (place, row, value), place and row being hashes that order
+    them. The hashes are drawn first, so no value but those taken leaves its place."""
+    hashes = rows.select(F.xxhash64(key).alias("place"), F.xxhash64(key, value).alias("row"), F.col(value).alias("value"))
+    drawn = [r.row for r in hashes.select("place", "row").orderBy("place", "row").limit(n).collect()]
+    return hashes.filter(F.col("row").isin(drawn)).groupBy("place", "row").agg(F.first("value").alias("value"))
+
+
 def loaded(digest: str, build: Callable[[], Any]) -> Any:
     """The object of this digest, built once in a worker process."""
     if digest not in _LOADED:
@@ -47,17 +54,26 @@ class Remembered:
 
     def joined(self, lists: list[list[str]]) -> list[bytes]:
         """Per list the byte strings of its parts, end to end."""
-        young, old = self._young, self._old
-        missing = set().union(*lists).difference(young)
-        found = {p: old[p] for p in missing if p in old}
-        fresh = [p for p in missing if p not in found]
-        found.update(zip(fresh, self._compute(fresh)))
-        if len(young) + len(found) <= self._half:
-            young.update(found)
-            return [b"".join(map(young.__getitem__, parts)) for parts in lists]
-        both = ChainMap(found, young)
-        out = [b"".join(map(both.__getitem__, parts)) for parts in lists]
-        self._old, self._young = young, found
+        parts = list(set().union(*lists))
+        known = dict(zip(parts, self.each(parts)))
+        return [b"".join(map(known.__getitem__, own)) for own in lists]
+
+    def each(self, parts: list[str]) -> list[bytes]:
+        """The byte string of each part; no part twice."""
+        out = list(map(self._young.get, parts))
+        missing = [i for i, x in enumerate(out) if x is None]
+        for i in missing:
+            out[i] = self._old.get(parts[i])
+        fresh = [parts[i] for i in missing if out[i] is None]
+        computed = iter(self._compute(fresh))
+        for i in missing:
+            if out[i] is None:
+                out[i] = next(computed)
+        found = {parts[i]: out[i] for i in missing}
+        if len(self._young) + len(found) <= self._half:
+            self._young.update(found)
+        else:
+            self._old, self._young = self._young, found
         return out
 
 

@@ -12,14 +12,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlattice.llm.common import arrow_batch, slices
+from runlattice.llm.common import arrow_batch, sampled, slices
 
 #: Pages of the table that the model is trained on beside the layouts, at most, and the longest taken.
 SAMPLE, SAMPLE_CHARS = 150, 50_000
@@ -40,6 +40,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 TAGS = """html body article section main nav aside header footer div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote figure figcaption
     table tr td th form fieldset address details dialog button label""".split()
+_BOUNDS_P = ("button", "table", "td", "th")
+_THROUGH_TABLES = frozenset("table html body div tr td th tbody".split())
 #: Words of class, id and role, by what they speak for.
 NAMES = {
     "content": "article content post entry story main body text prose page-content maincontent articlebody".split(),
@@ -53,7 +55,12 @@ NAMES = {
 }
 _NAME_OF = {w: k for k, words in NAMES.items() for w in words}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Where markup starts, and the rest of a tag after its name: a quote opens a value only after an equals sign, and one that
+#: is never closed is a character like others. All repeats are possessive, so a tag is read once.
+_START = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+|["'])*+)>""")
+_PLAIN = re.compile(r"([^>]*+)>")
+_HEAD = re.compile(r"<!--|</head\b|<body\b|<(?:article|main|div|nav|p|header|section|h1)(?=[\s>])|<(script|style|title|noscript)\b", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _PART = re.compile(r"[a-z]+")
 _END = re.compile(r"[.!?…]")
@@ -102,10 +109,13 @@ def _named(attributes: dict[str, str]) -> frozenset[str]:
 
 
 def parse(source: str) -> Page:
-    """The page's tree. Elements left open end with what holds them; closing tags without an opening one are dropped."""
+    """The page's tree, in one pass. Elements left open end with what holds them; closing tags without an opening one are
+    dropped. A tag without any `>` after it is text; where quotes would hide every `>` up to the page's end, tags end at
+    the next `>` from there on."""
     page = Page()
     root = page.add(-1, "html")
     open_: list[tuple[str, int]] = [("html", root)]  # element and its nearest block node
+    places: dict[str, list[int]] = {"html": [0]}  # where in open_ each element stands
     run: list[str] = []
     links = linked = 0
 
@@ -117,25 +127,43 @@ def parse(source: str) -> Page:
                 page.add(open_[-1][1], "text", text=text, linked=linked)
         run, linked = [], 0
 
+    def enter(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(open_))
+        open_.append((name, node))
+
     def close(down_to: int) -> None:
         nonlocal links
         if any(name in BLOCK for name, _ in open_[down_to:]):
             flush()
-        links -= sum(name == "a" for name, _ in open_[down_to:])
+        for name, _ in open_[down_to:]:
+            places[name].pop()
+            links -= name == "a"
         del open_[down_to:]
 
-    def last(names: set[str] | frozenset[str], bounds: set[str]) -> int:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i][0] in names:
-                return i
-            if open_[i][0] in bounds:
-                break
-        return 0
+    def deepest(names: Iterable[str]) -> int:
+        return max((places[name][-1] for name in names if places.get(name)), default=0)
+
+    def last(names: Iterable[str], bounds: Iterable[str]) -> int:
+        found = deepest(names)
+        return found if found and found >= deepest(bounds) else 0
 
     at = 0
     for_end = len(source)
+    last_end = source.rfind(">")
+    rest = _REST
+    unclosed: set[str] = set()
     while at < for_end:
-        m = _TOKEN.search(source, at)
+        m = _START.search(source, at)
+        tag = None
+        if m and m[0] != "<!--":
+            if m.end() > last_end:  # no tag ends any more: what is left is text, but for a comment
+                found = source.find("<!--", at)
+                m = _START.match(source, found) if found >= 0 else None
+            else:
+                tag = (rest if m[2] else _PLAIN).match(source, m.end())
+                if not tag:
+                    rest = _PLAIN
+                    tag = rest.match(source, m.end())
         piece = source[at : m.start()] if m else source[at:]
         if piece:
             run.append(piece)
@@ -143,13 +171,17 @@ def parse(source: str) -> Page:
                 linked += len(piece.split())
         if not m:
             break
-        at = m.end()
-        name = m[2]
+        if not tag:
+            end = source.find("-->", m.end())
+            at = for_end if end < 0 else end + 3
+            continue
+        at = tag.end()
+        name, given = m[2], tag[1]
         if not name:
             continue
         name = name.lower()
         if m[1]:
-            found = last({name}, {"table"} if name not in ("table", "html", "body") and name in BLOCK - {"div"} and name not in ("tr", "td", "th", "tbody") else set())
+            found = last((name,), ("table",) if name in BLOCK and name not in _THROUGH_TABLES else ())
             if found:
                 close(found)
             elif name == "p":
@@ -159,19 +191,16 @@ def parse(source: str) -> Page:
             run.append(" " if name == "br" else "")
             continue
         if name in RAW or name in DROPPED:
-            if m[3].rstrip().endswith("/") and name in ("svg", "math"):
+            if given.rstrip().endswith("/") and name in ("svg", "math"):
                 continue
             if name == "head":
-                body = re.compile(r"</head|<body|<(?:article|main|div|nav|p|header|section|h1)[\s>]", re.I)
-                for inner in ("title", "style", "script"):
-                    del inner
-                end = _head_end(source, at, body)
-                at = end
+                at = _head_end(source, at)
                 continue
-            end = _CLOSING[name].search(source, at)
+            end = None if name in unclosed else _CLOSING[name].search(source, at)
             if not end:
                 if name in RAW:
                     break
+                unclosed.add(name)
                 continue
             at = source.find(">", end.start())
             at = for_end if at < 0 else at + 1
@@ -179,47 +208,54 @@ def parse(source: str) -> Page:
         if name in VOID and name != "hr":
             continue
         if name in CLOSES_P:
-            p = last({"p"}, {"button", "table", "td", "th"})
+            p = last(("p",), _BOUNDS_P)
             if p:
                 close(p)
         if name in CLOSES:
             other = last(CLOSES[name], BOUNDS[name])
             if other:
                 close(other)
-        if name in ("html", "body") and any(n == name for n, _ in open_):
+        if name in ("html", "body") and places.get(name):
             continue
         if name in BLOCK:
             flush()
             if name == "hr":
                 continue
-            given = _attributes(m[3]) if m[3] else {}
-            style = given.get("style", "").replace(" ", "").lower()
-            hidden = "hidden" in given or "display:none" in style or "visibility:hidden" in style or given.get("aria-hidden") == "true"
-            node = page.add(open_[-1][1], name, _named(given), hidden, label=given.get("data-label"))
-            open_.append((name, node))
-        elif not m[3].rstrip().endswith("/"):
+            attributes = _attributes(given) if given else {}
+            style = attributes.get("style", "").replace(" ", "").lower()
+            hidden = "hidden" in attributes or "display:none" in style or "visibility:hidden" in style or attributes.get("aria-hidden") == "true"
+            enter(name, page.add(open_[-1][1], name, _named(attributes), hidden, label=attributes.get("data-label")))
+        elif not given.rstrip().endswith("/"):
             links += name == "a"
-            open_.append((name, open_[-1][1]))
+            enter(name, open_[-1][1])
     flush()
     return page
 
 
-def _head_end(source: str, at: int, body: re.Pattern) -> int:
-    """Where the head ends: at its closing tag, at the body, or at the first element that no head holds; what scripts,
-    styles and the title hold is skipped."""
-    skip = re.compile(r"<(script|style|title|noscript)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
+def _head_end(source: str, at: int) -> int:
+    """Where the head ends: at its closing tag, at the body, or at the first element that no head holds; comments and what
+    scripts, styles and the title hold are skipped."""
+    unclosed: set[str] = set()
     while True:
-        m = body.search(source, at)
+        m = _HEAD.search(source, at)
         if not m:
             return len(source)
-        inner = skip.search(source, at)
-        if inner and inner.start() < m.start():
-            at = inner.end()
-            continue
-        if m[0].lower() == "</head":
-            end = source.find(">", m.end())
+        at = m.end()
+        if m[0] == "<!--":
+            end = source.find("-->", at)
+            at = at if end < 0 else end + 3
+        elif m[1]:
+            name = m[1].lower()
+            end = None if name in unclosed else _CLOSING[name].search(source, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(name)
+        elif m[0].lower() == "</head":
+            end = source.find(">", at)
             return len(source) if end < 0 else end + 1
-        return m.start()
+        else:
+            return m.start()
 
 
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -278,7 +314,8 @@ def marginals(parent: np.ndarray, depth: np.ndarray, kind: np.ndarray, score: np
     n = len(parent)
     own = np.stack([np.zeros(n), score], 1)
     up = np.zeros((n, 2))  # message to the parent, by the parent's state
-    levels = [np.flatnonzero(depth == d) for d in range(depth.max() + 1 if n else 0)]
+    by_depth = np.argsort(depth, kind="stable")
+    levels = np.split(by_depth, np.cumsum(np.bincount(depth))[:-1]) if n else []
     below = own.copy()  # own potential and all messages from children
     for level in levels[:0:-1]:
         t = tables[kind[level]]
@@ -461,8 +498,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    sample = rows.filter(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).select("html")
-    model = spark.sparkContext.broadcast(fit([r.html for r in sample.collect()]))
+    short = rows.filter(F.length("html").between(1, SAMPLE_CHARS))
+    taken = sorted(sampled(short, "page_id", "html", SAMPLE).collect(), key=lambda r: (r.place, r.row))
+    model = spark.sparkContext.broadcast(fit([r.value for r in taken]))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,10 +21,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from runlattice.llm.common import (
     Remembered,
@@ -33,6 +35,7 @@ from runlattice.llm.common import (
     loaded,
     new_name,
     partitions,
+    sampled,
     slices,
     splits,
     store_of,
@@ -47,6 +50,10 @@ SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 500, 8192, 65536
 SHARD_BYTES = 256 << 20
 #: Parts of texts that a worker remembers.
 WORDS = 800_000
+#: Bytes and rows of text that are encoded together, and words whose ids are put in place at once.
+ENCODED_BYTES, ENCODED_ROWS, GATHERED = 8 << 20, 4096, 1 << 20
+#: Words that go through the model side by side.
+TOGETHER = 256
 
 
 class WordEncoder:
@@ -58,42 +65,82 @@ class WordEncoder:
 
     def __init__(self, tokenizer: str):
         self._whole = Tokenizer.from_str(tokenizer)
-        self._model = self._whole.model
         self._plain = _lower_and_split(json.loads(tokenizer))
         self._known = Remembered(self._compute, WORDS)
-        #: Byte-level alphabet: bytes that print stand for themselves, the others for code points from 256 on.
+        #: Byte-level alphabet beyond ASCII: bytes that print stand for themselves, the others for code points from 256 on.
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in shown]
-        self._letters = {b: chr(256 + i) for i, b in enumerate(hidden)}
-
-    def _one(self, word: str) -> list[int]:
-        return [t.id for t in self._model.tokenize(word.lower().encode().decode("latin-1").translate(self._letters))]
+        self._letters = {b: chr(256 + i) for i, b in enumerate(hidden) if b > 127}
+        #: The model alone, on words between spaces, and the bytes of each of its tokens.
+        self._words = Tokenizer(self._whole.model)
+        self._words.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self._whole.get_vocab(with_added_tokens=False)
+        self._bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        suffix = json.loads(tokenizer)["model"].get("end_of_word_suffix") or ""
+        self._bytes[list(vocabulary.values())] = [len(t.removesuffix(suffix)) for t in vocabulary]
+
+    def _lettered(self, text: str) -> str:
+        return text if text.isascii() else text.encode().decode("latin-1").translate(self._letters)
+
+    def _plain_words(self, words: list[str]) -> Iterator[bytes]:
+        """Of words of letters, a full stop or comma at their end or none. They go through the model side by side; where a
+        word ends among the tokens shows in the bytes that these stand for."""
+        texts = [
+            self._lettered(" ".join([f"{w[:-1]} {w[-1]}" if w.endswith((".", ",")) else w for w in words[i : i + TOGETHER]]).lower())
+            for i in range(0, len(words), TOGETHER)
+        ]
+        ids = np.concatenate([np.array(got.ids, "<u4") for got in self._words.encode_batch_fast(texts, add_special_tokens=False)])
+        size = np.fromiter((len(w.encode()) for w in words), np.int64, len(words))
+        ends = np.cumsum(self._bytes[ids])
+        if ends[-1] != size.sum():
+            raise ValueError("the model's tokens don't add up to the words")
+        data, stops = ids.tobytes(), (4 * np.searchsorted(ends, np.cumsum(size), "right")).tolist()
+        return (data[a:b] for a, b in zip([0, *stops], stops))
 
     def _compute(self, words: list[str]) -> Iterator[bytes]:
         found: dict[str, bytes] = {"": b""}
+        plain: tuple[list[str], list[str]] = [], []  # of ASCII alone, and others
         if self._plain:
-            own: dict[str, list[int]] = {}
             for word in words:
-                stem, mark = (word[:-1], word[-1]) if word[-1:] in (".", ",") else (word, "")
-                if stem.isalpha() and max(stem) < "Ā":
-                    key = stem.lower()
-                    ids = own.get(key)
-                    if ids is None:
-                        ids = own[key] = self._one(key)
-                    if mark:
-                        end = own.get(mark)
-                        if end is None:
-                            end = own[mark] = self._one(mark)
-                        ids = ids + end
-                    found[word] = np.array(ids, "<u4").tobytes()
+                stem = word[:-1] if word.endswith((".", ",")) else word
+                if stem.isalpha() and (stem.isascii() or max(stem) < "Ā"):
+                    plain[not stem.isascii()].append(word)
+        for some in filter(None, plain):
+            found.update(zip(some, self._plain_words(some)))
         rest = [w for w in words if w not in found]
         for word, got in zip(rest, self._whole.encode_batch_fast(rest, add_special_tokens=False)):
-            found[word] = np.array(got.ids, "<u4").tobytes()
+            found[word] = struct.pack(f"<{len(got.ids)}I", *got.ids)
         return map(found.__getitem__, words)
 
     def encode_all(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        return self._known.joined([t.replace("\n", " ").split(" ") for t in batch])
+        return [x.tobytes() for x in self.arrays(pa.array(batch, pa.string()))]
+
+    def arrays(self, batch: pa.Array, width: int = 4, end_id: int | None = None) -> Iterator[np.ndarray]:
+        """Ids of each text, unsigned and little-endian, with the end id if one is given. Words that a batch repeats are looked
+        up once; those of ASCII letters in lower case, where the tokenizer has them so."""
+        lists = pc.split_pattern(pc.replace_substring(batch, "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words, which = coded.dictionary, coded.indices.to_numpy()
+        if self._plain:
+            folded = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words).dictionary_encode()
+            words, which = folded.dictionary, folded.indices.to_numpy()[which]
+        known = self._known.each(words.to_pylist())
+        flat = np.frombuffer(b"".join(known), "<u4").astype(f"<u{width}")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        starts = np.cumsum(sizes) - sizes
+        end = np.array([] if end_id is None else [end_id], flat.dtype)
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            parts = [_gathered(flat, starts, sizes, which[at : min(at + GATHERED, b)]) for at in range(a, b, GATHERED)]
+            yield np.concatenate([*parts, end])
+
+
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The runs of `flat` with these numbers, end to end."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _lower_and_split(spec: dict) -> bool:
@@ -149,14 +196,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> Dat
     spec = spark.sparkContext.broadcast(text)
     rows = texts(docs)
     ids_of = partial(_ids, spec, end_id, width)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_pydict({"ids": [x[:SAMPLE_BYTES] for _, x in ids_of(part)]})
+                yield pa.RecordBatch.from_pydict({"row": part.column(0), "ids": [x[:SAMPLE_BYTES] for _, x in ids_of(part)]})
 
-    words = _dictionary([bytes(r.ids) for r in sample.mapInArrow(sampled, "ids binary").collect()])
+    taken = sampled(rows, "doc_id", "text", SAMPLE_DOCS).select("row", "value").mapInArrow(begins, "row long, ids binary")
+    words = _dictionary([bytes(r.ids) for r in sorted(taken.collect(), key=lambda r: r.row)])
     name = hashlib.sha256(words).hexdigest()
     store, path = store_of(folder)
     store.create_dir(path, recursive=True)
@@ -171,11 +218,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> Dat
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, dict_data=_zstd_dictionary(shared.value), write_content_size=True)
         for batch in batches:
-            for part in slices(batch, 1):
-                got = list(ids_of(part))
+            for part in slices(batch, 1, ENCODED_BYTES, ENCODED_ROWS):
+                got = [(n, pack.compress(x)) for n, x in ids_of(part)]
                 ids = part.column(0)
                 bucket = np.searchsorted(cuts, ids.fill_null(-(1 << 63)).to_numpy(), "right").astype(np.int32)
-                yield arrow_batch(encoded, [bucket, ids, [n for n, _ in got], [pack.compress(x) for _, x in got]])
+                yield arrow_batch(encoded, [bucket, ids, [n for n, _ in got], [x for _, x in got]])
 
     index = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bytes", pa.int64())])
     header = {"id_bytes": width, "dictionary_sha256": name}
@@ -184,8 +231,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> Dat
         store, path = store_of(folder)
         shard, number = None, 0
         for batch in batches:
-            for row in range(batch.num_rows):
-                bucket, doc_id, n_tokens, frame = (c[row].as_py() for c in batch.columns)
+            for bucket, doc_id, n_tokens, frame in zip(*(c.to_pylist() for c in batch.columns)):
                 if shard is not None and (shard.bucket != bucket or shard.size >= SHARD_BYTES):
                     number = number + 1 if shard.bucket == bucket else 0
                     yield arrow_batch(index, [[x] for x in shard.close()])
@@ -207,10 +253,8 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str) -> Dat
 
 def _ids(spec, end_id: int, width: int, batch: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
     """Number and bytes of the ids of each row, the end id included."""
-    end = np.array([end_id], "<u4").tobytes()
-    for got in _encoder(spec.value).encode_all(batch.column(1).to_pylist()):
-        got += end
-        yield len(got) // 4, np.frombuffer(got, "<u4").astype(f"<u{width}").tobytes() if width < 4 else got
+    for got in _encoder(spec.value).arrays(batch.column(1), width, end_id):
+        yield len(got), got.tobytes()
 
 
 def _zstd_dictionary(data: bytes):

@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from runlattice.llm import fingerprints, html_text, prefix_bpe, queries, token_files, warc
+from runlattice.llm.common import sampled
 from runlattice.session import shared_folder
 
 DOCS = "doc_id long, text string"
@@ -249,6 +251,44 @@ def test_upper_case_elements_close_beside_any_letter(name):
     assert [t for t in page.text if t] == ["İstanbul first", "and last"]
 
 
+def shown(source):
+    return [t for t in html_text.parse(source).text if t]
+
+
+def test_quotes_open_values_only():
+    assert shown("<p title=it's>One two.</p><p>I don't know</p><p>end</p>") == ["One two.", "I don't know", "end"]
+    assert shown('<p title="a > b" x=\'>\'>One</p>') == ["One"]
+    assert shown('<p title=a="b>One</p><p class = "x">two') == ["One", "two"]
+    assert shown('<p title="never closed>One</p>two') == ["One", "two"]
+    assert shown('<p>a <b title=">" c <i>d') == ["a d"]
+    assert shown('<p>a <b title=">" c') == ["a \" c"]  # quotes hide every end: tags end without them
+    assert shown("a <b") == ["a <b"] and shown("a <b<!-- c --> d") == ["a <b d"]
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 350_000, "<!" * 500_000, '<a b=">"' * 130_000, '<a b="' * 160_001, "<svg>" * 200_000, "<head>" + "<!-- -->" * 120_000 + "<body>", "<head>" + "<script>" * 120_000],
+)
+def test_odd_markup_is_read_once(source):
+    before = time.process_time()
+    html_text.parse(source)
+    assert time.process_time() - before < 5
+
+
+@pytest.mark.parametrize("source", ["<div>" * 8000 + "words " * 160_000 + "</div>" * 8000, "<ul><li>" * 8000 + "words " * 160_000])
+def test_deep_pages(source, model):
+    before = time.process_time()
+    html_text.texts_of([source], *model)
+    assert time.process_time() - before < 10
+    assert shown(source) == ["words " * 159_999 + "words"]
+
+
+def test_sample_of_pages_with_one_key(spark):
+    rows = spark.createDataFrame([(None, None, f"<article><p>Page {i % 3} has some words.</p></article>") for i in range(40)], "page_id long, url string, html string")
+    assert sampled(rows, "page_id", "html", 10).count() == 3
+    assert sampled(rows.limit(0), "page_id", "html", 10).collect() == []
+
+
 def test_page_rows(spark):
     rows = [(None, None, None, "a"), (1, "u", "", "b"), (1, "u", "", "b"), (2, "v", "<p>" + "word " * 50_000, "c")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
