@@ -32,7 +32,7 @@ def sampled(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """Up to n different rows, the first by a hash of their key: (place, row, value), place and row being hashes that order
     them. The hashes are drawn first, so no value but those taken leaves its place."""
     hashes = rows.select(F.xxhash64(key).alias("place"), F.xxhash64(key, value).alias("row"), F.col(value).alias("value"))
-    drawn = [r.row for r in hashes.select("place", "row").orderBy("place", "row").limit(n).collect()]
+    drawn = [r.row for r in hashes.select("place", "row").distinct().orderBy("place", "row").limit(n).collect()]
     return hashes.filter(F.col("row").isin(drawn)).groupBy("place", "row").agg(F.first("value").alias("value"))
 
 
