@@ -1,27 +1,36 @@
-"""Experiment-level cross-validation of linear models, and what its errors mean.
+"""Experiment-level cross-validation, and what its errors mean.
 
 Least squares only needs sums of products. They are added up once per fold; what a fold's
 model is trained on is the total minus its own sums, so k models cost one pass over the rows,
-also when every experiment is its own fold.
+also when every experiment is its own fold. Models of any other kind are fitted once per fold
+(`held_out`): rows are written once, a directory per fold, and several folds are fitted at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlattice.functions.quantiles import exact_quantiles
 from runlattice.operators.grid import KEY
 from runlattice.operators.metrics import regression_metrics
+from runlattice.operators.models import Fitted, ModelSpec, fit, predict
+from runlattice.operators.prep import fit_norm
+from runlattice.session import shared_folder
 
 # The four readings of an error against its coverage.
 LABELS = ("model_problem", "under_explored", "trustworthy", "sparse_ok")
 
+#: Folds that `held_out` fits a model for, at most.
+MAX_FOLDS = 100
+
 
 def _centers(rows: DataFrame, inputs: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and spread of each input; products of centred values keep their digits."""
@@ -127,6 +136,45 @@ def cross_validate(
     return regression_metrics(long, [KEY, "feature"])
 
 
+def held_out(
+    rows: DataFrame, folds: DataFrame, specs: list[ModelSpec], norm: dict[str, str] | None = None,
+    vocab: dict[str, list[str]] | None = None, together: int = 4,
+) -> DataFrame:
+    """The rows with their ``fold`` and ``pred_<output>``, each from models that have not seen its fold.
+
+    ``folds`` gives (key, fold), in 2 to ``MAX_FOLDS`` folds; rows without a fold are left out. ``norm`` names
+    the scaling of inputs and outputs, by statistics of the training rows alone. ``together`` folds are fitted at a time.
+    """
+    spark = rows.sparkSession
+    joined = rows.drop("fold").join(folds.where("fold IS NOT NULL").select(KEY, "fold"), KEY)
+    path = shared_folder(spark, "folds")
+    joined.write.partitionBy("fold").parquet(path)
+    held = spark.read.schema(joined.schema).parquet(path)
+    names = sorted(r.fold for r in held.select("fold").distinct().limit(MAX_FOLDS + 1).collect())
+    if not 2 <= len(names) <= MAX_FOLDS:
+        raise ValueError(f"cross-validation of models needs 2 to {MAX_FOLDS} folds with rows")
+    outputs = {o for s in specs for o in s.outputs}
+
+    def one(name) -> Fitted:
+        train = held.where(F.col("fold") != F.lit(name))
+        x = fit_norm(train, {c: m for c, m in (norm or {}).items() if c not in outputs})
+        y = fit_norm(train, {c: m for c, m in (norm or {}).items() if c in outputs}, "y")
+        return fit(specs, train, x, y, vocab)
+
+    with ThreadPool(min(together, len(names))) as pool:
+        tasks = [inheritable_thread_target(spark)(partial(one, n)) for n in names]
+        fitted = pool.map(lambda task: task(), tasks, chunksize=1)
+    return reduce(DataFrame.unionByName, [predict(held.where(F.col("fold") == F.lit(n)), f) for n, f in zip(names, fitted)])
+
+
+def experiment_errors(predictions: DataFrame, outputs: list[str]) -> DataFrame:
+    """(key, feature, mae, r2, n_samples) from ``<output>`` and ``pred_<output>``; metrics.validate gives them per feature,
+    and the weighted R²."""
+    pairs = F.array(*[F.struct(F.lit(o).alias("feature"), F.col(o).cast("double").alias("truth"), F.col(f"pred_{o}").alias("pred")) for o in outputs])
+    long = predictions.select(KEY, F.explode(pairs).alias("r")).select(KEY, "r.feature", "r.truth", "r.pred")
+    return regression_metrics(long, [KEY, "feature"])
+
+
 def error_field(errors: DataFrame, params: DataFrame, feature: str, metric: str = "mae") -> DataFrame:
     """Parameters and error of each held-out experiment for one feature."""
     own = errors.where(F.col("feature") == feature).select(KEY, F.col(metric).alias("error"))

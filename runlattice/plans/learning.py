@@ -47,6 +47,75 @@ def cross_validate(spark, folder):
     return errors(spark, folder).select("exp_code", "feature", F.round("mae", 4).alias("mae"), "n_samples")
 
 
+PRICE = models.ModelSpec("price", tuple(INPUTS), ("price",))
+#: One tree of one split on a feature of two values: its predictions are the means of both sides.
+SPLIT_ONCE = models.ModelSpec("price", ("many",), ("price",), kind="gbt", options={"maxIter": 1, "maxDepth": 1})
+BY_EXPERIMENT = FOLDS["cve"].replace("FROM cvp", "FROM {pairs}")
+SHOWN = "SELECT exp_code, feature, round(mae, 4) AS mae, round(r2, 6) AS r2, n_samples FROM "
+
+
+def held_out(spark, folder, spec, rows=None, norm=None):
+    folds = sets.folds(tb.experiments(spark, folder), 5, seed=3)
+    return cv.held_out(measured(spark, folder) if rows is None else rows, folds, [spec], norm)
+
+
+def shown(predictions):
+    return cv.experiment_errors(predictions, ["price"]).withColumns({"mae": F.round("mae", 4), "r2": F.round("r2", 6)})
+
+
+@query("k01_models_linear", sql(SHOWN + "cve", "experiments", "cells", extra=FOLDS))
+def models_linear(spark, folder):
+    return shown(held_out(spark, folder, PRICE, norm={"quantity": "standard", "price": "standard"}))
+
+
+@query(
+    "k01_models_formula",
+    sql(
+        SHOWN + "ruled", "experiments", "cells",
+        extra={"pairs": "SELECT exp_code, 'price' AS feature, price AS truth, quantity * 1500 * (1 - discount) AS pred FROM cells", "ruled": BY_EXPERIMENT.format(pairs="pairs")},
+    ),
+)
+def models_formula(spark, folder):
+    rule = models.ModelSpec("rule", tuple(INPUTS), ("price",), formula={"price": F.col("quantity") * 1500 * (1 - F.col("discount"))})
+    return shown(held_out(spark, folder, rule))
+
+
+@query(
+    "k01_models_trees",
+    sql(
+        SHOWN + "split", "experiments", "cells",
+        extra={
+            "fold": FOLDS["fold"], "held": FOLDS["held"],
+            "side": "SELECT k AS fold, quantity >= 26 AS many, avg(price) AS pred FROM held, range(5) t(k) WHERE fold <> k GROUP BY 1, 2",
+            "pairs": "SELECT exp_code, 'price' AS feature, price AS truth, pred FROM held JOIN side ON held.fold = side.fold AND many = (quantity >= 26)",
+            "split": BY_EXPERIMENT.format(pairs="pairs"),
+        },
+    ),
+)
+def models_trees(spark, folder):
+    rows = measured(spark, folder).withColumn("many", (F.col("quantity") >= 26).cast("double"))
+    return shown(held_out(spark, folder, SPLIT_ONCE, rows))
+
+
+@query(
+    "k01_models_informed",
+    sql(
+        """SELECT feature, round(avg(abs(truth - pred)), 4) AS mae, round(1 - sum((truth - pred) ** 2) / (var_pop(truth) * count(*)), 6) AS r2,
+        round(1 - sum(w * (truth - pred) ** 2) / sum(w * (truth - m) ** 2), 6) AS r2_inf, count(*) AS n_samples FROM weighed, middle GROUP BY 1""",
+        "experiments", "cells",
+        extra={
+            **FOLDS,
+            "weighed": "SELECT cvp.*, 0.1 + total / 500000 AS w FROM cvp JOIN experiments USING (exp_code)",
+            "middle": "SELECT sum(w * truth) / sum(w) AS m FROM weighed",
+        },
+    ),
+)
+def models_informed(spark, folder):
+    weights = tb.experiments(spark, folder).select("exp_code", F.lit("price").alias("feature"), (0.1 + F.col("total") / 500000).alias("importance"))
+    out = metrics.validate(held_out(spark, folder, PRICE), ["price"], {}, weights)
+    return out.select("feature", F.round("mae", 4).alias("mae"), F.round("r2", 6).alias("r2"), F.round("r2_inf", 6).alias("r2_inf"), "n_samples")
+
+
 LOO = {
     "t": """SELECT count(*) AS n, sum(quantity - 25) AS s1, sum(discount) AS s2, sum((quantity - 25) ** 2) AS s11, sum(discount ** 2) AS s22,
         sum((quantity - 25) * discount) AS s12, sum(price - 50000) AS sy, sum((quantity - 25) * (price - 50000)) AS s1y, sum(discount * (price - 50000)) AS s2y FROM cells""",

@@ -111,6 +111,30 @@ def test_cross_validation_of_an_exact_line(spark):
         cv.cross_validate(data, folds.limit(1), ["a"], ["y"])
 
 
+def test_held_out_models_of_any_kind(spark):
+    data = line(spark)
+    folds = data.select("exp_code").distinct().withColumn("fold", F.substring("exp_code", 2, 3).cast("int") % 4)
+    chain = [
+        models.ModelSpec("z", ("a",), ("z",), formula={"z": F.col("a") * 2}),
+        models.ModelSpec("y", ("z", "b"), ("y",)),
+    ]
+    out = cv.held_out(data.withColumn("z", F.col("a") * 2).withColumn("fold", F.lit(9)), folds, chain, {"b": "standard", "y": "standard"}, together=2)
+    assert out.count() == 40 and {r.fold for r in out.select("fold").distinct().collect()} == {0, 1, 2, 3}
+    assert cv.experiment_errors(out, ["y"]).agg(F.max("mae")).first()[0] < 1e-4
+    # A tree knows an experiment's own level only if it has seen it.
+    own = data.withColumn("y", F.when(F.col("exp_code") == "e7", 1000.0).otherwise(1.0))
+    tree = [models.ModelSpec("y", ("a",), ("y",), kind="gbt", options={"maxIter": 1, "maxDepth": 5})]
+    seen = {r.exp_code: r.mae for r in cv.experiment_errors(cv.held_out(own, folds, tree), ["y"]).collect()}
+    assert seen["e7"] == 999.0 and len(seen) == 20
+    for some in (folds.where("fold = 1"), folds.limit(0), folds.withColumn("fold", F.lit(None).cast("int"))):
+        with pytest.raises(ValueError):
+            cv.held_out(data, some, tree)
+    # Rows without a fold take no part; a missing target is no pair.
+    part = cv.held_out(own.withColumn("y", F.when(F.col("a") > 0, F.col("y"))), folds.where("exp_code <> 'e3'"), tree)
+    counts = {r.exp_code: r.n_samples for r in cv.experiment_errors(part, ["y"]).collect()}
+    assert "e3" not in counts and counts["e0"] == 1 and counts["e1"] == 2
+
+
 def test_diagnosis(spark):
     errors = spark.createDataFrame([(c, "f", e) for c, e in zip("abcd", (1.0, 1.0, 0.0, 0.0))], "exp_code string, feature string, mae double")
     cover = spark.createDataFrame(list(zip("abcd", (0.9, 0.1, 0.9, 0.1))), "exp_code string, coverage double")
