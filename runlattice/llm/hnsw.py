@@ -2,9 +2,9 @@
 
 Equal vectors are one. The different ones are dealt to shards by hash; a task builds the graph of a shard and writes it to the
 shared folder. Every vector then asks every shard: greedy steps on the upper levels, a beam on the lowest, and on from all that
-lies within the wanted likeness until nothing more does. An audit compares samples of all queries and of those with links with all
-vectors; while its recall is too low, beams are widened and all is asked again. If the widest one fails too, or the samples hold too
-few links to tell, every vector is compared with all, shard by shard in blocks. Links are pairs whose cosine, in double
+lies within the wanted likeness until nothing more does. An audit compares samples of all queries, of those with links and of planted
+near copies with all vectors; while its recall is too low, beams are widened and all is asked again. If the widest one fails
+too, every vector is compared with all, shard by shard in blocks. Links are pairs whose cosine, in double
 precision, is high enough; components are united from a spanning forest of those found, made shard by shard.
 
 Vectors are inserted and asked in batches, so that the steps of a batch are a few array operations.
@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlattice.llm.common import arrow_batch, loaded, new_name, partitions, store_of, stored
+from runlattice.llm.common import arrow_batch, new_name, partitions, store_of, stored
 from runlattice.llm.graph import components
 from runlattice.session import shared_folder
 
@@ -28,7 +29,7 @@ LIKENESS = 0.95
 #: Shards at least, vectors of a shard about; neighbours on upper levels (twice as many on the lowest); beam when inserting.
 SHARDS, SHARD, LINKS, BUILD_BEAM = 4, 50_000, 12, 48
 #: Beams to ask with, one after the other until the audit passes; sampled queries of the audit, the recall asked for, and the
-#: true links it takes to see that (no miss in 3 / (1 - RECALL) has a chance of 5 % at a lower recall): so many queries with links are sampled too.
+#: true links it takes to see that (no miss in 3 / (1 - RECALL) has a chance of 5 % at a lower recall): so many queries with links are sampled and so many near copies planted.
 BEAMS, AUDITED, RECALL, ENOUGH = (32, 96, 256, 1024), 256, 0.995, 600
 #: Vectors inserted or asked at once, and rows compared at once in the audit.
 BATCH = 512
@@ -308,6 +309,10 @@ def _built(nodes: DataFrame, folder: str, n_shards: int, likeness: float, dims:
     return sorted(r.file for r in stored(dealt.mapInArrow(build, "file string"), "graph-files").collect())  # a name per shard
 
 
+#: The shard that a worker read last, and no other.
+_SHARD: dict[str, tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _open(folder: str, name: str) -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     def read() -> tuple[Graph, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         store, path = store_of(folder)
@@ -318,7 +323,10 @@ def _open(folder: str, name: str) -> tuple[Graph, np.ndarray, np.ndarray, np.nda
         with np.load(io.BytesIO(parts[1])) as z:
             return Graph.unpacked(parts[0]), z["nodes"], z["copies"], z["exact"], z["up"]
 
-    return loaded(f"{folder}/{name}", read)
+    if f"{folder}/{name}" not in _SHARD:
+        _SHARD.clear()
+        _SHARD[f"{folder}/{name}"] = read()
+    return _SHARD[f"{folder}/{name}"]
 
 
 def _asked(queries: DataFrame, folder: str, files: list[str], beam: int | None, likeness: float, dims: int) -> DataFrame:
@@ -362,14 +370,34 @@ def _asked(queries: DataFrame, folder: str, files: list[str], beam: int | None,
     return asked.repartition(n, "file", F.pmod(F.xxhash64("node"), F.lit(n))).sortWithinPartitions("file").mapInArrow(run, "node long, links long, others array<long>")
 
 
-def _audit(nodes: DataFrame, found: DataFrame, likeness: float, dims: int) -> tuple[float, int]:
-    """Share of the true links of the sampled queries that were found, and how many true links there are: they are compared with
-    all vectors, in blocks. AUDITED queries are drawn from all and ENOUGH from those that have links; the lower share counts."""
+def _drawn(nodes: DataFrame, n: int, seed: int) -> dict[int, list[float]]:
+    """At most n nodes and their vectors, first by a hash; no other vector leaves its place."""
+    ids = [r.node for r in nodes.select("node").dropna().orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(n).collect()]
+    return {r.node: r.embedding for r in nodes.filter(F.col("node").isin(ids)).select("node", "embedding").collect()}
+
+
+def _probes(nodes: DataFrame, likeness: float, dims: int) -> dict[int, list[float]]:
+    """Known near copies: ENOUGH vectors turned by a chance angle, at a cosine from `likeness` on, under numbers not in use."""
+    drawn = _drawn(nodes, ENOUGH, 4)
+    low, high = nodes.agg(F.min("node"), F.max("node")).first()
+    x = _unit(np.array([drawn[i] for i in sorted(drawn)], float).reshape(-1, dims))
+    rng = np.random.default_rng(4)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.maximum(np.linalg.norm(side, axis=1, keepdims=True), 1e-12)
+    cosine = rng.uniform(likeness + (1 - likeness) * 0.02, 1, (len(x), 1))
+    turned = cosine * x + np.sqrt(1 - cosine**2) * side
+    return {low - 1 - i if low > -(1 << 62) else high + 1 + i: row for i, row in enumerate(turned.tolist())}
+
+
+def _audit(nodes: DataFrame, found: DataFrame, probes: dict[int, list[float]], likeness: float, dims: int) -> float:
+    """Share of the true links of the sampled queries that were found: they are compared with all vectors, in blocks. AUDITED
+    queries are drawn from all, ENOUGH from those that have links, and the probes come on top, so a table with hardly any
+    links is audited as well; the lowest share counts."""
     got = found.groupBy("node").agg(F.sum("links").alias("got"))
-    every = nodes.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(AUDITED)
-    some = nodes.join(got.filter("got > 0"), "node", "left_semi").orderBy(F.xxhash64("node", F.lit(3)), "node").limit(ENOUGH)
-    drawn = [{r.node: r.embedding for r in sample.select("node", "embedding").collect()} for sample in (every, some)]  # AUDITED and ENOUGH vectors
-    held = drawn[0] | drawn[1]
+    having = nodes.join(got.filter("got > 0"), "node", "left_semi")
+    drawn = [_drawn(nodes, AUDITED, 2), _drawn(having, ENOUGH, 3), probes]
+    held = drawn[0] | drawn[1] | drawn[2]
     ids = np.array(list(held), np.int64)
     queries = nodes.sparkSession.sparkContext.broadcast((ids, _unit(np.array(list(held.values()), float).reshape(-1, dims))))
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64())])
@@ -391,30 +419,34 @@ def _audit(nodes: DataFrame, found: DataFrame, likeness: float, dims: int) -> tu
         links = sum(r.true for r in rows if r.node in sample)
         if links:
             recall = min(recall, sum(r.got for r in rows if r.node in sample) / links)
-    return recall, sum(r.true for r in rows)
+    return recall
 
 
 def linked(vectors: DataFrame, likeness: float = LIKENESS, beams: tuple[int, ...] = BEAMS) -> DataFrame:
-    """Rows (node, links, component) of the different vectors that are linked to another one."""
-    spark = vectors.sparkSession
+    """Rows (node, links, component) of the different vectors that are linked to another one; vectors of different lengths
+    are not."""
     nodes = stored(distinct_vectors(vectors), "graph-nodes")
-    n, dims = nodes.count(), nodes.select(F.max(F.size("embedding"))).first()[0]
-    if not n:
+    lengths = sorted(r.n for r in nodes.select(F.size("embedding").alias("n")).distinct().collect())
+    if not lengths:
         return nodes.select("node", F.col("copies").alias("links"), F.col("node").alias("component"))
-    if nodes.filter(F.size("embedding") != dims).take(1):
-        raise ValueError("vectors differ in length")
+    return reduce(DataFrame.union, [_linked(nodes.filter(F.size("embedding") == n), n, likeness, beams) for n in lengths])
+
+
+def _linked(nodes: DataFrame, dims: int, likeness: float, beams: tuple[int, ...]) -> DataFrame:
+    spark, n = nodes.sparkSession, nodes.count()
     folder = shared_folder(spark, "graphs")
     store, path = store_of(folder)
     store.create_dir(path, recursive=True)
     files = _built(nodes, folder, max(SHARDS, -(-n // SHARD)), likeness, dims)
-    recall, few = 0.0, False
+    probes = _probes(nodes, likeness, dims)
+    planted = spark.createDataFrame([(i, 1, x) for i, x in probes.items()], nodes.select(F.col("node").cast("long"), F.col("copies").cast("long"), F.col("embedding").cast("array<double>")).schema)
     for beam in beams:
         found = stored(_asked(nodes, folder, files, beam, likeness, dims), "graph-links")
-        recall, true = _audit(nodes, found, likeness, dims)
-        few = true < ENOUGH and n > AUDITED
-        if few or recall >= RECALL:
+        probed = stored(_asked(planted, folder, files, beam, likeness, dims), "graph-probes")
+        recall = _audit(nodes, found.select("node", "links").union(probed.select("node", "links")), probes, likeness, dims)
+        if recall >= RECALL:
             break
-    if few or recall < RECALL:
+    else:
         found = stored(_asked(nodes, folder, files, None, likeness, dims), "graph-links")
     links = found.select("node", "links", F.explode_outer("others").alias("other"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

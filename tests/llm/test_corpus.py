@@ -295,6 +295,17 @@ def test_bridged_vectors_are_one_component(spark):
     assert got == cosine_links(rows)
 
 
+def test_vectors_of_different_lengths_and_few_links(spark):
+    """Lengths don't meet; with hardly any links the beams are audited by planted copies and still find the few."""
+    own = np.random.default_rng(8)
+    x = own.normal(size=(900, 24))
+    x[7] = x[3] + 0.02 * x[5]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0, 2.0]), (1001, [2.0, 4.0]), (1002, [1.0, 2.01])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    linked = {i: v for i, v in got.items() if v[0]}
+    assert linked == {3: (1, 3), 7: (1, 3), 1000: (2, 1000), 1001: (2, 1000), 1002: (2, 1000)} and len(got) == 903
+
+
 def test_vectors_whose_audit_fails_or_sees_too_little(spark):
     own = np.random.default_rng(13)
     x = own.normal(size=(3000, 32))
