@@ -2,8 +2,9 @@
 
 A tree of splits, built from a bounded sample of the sources, cuts space into leaves that hold about equally many of them,
 however they clump. Points and sources are packed leaf by leaf into blocks of bounded size with the box that they fill. A block of
-points meets the blocks of those leaves whose box lies within reach, so what is never compared is known to be farther
-away. A pair of blocks is one row that yields one partial sum per point: pairs themselves are never rows.
+sources goes to the blocks of points of those leaves whose box lies within reach, so what is never compared is known to be
+farther away. A task reads a block of points, then the sources it meets one block after the other, and adds them up: neither
+pairs of rows nor partial sums are ever rows.
 """
 
 from __future__ import annotations
@@ -14,11 +15,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlattice.session import checkpointed, spread
+
 BLOCK = 256
-#: Sources that the splits are taken from, and leaves, at most.
+#: Blocks of points that there should be, and rows that one holds at most.
+TASKS, MOST = 128, 8 * BLOCK
+#: Sources that the splits are taken from, about, and leaves, at most.
 SAMPLE, LEAVES = 1 << 16, 1 << 12
 
 
@@ -49,22 +54,24 @@ class Splits:
         return at - len(self.dim)
 
 
-def _splits(sources: DataFrame, dims: list[str]) -> Splits:
-    """Splits for leaves of a block's size, as many as the sample can tell apart."""
-    coords = [F.col(d).cast("double").alias(d) for d in dims]
-    n = sources.count()
-    drawn = sources.select(*coords) if n <= SAMPLE else sources.select(*coords).orderBy(F.xxhash64(*dims)).limit(SAMPLE)
-    rows = np.array([tuple(r) for r in drawn.collect()], float).reshape(-1, len(dims))  # SAMPLE rows at most
-    depth = max(0, int(np.ceil(np.log2(max(1, min(n / BLOCK, LEAVES, len(rows) / 8))))))
-    return Splits.of(rows, depth)
+def _splits(rows: DataFrame, dims: list[str], size: Callable[[int], int]) -> tuple[Splits, int]:
+    """Splits for leaves of a block's size, as many as the sample can tell apart, and that size."""
+    n = rows.count()
+    # Drawn where the rows lie: SAMPLE rows reach the driver on average, not as many from each partition.
+    drawn = rows if n <= SAMPLE else rows.sample(SAMPLE / n, seed=0)
+    found = drawn.select(*[F.col(d).cast("double").alias(d) for d in dims]).dropna().collect()
+    sample = np.array([tuple(r) for r in found], float).reshape(-1, len(dims))
+    depth = max(0, int(np.ceil(np.log2(max(1, min(n / size(n), LEAVES, len(sample) / 8))))))
+    return Splits.of(sample, depth), size(n)
 
 
 def _values(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _blocks(df: DataFrame, dims: list[str], columns: list[str], tree: Splits) -> DataFrame:
-    """Rows (leaf, part, rows, lo, hi) of about BLOCK rows; a leaf with more of them has more parts."""
+def _blocks(df: DataFrame, dims: list[str], columns: list[str], size: Callable[[int], int]) -> DataFrame:
+    """Rows (leaf, part, rows, lo, hi) of about so many rows as ``size`` gives for their number; a leaf with more of them has more parts."""
+    tree, most = _splits(df, dims, size)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,7 +81,7 @@ def _blocks(df: DataFrame, dims: list[str], columns: list[str], tree: Splits) ->
 
     doubles = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna(subset=dims)
     placed = doubles.mapInArrow(place, "leaf int, " + ", ".join(f"{c} double" for c in columns))
-    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_parts"))
+    sizes = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / most).alias("_parts"))
     part = F.pmod(F.xxhash64(*columns), F.col("_parts"))
     return placed.join(F.broadcast(sizes), "leaf").groupBy("leaf", part.alias("part")).agg(  # LEAVES rows at most
         F.collect_list(F.array(*columns)).alias("rows"),
@@ -82,53 +89,66 @@ def _blocks(df: DataFrame, dims: list[str], columns: list[str], tree: Splits) ->
     )
 
 
-def _gap2(lo: Column, hi: Column, other_lo: Column, other_hi: Column) -> Column:
-    """Squared distance of two boxes."""
-    gaps = F.zip_with(F.zip_with(other_lo, hi, lambda a, b: a - b), F.zip_with(lo, other_hi, lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0)))
-    return F.aggregate(gaps, F.lit(0.0), lambda total, g: total + g * g)
-
-
 def sums_in_reach(
     points: DataFrame, sources: DataFrame, dims: list[str], point_extras: list[str], source_extras: list[str],
     reach: float, function: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str,
+    finish: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """(point columns, sum) where ``function`` maps a block of points and one of sources to a sum per point.
 
-    Points are taken once per distinct row. Those with nothing in reach have no row.
+    Points are taken once per distinct row. Those with nothing in reach have no row. A point may have several sums: ``function``
+    gives a row of them, and ``finish`` maps a block of points and its sums to one row of doubles per point, kept as an array.
     """
     pcols, scols = [*dims, *point_extras], [*dims, *source_extras]
-    tree = _splits(sources, dims)
-    held = _blocks(sources, dims, scols, tree).select("leaf", F.col("rows").alias("_s"), F.col("lo").alias("_slo"), F.col("hi").alias("_shi"))
-    asked = _blocks(points.select(*pcols).distinct(), dims, pcols, tree).select(F.col("rows").alias("_p"), F.col("lo").alias("_plo"), F.col("hi").alias("_phi"))
-    # The boxes of the leaves: LEAVES rows at most, whatever the number of sources.
-    boxes = held.groupBy("leaf").agg(*[f(F.col(side)[i]).alias(f"{side}{i}") for f, side in ((F.min, "_slo"), (F.max, "_shi")) for i in range(len(dims))]).collect()
-    leaves = np.array([r["leaf"] for r in boxes], int)
-    lo, hi = (np.array([[r[f"{side}{i}"] for i in range(len(dims))] for r in boxes], float).reshape(-1, len(dims)) for side in ("_slo", "_shi"))
-
-    @F.pandas_udf("array<int>")
-    def near(plo, phi):  # noqa: ANN001, ANN202
+    wp, ws = len(pcols), len(scols)
+    held = _blocks(sources, dims, scols, lambda n: BLOCK).select("rows", "lo", "hi")
+    # Every block of points has its own copy of the sources in its reach, so there are no more of them than work for many tasks takes.
+    asked = _blocks(points.select(*pcols).distinct(), dims, pcols, lambda n: min(max(BLOCK, n // TASKS), MOST))
+    asked = checkpointed(asked.select((F.col("leaf") * F.lit(1 << 32) + F.col("part")).alias("_b"), "leaf", "part", "rows", "lo", "hi"))
+    # The boxes and numbers of parts of the leaves: LEAVES rows at most, whatever the number of points.
+    ends = [f(F.col(side)[i]).alias(f"{side}{i}") for f, side in ((F.min, "lo"), (F.max, "hi")) for i in range(len(dims))]
+    boxes = asked.groupBy("leaf").agg(F.max("part").alias("last"), *ends).collect()
+    leaves, last = (np.array([r[c] for r in boxes], np.int64) for c in ("leaf", "last"))
+    lo, hi = (np.array([[r[f"{side}{i}"] for i in range(len(dims))] for r in boxes], float).reshape(-1, len(dims)) for side in ("lo", "hi"))
+
+    @F.pandas_udf("array<bigint>")
+    def near(slo, shi):  # noqa: ANN001, ANN202
         import pandas as pd
 
         out = []
-        for a, b in zip(plo, phi):
+        for a, b in zip(slo, shi):
             gap = np.maximum(0.0, np.maximum(lo - np.asarray(b), np.asarray(a) - hi))
-            out.append(leaves[(gap**2).sum(1) <= reach**2].tolist())
+            met = np.flatnonzero((gap**2).sum(1) <= reach**2)
+            out.append(np.concatenate([np.zeros(0, np.int64), *[(leaves[i] << 32) + np.arange(last[i] + 1) for i in met]]))
         return pd.Series(out)
 
-    met = asked.withColumn("leaf", F.explode(near("_plo", "_phi"))).join(held, "leaf")
-    met = met.where(_gap2(F.col("_plo"), F.col("_phi"), F.col("_slo"), F.col("_shi")) <= reach**2)
-    wp, ws = len(pcols), len(scols)
+    # A block of points, then the blocks of sources that it meets; sorted, so a task holds one block of points with its sums.
+    met = held.select(F.explode(near("lo", "hi")).alias("_b"), F.lit(1).alias("_k"), "rows")
+    both = spread(asked.select("_b", F.lit(0).alias("_k"), "rows").unionByName(met), "_b").sortWithinPartitions("_b", "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total = None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if total is None:
+                return
+            values = total if finish is None else finish(block, total)
+            last = pa.array(values) if values.ndim == 1 else pa.array(list(values), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[pa.array(block[:, c]) for c in range(wp)], last], [*pcols, name])
+
         for batch in batches:
-            p, s = batch.column(0), batch.column(1)
-            pv, sv = _values(p, wp), _values(s, ws)
-            pe, se = (np.cumsum([0, *pc.list_value_length(x).to_pylist()]) for x in (p, s))
-            for i in range(batch.num_rows):
-                block = pv[pe[i] : pe[i + 1]]
-                total = function(block, sv[se[i] : se[i + 1]])
-                yield pa.RecordBatch.from_arrays([*[pa.array(block[:, c]) for c in range(wp)], pa.array(total)], [*pcols, name])
-
-    schema = ", ".join([*[f"{c} double" for c in pcols], f"{name} double"])
-    partial = met.select("_p", "_s").mapInArrow(run, schema)
-    return partial.groupBy(*pcols).agg(F.sum(name).alias(name))
+            kinds, rows = batch.column(0).to_numpy(), batch.column(1)
+            for at, kind in enumerate(kinds):
+                values = _values(rows.slice(at, 1), ws if kind else wp)
+                if kind == 0:
+                    yield from done()
+                    block, total = values, None
+                    continue
+                for at in range(0, len(values), BLOCK):
+                    some = values[at : at + BLOCK]
+                    sums = np.concatenate([function(block[i : i + BLOCK], some) for i in range(0, len(block), BLOCK)])
+                    total = sums if total is None else total + sums
+        yield from done()
+
+    schema = ", ".join([*[f"{c} double" for c in pcols], f"{name} {'double' if finish is None else 'array<double>'}"])
+    return both.select("_k", "rows").mapInArrow(run, schema)

@@ -43,13 +43,41 @@ def _reach(kernels: DataFrame, sigma: float) -> float:
     return sigma * sqrt(2 * log(max(total, 1.0) / TOLERANCE))
 
 
+#: Squared distance from the middle, in units of the exponent, up to which it may be taken from products: error under 1e-12.
+NEAR2 = 1e3
+#: Largest exponent of the factors of a probe's sum; farther blocks are compared probe by probe.
+FACTOR_MAX = 300.0
+
+
 def _near(points: np.ndarray, sources: np.ndarray, n: int, sigma: float) -> np.ndarray:
+    middle = points[:, :n].mean(axis=0)
+    p, s = ((x[:, :n] - middle) / (sigma * sqrt(2)) for x in (points, sources))
+    p2, s2 = (p**2).sum(axis=1), (s**2).sum(axis=1)
+    if max(p2.max(initial=0.0), s2.max(initial=0.0)) <= NEAR2:
+        out = p @ (2 * s.T)
+        out -= p2[:, None]
+        out -= s2[None, :]
+        return np.exp(np.minimum(out, 0.0, out=out), out=out)
     d2 = np.zeros((len(points), len(sources)))
     for k in range(n):
         d2 += (points[:, k][:, None] - sources[:, k][None, :]) ** 2
     return np.exp(-d2 / (2 * sigma**2))
 
 
+def _around(points: np.ndarray, sources: np.ndarray, n: int, sigma: float, offsets: np.ndarray) -> np.ndarray:
+    """Density (point, probe) that the sources give at each point's probes.
+
+    With x a point, o an offset and k a kernel, exp(-|x + o - k|²/2σ²) is exp(-|x - k|²/2σ²) times a factor of k and o and one
+    of x and o, so the probes of a point cost a product of matrices instead of a distance each.
+    """
+    middle = points[:, :n].mean(axis=0)
+    x, k = ((r[:, :n] - middle) @ offsets.T / sigma**2 for r in (points, sources))
+    if max(np.abs(x).max(initial=0.0), np.abs(k).max(initial=0.0)) > FACTOR_MAX:
+        return np.column_stack([_near(points[:, :n] + o, sources, n, sigma) @ sources[:, n] for o in offsets])
+    total = _near(points, sources, n, sigma) @ (sources[:, n][:, None] * np.exp(k))
+    return total * np.exp(-x - (offsets**2).sum(axis=1) / (2 * sigma**2))
+
+
 def thinned(rows: DataFrame, along: list[str], fixed: list[str], weight: str, width: float, nodes: int) -> DataFrame:
     """The rows (fixed, along, weight), with the nodes of a cell in place of its rows where these are more.
 
@@ -117,7 +145,8 @@ def _with_density(points: DataFrame, sources: DataFrame, coords: list[str], sigm
         return _near(p, s, n, sigma) @ s[:, n]
 
     found = sums_in_reach(points, sources, coords, [], ["w"], _reach(sources, sigma), rho, name)
-    return points.join(found, coords, "left").withColumn(name, F.greatest(F.coalesce(name, F.lit(0.0)), F.lit(0.0)))
+    # As many sums as points: never broadcast, whatever Spark takes arrays and Python's rows to weigh.
+    return points.join(found.hint("merge"), coords, "left").withColumn(name, F.greatest(F.coalesce(name, F.lit(0.0)), F.lit(0.0)))
 
 
 def _moved(table: DataFrame, coords: list[str], offsets: np.ndarray, weights: np.ndarray, keep: list[str]) -> DataFrame:
@@ -156,12 +185,34 @@ class _Frame:
         spots = _moved(rows, ["z"], p[:, None], q, [*keep, "_g"])
         return spots.where(reduce(lambda a, b: a | b, [(F.col("_g") == i * APART * far) & F.col("z").between(*e) for i, e in enumerate(self.bounds)]))
 
+    def probed(self, rows: DataFrame, sources: DataFrame, far: float, keep: list[str]) -> DataFrame:
+        """In-bounds probes around rows of this frame: kept columns, coordinates, ``v`` and density ``rho``."""
+        if not self.joint or len(self.dims) <= NODE_DIMS:
+            return _with_density(self.around(rows, far, keep), sources, self.coords, self.sigma, "rho")
+        n, sigma, (offsets, weights) = len(self.dims), self.sigma, self.probes
+        reach = far + float(np.sqrt((offsets**2).sum(axis=1)).max())
+
+        def sums(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+            return _around(p, s, n, sigma, offsets)
+
+        found = sums_in_reach(rows.select(*self.dims), sources, self.dims, [], ["w"], reach, sums, "_rho", lambda p, total: total)
+        places = F.array(*[F.struct(*[F.lit(float(x)).alias(f"o{i}") for i, x in enumerate(o)], F.lit(float(w)).alias("ow")) for o, w in zip(offsets, weights)])
+        doubles = rows.withColumns({d: F.col(d).cast("double") for d in self.dims})
+        spots = doubles.join(found.hint("merge"), self.dims, "left").select(*keep, *self.dims, "w", "_rho", F.posexplode(places).alias("_i", "_o"))
+        moved = spots.select(
+            *keep, *[(F.col(d) + F.col(f"_o.o{i}")).alias(d) for i, d in enumerate(self.dims)], (F.col("w") * F.col("_o.ow")).alias("v"),
+            F.coalesce(F.get("_rho", F.col("_i")), F.lit(0.0)).alias("rho"),
+        )
+        return moved.where(in_bounds(self.dims, self.bounds))
+
     def field(self, merged: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
         """Thinned kernels, and thinned probes (coordinates, v, rho)."""
         rows = _merged(self.rows(merged, far, []), self.coords, "w")
         sources = _sources(rows, self.along, self.fixed, self.sigma)
+        if self.joint and len(self.dims) > NODE_DIMS:
+            return sources, self.probed(rows, sources, far, [])
         spots = thinned(self.around(rows, far, []), self.along, self.fixed, "v", PROBE_CELLS[0] * self.sigma, PROBE_CELLS[1])
-        return sources, checkpointed(_with_density(checkpointed(spots), sources, self.coords, self.sigma, "rho"))
+        return sources, _with_density(checkpointed(spots), sources, self.coords, self.sigma, "rho")
 
     def integral(self, kernels: DataFrame) -> DataFrame:
         merged = checkpointed(_merged(kernels, self.dims, "w"))
@@ -174,20 +225,22 @@ class _Frame:
         merged = checkpointed(_merged(kernels, self.dims, "w"))
         far = _reach(merged, self.sigma)
         sources, field = self.field(merged, far)
+        field = checkpointed(field)
         n, sigma, coords = len(self.coords), self.sigma, self.coords
 
         def lost(p: np.ndarray, s: np.ndarray) -> np.ndarray:
             v, rho = s[:, n], s[:, n + 1]
-            delta = _near(p, s, n, sigma) * p[:, n][:, None]
-            return (v * delta / ((1 + rho) * (1 + rho + delta))).sum(axis=1)
+            delta = _near(p, s, n, sigma)
+            delta *= p[:, n][:, None]
+            delta /= delta + (1 + rho)
+            return delta @ (v / (1 + rho))
 
         placed = self.rows(spot, far, [key])
         taken = sums_in_reach(placed.select(*coords, "w"), field, coords, ["w"], ["v", "rho"], far, lost, "_lost")
         paid = placed.join(taken, [*coords, "w"], "left").groupBy(key).agg(F.coalesce(F.sum("_lost"), F.lit(0.0)).alias("_paid"))
         centers = [f"_x{i}" for i in range(len(coords))]
         centred = placed.withColumns({x: F.col(c) for x, c in zip(centers, coords)}).withColumn("_w", F.col("w"))
-        own = self.around(centred, far, [key, "_w", *centers])
-        own = _with_density(own, sources, coords, sigma, "rho")
+        own = self.probed(centred, sources, far, [key, "_w", *centers])
         d2 = reduce(lambda a, b: a + b, [(F.col(c) - F.col(x)) ** 2 for c, x in zip(coords, centers)])
         added = F.col("rho") + F.col("_w") * F.exp(-d2 / (2 * sigma**2))
         won = own.groupBy(key).agg(F.sum(F.col("v") / (1 + added)).alias("_won"))

@@ -274,6 +274,39 @@ def test_boxes_spare_work_in_four_dimensions(spark):
     assert compared <= 0.5 * len(z) ** 2  # the two clumps never meet
 
 
+def test_splits_draw_their_sample_where_the_rows_lie(spark, monkeypatch):
+    """No partition sends a sample of its own to the driver, and blocks have their size all the same."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or collect(df))
+    monkeypatch.setattr(blocks, "SAMPLE", 1000)
+    df = spark.range(0, 20000, 1, 40).select((F.col("id") / 20000).alias("z0"), F.rand(3).alias("z1"))
+    sizes = [len(r["rows"]) for r in blocks._blocks(df, ["z0", "z1"], ["z0", "z1"], lambda n: blocks.BLOCK).select("rows").collect()]
+    assert sum(sizes) == 20000 and len(sizes) >= 64
+    assert not any("TakeOrdered" in p for p in plans)
+
+
+def test_sums_are_spread_over_all_partitions(spark):
+    _, names, df = uniform(spark, 3000, 4)
+    sums = blocks.sums_in_reach(df, df, names, [], ["w"], 9.0, lambda p, s: np.full(len(p), float(len(s))), "n")
+    assert sums.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sums.agg(F.count("*"), F.min("n"), F.max("n")).first() == (3000, 3000.0, 3000.0)
+
+
+@pytest.mark.parametrize("far", [0.0, 500.0])
+def test_probes_of_a_point_by_a_product(far):
+    """Densities at probes by factors equal those by distances, also where blocks hold rows too far apart for factors."""
+    rng = np.random.default_rng(2)
+    points, sources = rng.random((40, 4)), np.column_stack([rng.random((90, 4)), rng.random(90)])
+    points[:9] += far
+    sources[:20, :4] += far
+    offsets, _ = ev.shell_probes(4, 0.08)
+    at = points[:, None] + offsets[None]
+    want = np.exp(-((at[:, :, None] - sources[None, None, :, :4]) ** 2).sum(-1) / (2 * 0.08**2)) @ sources[:, 4]
+    assert np.allclose(evidence_wide._around(points, sources, 4, 0.08, offsets), want, rtol=1e-9, atol=1e-12)
+
+
 def test_any_bounds_and_no_kernels(spark):
     _, names, df = uniform(spark, 30, 2)
     inside = evidence_wide.integral(df, names, 0.1).first()[0]
