@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from runlattice.operators.grid import KEY
-from runlattice.session import checkpointed
+from runlattice.session import checkpointed, spread
 
 UPDATE_LOG = "array<struct<updates: map<string,string>, iterator_code: string, step_index: int, source_step: string>>"
 SET_LIST = "array<struct<code: string, members: array<string>, ordered: boolean, offset: bigint>>"
@@ -167,6 +167,18 @@ def write_table(
     return True
 
 
+def _dealt(out: DataFrame) -> DataFrame:
+    """Rows spread over all shuffle partitions, so that a task opens its share of the folders and a folder gets one file.
+
+    A folder of more than CHUNK rows is split over files.
+    """
+    big = out.groupBy(F.col(KEY).alias("_k")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_parts")).where("_parts > 1")
+    # One row for every CHUNK rows at most.
+    marked = out.join(F.broadcast(big), F.col(KEY).eqNullSafe(F.col("_k")), "left")
+    part = F.pmod(F.xxhash64(*out.columns), F.coalesce("_parts", F.lit(1)))
+    return spread(marked.withColumn("_part", part), KEY, "_part").select(*out.columns)
+
+
 def write_documents(df: DataFrame, root: str, block: str, recompute: bool = False) -> bool:
     """JSON documents, one folder per experiment; existing ones stay unless recomputed."""
     path = f"{root.rstrip('/')}/{block}"
@@ -174,7 +186,8 @@ def write_documents(df: DataFrame, root: str, block: str, recompute: bool = Fals
     out = new_rows(df, old, [KEY])
     if out.isEmpty():
         return False
-    out.write.mode("overwrite" if recompute else "append").option("partitionOverwriteMode", "dynamic").partitionBy(KEY).json(path)
+    writer = _dealt(out).write.mode("overwrite" if recompute else "append")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(KEY).json(path)
     return True
 
 
@@ -196,6 +209,6 @@ def write_feature_files(cells: DataFrame, root: str, feature: str, iterators: li
     out = new_rows(cells.select(KEY, *iterators, feature), old, [KEY])
     if out.isEmpty():
         return False
-    writer = out.write.mode("overwrite" if recompute else "append").option("header", True)
+    writer = _dealt(out).write.mode("overwrite" if recompute else "append").option("header", True)
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(KEY).csv(path)
     return True

@@ -125,3 +125,20 @@ def test_streamed_members_join_train_once(spark, tmp_path):
     su.grow_splits(spark, stream, out, str(tmp_path / "check"), "exp_code string, split string").awaitTermination()
     got = spark.read.option("recursiveFileLookup", True).parquet(out).select("exp_code", "split")
     assert rows(got, "exp_code") == [("new", "train"), ("old", "test")]
+
+
+def test_folders_are_written_by_all_tasks_one_file_each(spark, tmp_path, monkeypatch):
+    """Folders of one task are dealt over all, those of several tasks are put together; only a big one is split."""
+    docs = spark.range(40).coalesce(1).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("exp_code"), "id")
+    layout.write_documents(docs, str(tmp_path), "parameters")
+    files = [p.name for p in (tmp_path / "parameters").glob("*/*.json")]
+    assert len(files) == 40 and len({f.split("-")[1] for f in files}) > 1
+    cells = spark.range(600).repartition(6).select(
+        F.when(F.col("id") < 300, "big").otherwise(F.concat(F.lit("s"), (F.col("id") % 10).cast("string"))).alias("exp_code"),
+        F.col("id").cast("int").alias("layer"), (F.col("id") / 2).alias("f"),
+    )
+    monkeypatch.setattr(layout, "CHUNK", 100)
+    layout.write_feature_files(cells, str(tmp_path), "f", ["layer"])
+    counts = {p.name: len(list(p.glob("*.csv"))) for p in (tmp_path / "f").iterdir() if p.is_dir()}
+    assert counts.pop("exp_code=big") > 1 and set(counts.values()) == {1}
+    assert sorted(map(tuple, layout.read_feature_files(spark, str(tmp_path), "f", ["layer"]).select("exp_code", "layer", "f").collect())) == sorted(map(tuple, cells.collect()))
