@@ -62,6 +62,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, F.xxhash64(*keys)) if keys else df.repartition(n)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions by key, ahead of steps whose tasks hold a row per key.
+
+    The count is explicit: sized by bytes, many rows that compress well would end up in one task, in each of its hash tables
+    and sorts. What joins them by the same keys is dealt the same way and stays so.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables, next to the checkpoints all executors can reach."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlattice.operators.grid import KEY
+from runlattice.session import dealt
 
 MEMORY, LOCAL, EXTERNAL = "memory", "local", "external"
 
@@ -24,21 +25,23 @@ def tiered_load(
 
     Tiers are asked in the order memory, local, external, each only for keys still missing; one
     given as a function gets those keys. Recompute leaves out local, debug leaves out external.
+
+    Keys and tiers are dealt by key and merged, as either may be of any size: no task holds more than its share of them.
     """
     on = list(on)
     skipped = ({LOCAL} if recompute else set()) | ({EXTERNAL} if debug else set())
-    missing = keys.select(*on).distinct()
+    missing = dealt(keys.select(*on), *on)
     found = []
     for name in (MEMORY, LOCAL, EXTERNAL):
         if name in skipped or tiers.get(name) is None:
             continue
-        source = tiers[name](missing) if callable(tiers[name]) else tiers[name]
-        hit = source.join(missing, on, "left_semi")
+        source = tiers[name](missing.distinct()) if callable(tiers[name]) else tiers[name]
+        hit = source.join(missing.hint("merge"), on, "left_semi")
         found.append(hit.withColumn("tier", F.lit(name)))
-        missing = missing.join(source.select(*on), on, "left_anti")
+        missing = missing.join(dealt(source.select(*on), *on).hint("merge"), on, "left_anti")
     if not found:
         raise ValueError("no tier to load from")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), missing
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found), missing.distinct()
 
 
 def worth_saving(values: DataFrame, value: str = "value", keys: list[str] = (KEY, "feature")) -> DataFrame:
