@@ -152,8 +152,8 @@ def populated(values: DataFrame, features: list[Feature]) -> DataFrame:
     return (
         values.where(F.col("feature").isin(*names))
         .groupBy(KEY)
-        .agg(F.count_distinct("feature").alias("_n"))
-        .where(F.col("_n") == len(names))
+        .agg(*[F.bool_or(F.col("feature") == n).alias(f"_s{i}") for i, n in enumerate(names)])
+        .where(reduce(lambda a, b: a & b, [F.col(f"_s{i}") for i in range(len(names))], F.lit(True)))
         .select(KEY)
     )
 

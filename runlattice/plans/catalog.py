@@ -16,15 +16,8 @@ FEATURES = [Feature("quantity", 1), Feature("price", 1), Feature("total_price",
 def long_values(spark, folder):
     """Long feature table; zero discount cells of the price feature count as not measured."""
     cells = tb.cells(spark, folder)
-    deep = cells.select(
-        "exp_code",
-        F.explode(
-            F.array(
-                F.struct(F.lit("quantity").alias("feature"), F.col("quantity").alias("value")),
-                F.struct(F.lit("price").alias("feature"), F.when(F.col("discount") > 0, F.col("price")).alias("value")),
-            )
-        ).alias("f"),
-    ).select("exp_code", "f.feature", "f.value")
+    measured = cells.select("exp_code", "quantity", F.when(F.col("discount") > 0, F.col("price")).alias("price"))
+    deep = measured.unpivot("exp_code", ["quantity", "price"], "feature", "value")
     scalar = cells.groupBy("exp_code").agg(F.round(F.sum("price"), 2).alias("value"))
     return deep.unionByName(scalar.select("exp_code", F.lit("total_price").alias("feature"), "value"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlattice.schema import Axis, Param
+from runlattice.session import dealt
 
 LAYER = Axis("n_layers", "layer", 7)
 DAY = Axis("n_days", "day", 31)
@@ -40,12 +41,17 @@ def experiments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per measured cell; repeated line numbers are merged, so a key is never hot."""
+    """One row per measured cell; repeated line numbers are merged, so a key is never hot.
+
+    Few lines repeat a cell, so they are dealt by cell as they are: merged where they are read, a task would hold a row for
+    nearly every line of its part of the file.
+    """
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("exp_code"), (F.col("l_linenumber") - 1).alias("layer"), "l_quantity", "l_extendedprice", "l_discount"
+    )
     return (
-        table(spark, folder, "lineitem")
-        .groupBy(
-            F.col("l_orderkey").alias("exp_code"), (F.col("l_linenumber") - 1).alias("layer")
-        )
+        dealt(lines, "exp_code", "layer")
+        .groupBy("exp_code", "layer")
         .agg(
             F.sum("l_quantity").alias("quantity"),
             F.round(F.sum("l_extendedprice"), 2).alias("price"),

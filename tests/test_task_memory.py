@@ -3,10 +3,18 @@
 import contextlib
 import io
 
+import pytest
 from conftest import rows
 
+from runlattice.operators import quality
+from runlattice.plans import catalog
+from runlattice.schema import Feature
+from runlattice.sources import tables as tb
 from runlattice.sources import tiers
 
+LINES = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+ORDERS = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
 
 def plan(df):
     with contextlib.redirect_stdout(io.StringIO()) as out:
@@ -18,6 +26,17 @@ def tasks(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Order 1 with a cell measured twice and one without discount, 2 with a gap, 3 not measured, 4 with a line without a number."""
+    path = str(tmp_path_factory.mktemp("tables"))
+    lines = [(1, 1, 1.0, 10.0, 0.1), (1, 1, 2.0, 5.5, 0.0), (1, 2, 25.0, 7.0, 0.0), (2, 1, 25.0, 1.0, 0.1), (2, 3, 50.0, 2.0, 0.1), (4, None, 1.0, None, 0.1)]
+    spark.createDataFrame(lines, LINES).write.parquet(f"{path}/lineitem.parquet")
+    orders = [(k, 1, "F", 1000.0 * k, "1-URGENT") for k in (1, 2, 2, 3, 4)]
+    spark.createDataFrame(orders, ORDERS).write.parquet(f"{path}/orders.parquet")
+    return path
+
+
 def test_tiers_are_merged_by_key_over_all_tasks(spark):
     keys = spark.createDataFrame([(k,) for k in (1, 1, 2, 3, 4, 5, None)], "exp_code long")
 
@@ -29,3 +48,21 @@ def test_tiers_are_merged_by_key_over_all_tasks(spark):
     assert found.rdd.getNumPartitions() % tasks(spark) == 0
     want = [(1, "1", "memory"), (2, "2", "local"), (2, "2", "local"), (3, "3", "external"), (4, "4", "external")]
     assert rows(found, "exp_code") == want and rows(missing, "exp_code") == [(None,), (5,)]
+
+
+def test_cells_are_dealt_before_they_are_merged(spark, folder):
+    cells = tb.cells(spark, folder)
+    text = plan(cells)
+    assert "Aggregate" not in text[text.index("Exchange") :]
+    assert cells.rdd.getNumPartitions() == tasks(spark)
+    assert rows(cells, "exp_code", "layer") == [(1, 0, 3.0, 15.5, 0.1), (1, 1, 25.0, 7.0, 0.0), (2, 0, 25.0, 1.0, 0.1), (2, 2, 50.0, 2.0, 0.1), (4, None, 1.0, None, 0.1)]
+
+
+def test_populated_keeps_one_row_an_experiment(spark, folder):
+    got = catalog.populated(spark, folder)
+    text = plan(got)
+    assert "distinct" not in text and "feature#" not in text[text.index("keys=") : text.index("keys=") + 40]
+    assert text.count("FileScan") > text.count("l_extendedprice")  # what the answer does not need is not shuffled either
+    assert rows(got, "exp_code") == [(1,), (2,), (4,)]
+    some = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "x"), (None, "a"), (None, "b")], "exp_code long, feature string")
+    assert rows(quality.populated(some, [Feature("a", 1), Feature("b", 1)]), "exp_code") == [(None,), (1,)]
