@@ -91,18 +91,10 @@ def completeness(experiments: DataFrame, values: DataFrame, features: list[Featu
     axis sizes up to the feature's depth. A feature without any row has nan 0, as it was
     never started; otherwise every cell without a value counts as nan. Where ``values`` has the
     axis indices, cells are counted: a repeated one once, one outside the domain not at all.
+
+    The counts of an experiment are one row, a column per feature; it becomes a row per feature after it has met the sizes.
     """
-    wanted = experiments.select(
-        KEY,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(f.name).alias("feature"), num_rows(axes[: f.depth]).alias("expected"))
-                    for f in features
-                ]
-            )
-        ).alias("w"),
-    ).select(KEY, "w.feature", "w.expected")
+    wanted = experiments.select(KEY, *[num_rows(axes[: f.depth]).alias(f"_e{i}") for i, f in enumerate(features)])
     declared = values.where(F.col("feature").isin(*[f.name for f in features]))
     has_value = F.col("value").isNotNull() & ~F.isnan("value")
     if all(a.index in values.columns for a in axes):
@@ -111,15 +103,21 @@ def completeness(experiments: DataFrame, values: DataFrame, features: list[Featu
             cell = F.when(F.col("feature") == f.name, _cell(axes[: f.depth])).otherwise(cell)
         sized = experiments.select(KEY, *[a.size for a in axes])
         cells = declared.join(sized, KEY).groupBy(KEY, "feature", cell.alias("_cell")).agg(F.bool_or(has_value).alias("_has"))
-        there = cells.groupBy(KEY, "feature").agg(F.count(F.when(F.col("_has") & F.col("_cell").isNotNull(), F.lit(1))).alias("actual"))
+        counted, has = cells, F.col("_has") & F.col("_cell").isNotNull()
     else:
-        there = declared.groupBy(KEY, "feature").agg(F.count(F.when(has_value, F.lit(1))).alias("actual"))
-    joined = wanted.join(there, [KEY, "feature"], "left")
-    actual = F.coalesce("actual", F.lit(0).cast("long"))
-    missing = F.when(F.col("actual").isNull(), F.lit(0).cast("long")).otherwise(F.col("expected") - F.col("actual"))
-    return joined.select(
-        KEY, "feature", "expected", actual.alias("actual"), missing.alias("nan"), (actual == F.col("expected")).alias("ok")
+        counted, has = declared, has_value
+    there = counted.groupBy(KEY).agg(
+        *[F.count_if((F.col("feature") == f.name) & has).alias(f"_n{i}") for i, f in enumerate(features)],
+        *[F.bool_or(F.col("feature") == f.name).alias(f"_s{i}") for i, f in enumerate(features)],
     )
+    zero = F.lit(0).cast("long")
+    lines = []
+    for i, f in enumerate(features):
+        expected, actual = F.col(f"_e{i}"), F.coalesce(f"_n{i}", zero)
+        missing = F.when(F.col(f"_s{i}"), expected - actual).otherwise(zero)
+        named = {"feature": F.lit(f.name), "expected": expected, "actual": actual, "nan": missing, "ok": actual == expected}
+        lines.append(F.struct(*[c.alias(n) for n, c in named.items()]))
+    return wanted.join(there.hint("merge"), KEY, "left").select(KEY, F.inline(F.array(*lines)))
 
 
 def incomplete(report: DataFrame) -> DataFrame:

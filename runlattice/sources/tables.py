@@ -68,8 +68,8 @@ def sized_experiments(spark: SparkSession, folder: str) -> DataFrame:
         .agg(F.max("l_linenumber").alias("n_layers"))
     )
     return (
-        experiments(spark, folder)
-        .join(sizes, "exp_code", "left")
+        dealt(experiments(spark, folder), "exp_code")
+        .join(sizes.hint("merge"), "exp_code", "left")
         .withColumn("n_layers", F.coalesce("n_layers", F.lit(0)))
     )
 

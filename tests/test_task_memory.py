@@ -8,7 +8,7 @@ from conftest import rows
 
 from runlattice.operators import quality
 from runlattice.plans import catalog
-from runlattice.schema import Feature
+from runlattice.schema import Axis, Feature
 from runlattice.sources import tables as tb
 from runlattice.sources import tiers
 
@@ -66,3 +66,26 @@ def test_populated_keeps_one_row_an_experiment(spark, folder):
     assert rows(got, "exp_code") == [(1,), (2,), (4,)]
     some = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (2, "x"), (None, "a"), (None, "b")], "exp_code long, feature string")
     assert rows(quality.populated(some, [Feature("a", 1), Feature("b", 1)]), "exp_code") == [(None,), (1,)]
+
+
+def test_completeness_keeps_one_row_an_experiment_until_the_sizes_are_known(spark, folder):
+    got = catalog.report(spark, folder)
+    text = plan(got)
+    assert "Broadcast" not in text and "feature#" not in text[: text.index("Join")].split("Project")[-1]
+    assert got.rdd.getNumPartitions() == tasks(spark)
+    two = [(2, "price", 3, 2, 1, False), (2, "quantity", 3, 2, 1, False), (2, "total_price", 1, 1, 0, True)]
+    want = [(1, "price", 2, 1, 1, False), (1, "quantity", 2, 2, 0, True), (1, "total_price", 1, 1, 0, True)]
+    want += [r for r in two for _ in range(2)]
+    want += [(3, "price", 0, 0, 0, True), (3, "quantity", 0, 0, 0, True), (3, "total_price", 1, 0, 0, False)]
+    want += [(4, "price", 0, 0, 0, True), (4, "quantity", 0, 1, -1, False), (4, "total_price", 1, 0, 1, False)]
+    assert rows(got, "exp_code", "feature") == want
+    assert rows(catalog.incomplete(spark, folder), "exp_code", "feature") == [r[:2] for r in want if not r[5]]
+    assert rows(catalog.all_complete(spark, folder)) == [(False,)]
+
+
+def test_completeness_of_features_without_rows_or_sizes(spark):
+    exps = spark.createDataFrame([("a", 2), ("b", None), (None, 1)], "exp_code string, n int")
+    vals = spark.createDataFrame([("a", "f", float("nan")), ("b", "f", 1.0), (None, "f", 1.0), ("a", "x", 1.0)], "exp_code string, feature string, value double")
+    got = quality.completeness(exps, vals, [Feature("f", 1), Feature("g", 1)], [Axis("n", "i", 3)])
+    want = [(None, "f", 1, 0, 0, False), (None, "g", 1, 0, 0, False), ("a", "f", 2, 0, 2, False), ("a", "g", 2, 0, 0, False), ("b", "f", None, 1, None, None), ("b", "g", None, 0, 0, None)]
+    assert rows(got, "exp_code", "feature") == want
