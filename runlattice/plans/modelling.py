@@ -16,7 +16,7 @@ MEASURED = ["quantity", "price", "discount"]
 def rows(spark, folder):
     """Training rows: every cell with its experiment's inputs and measured targets."""
     full = grid.expand_domain(tb.sized_experiments(spark, folder), LAYERS)
-    return grid.with_positions(full, LAYERS).join(tb.cells(spark, folder), ["exp_code", "layer"], "left")
+    return grid.with_positions(full, LAYERS).join(tb.cells(spark, folder).hint("merge"), ["exp_code", "layer"], "left")
 
 
 ROWS = {

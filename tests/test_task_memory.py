@@ -7,7 +7,7 @@ import pytest
 from conftest import rows
 
 from runlattice.operators import quality
-from runlattice.plans import catalog
+from runlattice.plans import catalog, modelling
 from runlattice.schema import Axis, Feature
 from runlattice.sources import tables as tb
 from runlattice.sources import tiers
@@ -89,3 +89,10 @@ def test_completeness_of_features_without_rows_or_sizes(spark):
     got = quality.completeness(exps, vals, [Feature("f", 1), Feature("g", 1)], [Axis("n", "i", 3)])
     want = [(None, "f", 1, 0, 0, False), (None, "g", 1, 0, 0, False), ("a", "f", 2, 0, 2, False), ("a", "g", 2, 0, 0, False), ("b", "f", None, 1, None, None), ("b", "g", None, 0, 0, None)]
     assert rows(got, "exp_code", "feature") == want
+
+
+def test_candidates_meet_their_cells_over_all_tasks(spark, folder):
+    full = modelling.rows(spark, folder)
+    assert "Broadcast" not in plan(full) and full.rdd.getNumPartitions() == tasks(spark)
+    # Order 1: (3, 25) against 25; 2 lacks a cell; 3 and 4 have no cells.
+    assert rows(modelling.score_candidates(spark, folder), "cand_id") == [(1, 0.56), (2, 0.0)]
