@@ -78,6 +78,51 @@ def _around(points: np.ndarray, sources: np.ndarray, n: int, sigma: float, offse
     return total * np.exp(-x - (offsets**2).sum(axis=1) / (2 * sigma**2))
 
 
+#: Terms of the series of what a probe loses, at most, and what its last one may leave, as a share of the first.
+ORDERS, REST = 4, 1e-10
+
+
+def _taken(points: np.ndarray, kernels: np.ndarray, n: int, sigma: float, offsets: np.ndarray, weights: np.ndarray, bounds: Bounds) -> np.ndarray:
+    """What the probes of the kernels lose to each point: the sum of v δ / ((1 + ρ)(1 + ρ + δ)) over in-bounds probes.
+
+    Points are rows (z, w), kernels (z, w, ρ of each probe). δ is w times factors as in ``_around``. Where it is small next to 1 + ρ,
+    the terms of its series are products of matrices; elsewhere probes are taken one offset at a time.
+    """
+    z, w, k, full = points[:, :n], points[:, n], kernels[:, :n], 1.0 + kernels[:, n + 1 :]
+    lo, hi = np.array(bounds).T
+    y = k[:, None] + offsets
+    share = kernels[:, n][:, None] * weights * ((y >= lo) & (y <= hi)).all(axis=2) / full
+    close, lengths = _near(points, kernels, n, sigma), (offsets**2).sum(axis=1)
+    gap = np.sqrt(max(0.0, -2 * np.log(max(close.max(), 1e-300)))) - np.sqrt(lengths.max()) / sigma
+    worst = np.abs(w).max() * np.exp(-(max(0.0, gap) ** 2) / 2) / full.min()
+    a, b = ((r - z.mean(axis=0)) @ offsets.T / sigma**2 for r in (z, k))
+    largest = max(np.abs(a).max(), np.abs(b).max())
+    order = 1
+    while worst**order > REST and order <= ORDERS:
+        order += 1
+    total = np.zeros(len(points))
+    if largest * order > FACTOR_MAX:
+        for o, offset in enumerate(offsets):
+            delta = _near(points, k + offset, n, sigma) * w[:, None]
+            total += (delta / (delta + full[:, o])) @ share[:, o]
+        return total
+    front, back = np.exp(-b), np.exp(a - lengths / (2 * sigma**2)) * w[:, None]
+    if order > ORDERS:
+        for o in range(len(offsets)):
+            delta = close * front[:, o]
+            delta *= back[:, o][:, None]
+            delta /= delta + full[:, o]
+            total += delta @ share[:, o]
+        return total
+    front /= full
+    c, f, g = close, front, back
+    for j in range(order):
+        if j:
+            c, f, g = c * close, f * front, -g * back
+        total += ((c @ (share * f)) * g).sum(axis=1)
+    return total
+
+
 def thinned(rows: DataFrame, along: list[str], fixed: list[str], weight: str, width: float, nodes: int) -> DataFrame:
     """The rows (fixed, along, weight), with the nodes of a cell in place of its rows where these are more.
 
@@ -185,59 +230,89 @@ class _Frame:
         spots = _moved(rows, ["z"], p[:, None], q, [*keep, "_g"])
         return spots.where(reduce(lambda a, b: a | b, [(F.col("_g") == i * APART * far) & F.col("z").between(*e) for i, e in enumerate(self.bounds)]))
 
-    def probed(self, rows: DataFrame, sources: DataFrame, far: float, keep: list[str]) -> DataFrame:
-        """In-bounds probes around rows of this frame: kept columns, coordinates, ``v`` and density ``rho``."""
-        if not self.joint or len(self.dims) <= NODE_DIMS:
-            return _with_density(self.around(rows, far, keep), sources, self.coords, self.sigma, "rho")
-        n, sigma, (offsets, weights) = len(self.dims), self.sigma, self.probes
+    def around_each(self, rows: DataFrame, sources: DataFrame, far: float, keep: list[str]) -> DataFrame:
+        """The rows (kept columns, coordinates, ``w``) with the densities at all probes around each as an array ``_rho``."""
+        n, sigma, offsets = len(self.dims), self.sigma, self.probes[0]
         reach = far + float(np.sqrt((offsets**2).sum(axis=1)).max())
 
         def sums(p: np.ndarray, s: np.ndarray) -> np.ndarray:
             return _around(p, s, n, sigma, offsets)
 
-        found = sums_in_reach(rows.select(*self.dims), sources, self.dims, [], ["w"], reach, sums, "_rho", lambda p, total: total)
-        places = F.array(*[F.struct(*[F.lit(float(x)).alias(f"o{i}") for i, x in enumerate(o)], F.lit(float(w)).alias("ow")) for o, w in zip(offsets, weights)])
+        found = sums_in_reach(rows.select(*self.dims), sources, self.dims, [], ["w"], reach, sums, "_rho", lambda p, total: total, len(offsets))
         doubles = rows.withColumns({d: F.col(d).cast("double") for d in self.dims})
-        spots = doubles.join(found.hint("merge"), self.dims, "left").select(*keep, *self.dims, "w", "_rho", F.posexplode(places).alias("_i", "_o"))
+        none = F.array_repeat(F.lit(0.0), len(offsets))
+        return doubles.join(found.hint("merge"), self.dims, "left").select(*keep, *self.dims, "w", F.coalesce("_rho", none).alias("_rho"))
+
+    def opened(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """The in-bounds probes of rows with ``_rho``: kept columns, coordinates, ``v`` and ``rho``."""
+        places = F.array(*[F.struct(*[F.lit(float(x)).alias(f"o{i}") for i, x in enumerate(o)], F.lit(float(w)).alias("ow")) for o, w in zip(*self.probes)])
+        spots = rows.select(*keep, *self.dims, "w", "_rho", F.posexplode(places).alias("_i", "_o"))
         moved = spots.select(
             *keep, *[(F.col(d) + F.col(f"_o.o{i}")).alias(d) for i, d in enumerate(self.dims)], (F.col("w") * F.col("_o.ow")).alias("v"),
-            F.coalesce(F.get("_rho", F.col("_i")), F.lit(0.0)).alias("rho"),
+            F.get("_rho", F.col("_i")).alias("rho"),
         )
         return moved.where(in_bounds(self.dims, self.bounds))
 
+    def probed(self, rows: DataFrame, sources: DataFrame, far: float, keep: list[str]) -> DataFrame:
+        """In-bounds probes around rows of this frame: kept columns, coordinates, ``v`` and density ``rho``."""
+        if not self.joint or len(self.dims) <= NODE_DIMS:
+            return _with_density(self.around(rows, far, keep), sources, self.coords, self.sigma, "rho")
+        return self.opened(self.around_each(rows, sources, far, keep), keep)
+
     def field(self, merged: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
-        """Thinned kernels, and thinned probes (coordinates, v, rho)."""
+        """Thinned kernels, and thinned probes (coordinates, v, rho), or a row a kernel with the densities at its probes as ``_rho``."""
         rows = _merged(self.rows(merged, far, []), self.coords, "w")
         sources = _sources(rows, self.along, self.fixed, self.sigma)
         if self.joint and len(self.dims) > NODE_DIMS:
-            return sources, self.probed(rows, sources, far, [])
+            return sources, self.around_each(rows, sources, far, [])
         spots = thinned(self.around(rows, far, []), self.along, self.fixed, "v", PROBE_CELLS[0] * self.sigma, PROBE_CELLS[1])
         return sources, _with_density(checkpointed(spots), sources, self.coords, self.sigma, "rho")
 
     def integral(self, kernels: DataFrame) -> DataFrame:
         merged = checkpointed(_merged(kernels, self.dims, "w"))
         _, field = self.field(merged, _reach(merged, self.sigma))
+        if "_rho" in field.columns:
+            field = self.opened(field, [])
         share = 1.0 if self.joint else 1.0 / len(self.dims)
         return field.agg((F.coalesce(F.sum(F.col("v") / (1 + F.col("rho"))), F.lit(0.0)) * share).alias("integral"))
 
-    def gain(self, spot: DataFrame, kernels: DataFrame, key: str, name: str) -> DataFrame:
-        """(key, name): change of the integral when a candidate of weight ``w`` is added."""
-        merged = checkpointed(_merged(kernels, self.dims, "w"))
-        far = _reach(merged, self.sigma)
-        sources, field = self.field(merged, far)
-        field = checkpointed(field)
-        n, sigma, coords = len(self.coords), self.sigma, self.coords
+    def lost(self, points: DataFrame, field: DataFrame, far: float) -> DataFrame:
+        """(coordinates, w, _lost): what the field loses to points of weight ``w``."""
+        n, sigma, coords, bounds = len(self.coords), self.sigma, self.coords, self.bounds
+        if "_rho" in field.columns:
+            # Kernels with the densities at their probes travel, not the probes.
+            offsets, weights = self.probes
+            full = F.aggregate(
+                F.zip_with("_rho", F.array(*[F.lit(float(x)) for x in weights]), lambda r, o: o / ((1 + r) * (1 + r))), F.lit(0.0), lambda a, x: a + x
+            )
+            total = (field.agg(F.sum(F.col("w") * full).alias("t")).first()["t"] or 0.0) * max(1.0, points.agg(F.max("w").alias("w")).first()["w"] or 0.0)
+            reach = sigma * sqrt(2 * log(max(total / TOLERANCE, 1.0))) + float(np.sqrt((offsets**2).sum(axis=1)).max())
+
+            def from_kernels(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+                return _taken(p, s, n, sigma, offsets, weights, bounds)
+
+            return sums_in_reach(points, field, coords, ["w"], ["w"], reach, from_kernels, "_lost", more=("_rho", len(offsets)))
 
-        def lost(p: np.ndarray, s: np.ndarray) -> np.ndarray:
+        def from_probes(p: np.ndarray, s: np.ndarray) -> np.ndarray:
             v, rho = s[:, n], s[:, n + 1]
             delta = _near(p, s, n, sigma)
             delta *= p[:, n][:, None]
             delta /= delta + (1 + rho)
             return delta @ (v / (1 + rho))
 
+        return sums_in_reach(points, field, coords, ["w"], ["v", "rho"], far, from_probes, "_lost")
+
+    def gain(self, spot: DataFrame, kernels: DataFrame, key: str, name: str) -> DataFrame:
+        """(key, name): change of the integral when a candidate of weight ``w`` is added."""
+        merged = checkpointed(_merged(kernels, self.dims, "w"))
+        far = _reach(merged, self.sigma)
+        sources, field = self.field(merged, far)
+        field = checkpointed(field)
         placed = self.rows(spot, far, [key])
-        taken = sums_in_reach(placed.select(*coords, "w"), field, coords, ["w"], ["v", "rho"], far, lost, "_lost")
-        paid = placed.join(taken, [*coords, "w"], "left").groupBy(key).agg(F.coalesce(F.sum("_lost"), F.lit(0.0)).alias("_paid"))
+        taken = self.lost(placed.select(*self.coords, "w"), field, far)
+        # As many sums as candidates: never broadcast.
+        paid = placed.join(taken.hint("merge"), [*self.coords, "w"], "left").groupBy(key).agg(F.coalesce(F.sum("_lost"), F.lit(0.0)).alias("_paid"))
+        sigma, coords = self.sigma, self.coords
         centers = [f"_x{i}" for i in range(len(coords))]
         centred = placed.withColumns({x: F.col(c) for x, c in zip(centers, coords)}).withColumn("_w", F.col("w"))
         own = self.probed(centred, sources, far, [key, "_w", *centers])
@@ -245,7 +320,7 @@ class _Frame:
         added = F.col("rho") + F.col("_w") * F.exp(-d2 / (2 * sigma**2))
         won = own.groupBy(key).agg(F.sum(F.col("v") / (1 + added)).alias("_won"))
         share = 1.0 if self.joint else 1.0 / len(self.dims)
-        return paid.join(won, key, "left").select(key, ((F.coalesce("_won", F.lit(0.0)) - F.col("_paid")) * share).alias(name))
+        return paid.join(won.hint("merge"), key, "left").select(key, ((F.coalesce("_won", F.lit(0.0)) - F.col("_paid")) * share).alias(name))
 
 
 def _probes(estimator: str, dims: int, sigma: float, n_samples: int | None, box: float) -> tuple[np.ndarray, np.ndarray]:
@@ -287,8 +362,8 @@ def gain(
     merged = checkpointed(_merged(kernels, dims, weight))
     joint = _Frame(dims, sigma, bounds, _probes(estimator, n, sigma, None, BOX)).gain(spot, merged, key, "_joint")
     if estimator == "cube":
-        return candidates.join(joint.withColumnRenamed("_joint", name), key)
+        return candidates.join(joint.withColumnRenamed("_joint", name).hint("merge"), key)
     axis = _Frame(dims, sigma, bounds).gain(spot, merged, key, "_axis")
     share = n / (n + 1)
-    both = axis.join(joint, key).select(key, (share * F.col("_axis") + (1 - share) * F.col("_joint")).alias(name))
-    return candidates.join(both, key)
+    both = axis.join(joint.hint("merge"), key).select(key, (share * F.col("_axis") + (1 - share) * F.col("_joint")).alias(name))
+    return candidates.join(both.hint("merge"), key)

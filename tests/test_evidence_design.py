@@ -324,3 +324,56 @@ def test_a_hundred_million_strata_need_no_list(spark):
     assert [(r["stratum"], *r[1:]) for r in picked] == [(n, *[f"{d}{c}" for d, c in enumerate(f"{n:08d}")]) for n in numbers]
     out = design.assign_strata(spark.range(12), "id", 12, cats[:2]).orderBy("id").collect()
     assert [(r["c0"], r["c1"]) for r in out] == [(f"0{i // 10}", f"1{i % 10}") for i in range(12)]
+
+
+def test_probes_of_kernels_taken_by_series(monkeypatch):
+    """What probes lose to points, near, far and beyond factors, equals the sum probe by probe; the series and single offsets agree."""
+    rng = np.random.default_rng(3)
+    points, kernels = np.column_stack([rng.random((50, 4)), 1 + rng.random(50)]), np.column_stack([rng.random((70, 4)), rng.random(70)])
+    offsets, weights = ev.shell_probes(4, 0.08)
+    for far, dense in ((0.0, 0.0), (0.0, 2e4), (500.0, 0.0), (0.6, 50.0)):
+        z, k = points.copy(), kernels.copy()
+        z[:, 0] += far
+        z[:9], k[:9] = points[:9], kernels[:9]
+        k[9:12, :4] = z[9:12, :4]
+        rho = dense + 5 * rng.random((len(k), len(offsets)))
+        y = k[:, None, :4] + offsets
+        v = k[:, 4:5] * weights * ((y >= 0) & (y <= [1e3, 1, 1, 1])).all(axis=2)
+        delta = z[:, 4][:, None, None] * np.exp(-((z[:, None, None, :4] - y) ** 2).sum(-1) / (2 * 0.08**2))
+        want = (v * delta / ((1 + rho) * (1 + rho + delta))).sum((1, 2))
+        bounds = [(0.0, 1e3), *[(0.0, 1.0)] * 3]
+        got = evidence_wide._taken(z, np.column_stack([k, rho]), 4, 0.08, offsets, weights, bounds)
+        assert np.allclose(got, want, rtol=1e-8, atol=1e-16)
+        with monkeypatch.context() as m:
+            m.setattr(evidence_wide, "ORDERS", 0)
+            assert np.allclose(evidence_wide._taken(z, np.column_stack([k, rho]), 4, 0.08, offsets, weights, bounds), want, rtol=1e-8, atol=1e-16)
+
+
+def test_gain_sends_kernels_not_their_probes(spark, monkeypatch):
+    sent, real = [], evidence_wide.sums_in_reach
+    monkeypatch.setattr(evidence_wide, "sums_in_reach", lambda p, s, dims, *a, **k: sent.append((len(dims), s.count())) or real(p, s, dims, *a, **k))
+    _, names, df = uniform(spark, 300, 4)
+    got = evidence_wide.gain(df.limit(3).withColumn("cand_id", F.monotonically_increasing_id()), df, names, 0.08).collect()
+    assert len(got) == 3 and len(sent) == 6 and all(n <= 300 for dims, n in sent if dims == 4)
+
+
+@pytest.mark.parametrize("points, sources", [(4000, 300), (40, 9000), (3000, 3000)])
+def test_sources_go_once_to_each_group_of_points(spark, monkeypatch, points, sources):
+    """Few points meet many sources without a copy for each block of points, and sums of several tasks are added up."""
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    _, names, df = uniform(spark, sources, 2)
+    _, _, pts = uniform(spark, points, 2, 5)
+    each = blocks.sums_in_reach(pts, df, names, [], ["w"], 9.0, lambda p, s: np.full(len(p), s[:, 2].sum()), "n")
+    assert each.agg(F.count("*"), F.min("n"), F.max("n")).first() == (points, sources, sources)
+    two = blocks.sums_in_reach(
+        pts, df, names, [], ["w"], 9.0, lambda p, s: np.full((len(p), 2), [1.0, 2.0]) * len(s), "n", lambda p, total: total + p[:, :1], 2
+    )
+    assert two.agg(F.count("*"), F.max(F.abs(F.get("n", F.lit(0)) - F.col("z0") - sources))).first()[0] == points
+    assert two.agg(F.max(F.abs(F.get("n", F.lit(1)) - F.col("z0") - 2 * sources))).first()[0] < 1e-9
+
+
+@pytest.mark.parametrize("points, sources", [(6e6, 4e5), (4e4, 1e9), (1e8, 1e8), (30, 30)])
+def test_copies_grow_with_the_root_of_the_product(points, sources):
+    groups, parts = blocks._shares(200, 10**6, 10**6, int(points), int(sources))
+    assert groups * blocks.HELD * 2 > points and groups * parts <= 400
+    assert groups * sources + parts * points <= 8 * (points + sources + (200 * points * sources) ** 0.5)
