@@ -28,6 +28,10 @@ TOLERANCE = 1e-9
 KERNEL_CELLS, PROBE_CELLS = (1.0, 14), (0.5, 12)
 #: Dimensions up to which a crowd is replaced by its nodes; beyond, their number is larger than most crowds.
 NODE_DIMS = 3
+#: Crowded cells that are sent to every task, at most; more of them are merged with the rows by key.
+FEW = 1 << 17
+#: Points that cost about as much as one kernel with all its probes by a product of matrices.
+WORTH = 4
 #: Marginal sums of all axes run side by side: the number of the axis is one more coordinate, this many reaches apart.
 APART = 4.0
 Bounds = list[tuple[float, float]]
@@ -123,11 +127,24 @@ def _taken(points: np.ndarray, kernels: np.ndarray, n: int, sigma: float, offset
     return total
 
 
-def thinned(rows: DataFrame, along: list[str], fixed: list[str], weight: str, width: float, nodes: int) -> DataFrame:
+def _in_cells(rows: DataFrame, along: list[str], fixed: list[str], width: float, *more: Column) -> DataFrame:
+    own = rows.select(*fixed, *[F.col(d).cast("double").alias(d) for d in along], *more)
+    return own.withColumns({f"_c{i}": F.floor(F.col(d) / width).cast("long") for i, d in enumerate(along)})
+
+
+def crowds(rows: DataFrame, along: list[str], fixed: list[str], width: float, nodes: int) -> DataFrame:
+    """The cells (fixed, _c0, …) with more rows than nodes, and how many (``_n``); counted once."""
+    cells = _in_cells(rows, along, fixed, width).groupBy(*fixed, *[f"_c{i}" for i in range(len(along))])
+    return checkpointed(cells.agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > nodes ** len(along)))
+
+
+def thinned(
+    rows: DataFrame, along: list[str], fixed: list[str], weight: str, width: float, nodes: int, crowded: DataFrame | None = None
+) -> DataFrame:
     """The rows (fixed, along, weight), with the nodes of a cell in place of its rows where these are more.
 
     ``along`` names the coordinates cut into cells of ``width``; rows of different ``fixed`` columns don't mix. A task adds up its
-    own part of each crowded cell.
+    own part of each crowded cell (``crowded``: the ``crowds`` of the rows, if they have been counted).
     """
     if len(along) > NODE_DIMS:
         return rows.select(*fixed, *along, weight)
@@ -136,9 +153,13 @@ def thinned(rows: DataFrame, along: list[str], fixed: list[str], weight: str, wi
     basis = line.transform()
     cells = [f"_c{i}" for i in range(len(along))]
     keys = [*fixed, *cells]
-    own = rows.select(*fixed, *[F.col(d).cast("double").alias(d) for d in along], F.col(weight).cast("double").alias(weight))
-    own = own.withColumns({c: F.floor(F.col(d) / width).cast("long") for c, d in zip(cells, along)})
-    crowded = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > nodes ** len(along)).select(*keys)
+    own = _in_cells(rows, along, fixed, width, F.col(weight).cast("double").alias(weight))
+    crowded = (crowds(rows, along, fixed, width, nodes) if crowded is None else crowded).select(*keys)
+    count = crowded.count()
+    if not count:
+        return own.select(*fixed, *along, weight)
+    # Spark takes exploded rows for as small as the rows before them, and would send them, not the cells, to every task.
+    crowded = F.broadcast(crowded) if count <= FEW else crowded.hint("merge")
     lone = own.join(crowded, keys, "left_anti").select(*fixed, *along, weight)
     heads, names = len(cells) - 1, [f"_s{k}" for k in range(nodes)]
     first = len(fixed)
@@ -255,7 +276,7 @@ class _Frame:
 
     def probed(self, rows: DataFrame, sources: DataFrame, far: float, keep: list[str]) -> DataFrame:
         """In-bounds probes around rows of this frame: kept columns, coordinates, ``v`` and density ``rho``."""
-        if not self.joint or len(self.dims) <= NODE_DIMS:
+        if not self.joint:
             return _with_density(self.around(rows, far, keep), sources, self.coords, self.sigma, "rho")
         return self.opened(self.around_each(rows, sources, far, keep), keep)
 
@@ -265,7 +286,13 @@ class _Frame:
         sources = _sources(rows, self.along, self.fixed, self.sigma)
         if self.joint and len(self.dims) > NODE_DIMS:
             return sources, self.around_each(rows, sources, far, [])
-        spots = thinned(self.around(rows, far, []), self.along, self.fixed, "v", PROBE_CELLS[0] * self.sigma, PROBE_CELLS[1])
+        spots, width, nodes = self.around(rows, far, []), PROBE_CELLS[0] * self.sigma, PROBE_CELLS[1]
+        crowded = crowds(spots, self.along, self.fixed, width, nodes)
+        if self.joint:
+            saved = crowded.agg(F.sum(F.col("_n") - nodes ** len(self.along)).alias("n")).first()["n"] or 0
+            if rows.count() * (len(self.probes[0]) - WORTH) > saved:
+                return sources, self.around_each(rows, sources, far, [])
+        spots = thinned(spots, self.along, self.fixed, "v", width, nodes, crowded)
         return sources, _with_density(checkpointed(spots), sources, self.coords, self.sigma, "rho")
 
     def integral(self, kernels: DataFrame) -> DataFrame:

@@ -377,3 +377,49 @@ def test_copies_grow_with_the_root_of_the_product(points, sources):
     groups, parts = blocks._shares(200, 10**6, 10**6, int(points), int(sources))
     assert groups * blocks.HELD * 2 > points and groups * parts <= 400
     assert groups * sources + parts * points <= 8 * (points + sources + (200 * points * sources) ** 0.5)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [1 << 17, 0])
+def test_rows_are_never_sent_whole_to_meet_their_crowded_cells(spark, monkeypatch, few):
+    """Exploded rows look as small as those before: the cells may be broadcast if few, the rows never."""
+    monkeypatch.setattr(evidence_wide, "FEW", few, raising=False)
+    _, names, df = uniform(spark, 60, 2)
+    many = df.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(80)))).select(*[(F.col(c) + F.col("_i") * 1e-7).alias(c) for c in names], "w")
+    out = evidence_wide.thinned(many, names, [], "w", 0.5, 14)
+    plan = plan_of(out)
+    assert "BuildLeft" not in plan and plan.count("BroadcastExchange") == (2 if few else 0)
+    assert abs(out.agg(F.sum("w")).first()[0] - 4800) < 1e-6 and out.count() < 4800
+
+
+def test_no_crowd_no_join(spark):
+    _, names, df = uniform(spark, 60, 2)
+    out = evidence_wide.thinned(df, names, [], "w", 0.5, 14)
+    assert "Join" not in plan_of(out) and rows(out, *names) == rows(df, *names)
+
+
+def test_probes_by_nodes_and_by_products_agree(spark, monkeypatch, dims=2, n=400):
+    """A crowd and a few rows apart: integral and gain, with nodes of probes or a product per kernel, at the bounds too."""
+    z = np.random.default_rng(6).random((n, dims)) * 0.1
+    z[:4] = np.linspace(0.5, 1.0, 4)[:, None]
+    names = [f"z{i}" for i in range(dims)]
+    df = spark.createDataFrame([(*map(float, r), 0.5) for r in z], ", ".join(f"{c} double" for c in names) + ", w double")
+    offsets, weights = ev.shell_probes(dims, 0.1)
+
+    def brute(kernels, w):
+        y, v = (kernels[:, None] + offsets).reshape(-1, dims), np.outer(w, weights).ravel()
+        rho = np.exp(-((y[:, None] - kernels[None]) ** 2).sum(2) / 0.02) @ w
+        return float((v / (1 + rho))[((y >= 0) & (y <= 1)).all(axis=1)].sum())
+
+    spot = spark.createDataFrame([(7, *[0.1] * dims)], "cand_id int, " + ", ".join(f"{c} double" for c in names))
+    base = brute(z, np.full(n, 0.5))
+    more = brute(np.vstack([z, [[0.1] * dims]]), np.append(np.full(n, 0.5), 1.0))
+    for worth in (-(10**9), 10**9):
+        monkeypatch.setattr(evidence_wide, "WORTH", worth, raising=False)
+        assert math.isclose(evidence_wide.joint_integral(df, names, 0.1).first()[0], base, rel_tol=1e-7)
+        got = evidence_wide.gain(spot, df, names, 0.1, estimator="shell")
+        axis = evidence_wide._Frame(names, 0.1, None).gain(spot.withColumn("w", F.lit(1.0)), df, "cand_id", "a").first()["a"]
+        assert math.isclose((got.first()["gain"] - axis * dims / (dims + 1)) * (dims + 1), more - base, abs_tol=1e-8)
