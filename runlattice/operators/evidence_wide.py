@@ -97,33 +97,35 @@ def _taken(points: np.ndarray, kernels: np.ndarray, n: int, sigma: float, offset
     y = k[:, None] + offsets
     share = kernels[:, n][:, None] * weights * ((y >= lo) & (y <= hi)).all(axis=2) / full
     close, lengths = _near(points, kernels, n, sigma), (offsets**2).sum(axis=1)
-    gap = np.sqrt(max(0.0, -2 * np.log(max(close.max(), 1e-300)))) - np.sqrt(lengths.max()) / sigma
-    worst = np.abs(w).max() * np.exp(-(max(0.0, gap) ** 2) / 2) / full.min()
     a, b = ((r - z.mean(axis=0)) @ offsets.T / sigma**2 for r in (z, k))
     largest = max(np.abs(a).max(), np.abs(b).max())
-    order = 1
-    while worst**order > REST and order <= ORDERS:
-        order += 1
     total = np.zeros(len(points))
-    if largest * order > FACTOR_MAX:
+    if largest * max(ORDERS, 1) > FACTOR_MAX:
         for o, offset in enumerate(offsets):
             delta = _near(points, k + offset, n, sigma) * w[:, None]
             total += (delta / (delta + full[:, o])) @ share[:, o]
         return total
     front, back = np.exp(-b), np.exp(a - lengths / (2 * sigma**2)) * w[:, None]
-    if order > ORDERS:
+    # The largest δ / (1 + ρ) of each point, by its nearest kernel, says whether so many terms leave no more than REST.
+    gap = np.sqrt(-2 * np.log(np.clip(close.max(axis=1), 1e-300, 1.0))) - np.sqrt(lengths.max()) / sigma
+    worst = np.abs(w) * np.exp(-(np.maximum(gap, 0.0) ** 2) / 2) / full.min()
+    few = worst**ORDERS <= REST
+    if not few.all():
+        near, at, sums = close[~few], back[~few], np.zeros(np.count_nonzero(~few))
         for o in range(len(offsets)):
-            delta = close * front[:, o]
-            delta *= back[:, o][:, None]
+            delta = near * front[:, o]
+            delta *= at[:, o][:, None]
             delta /= delta + full[:, o]
-            total += delta @ share[:, o]
-        return total
-    front /= full
-    c, f, g = close, front, back
-    for j in range(order):
-        if j:
-            c, f, g = c * close, f * front, -g * back
-        total += ((c @ (share * f)) * g).sum(axis=1)
+            sums += delta @ share[:, o]
+        total[~few] = sums
+    if few.any():
+        c, f, g = step = close[few], front / full, back[few]
+        sums, ratio = ((c @ (share * f)) * g).sum(axis=1), worst[few].max()
+        left = ratio
+        while left > REST:
+            c, f, g, left = c * step[0], f * step[1], -g * step[2], left * ratio
+            sums += ((c @ (share * f)) * g).sum(axis=1)
+        total[few] = sums
     return total
 
 
